@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .mixing import mix_sql, op5_mix
 from .sharding import op7_kdtree
+from .suffix_tree import op10_suffix_tree
+from .tokens import op9_counts
+from .toxicity import op6_toxicity
 
-QUERIES = {"op5_mix": op5_mix, "op7_kdtree": op7_kdtree}
+QUERIES = {"op5_mix": op5_mix, "op6_toxicity": op6_toxicity, "op7_kdtree": op7_kdtree, "op9_counts": op9_counts, "op10_suffix_tree": op10_suffix_tree}
 
 ORACLE_SQL = {"op5_mix": mix_sql()}
