@@ -46,6 +46,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def pack(x: np.ndarray, sorted_values: bool = False) -> bytes:
+    """An integer array as compressed byte planes, of its differences if it is sorted."""
+    import zstandard
+
+    if sorted_values and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T if len(x) else np.empty(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(blob: bytes, kind: type, sorted_values: bool = False) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31), np.uint8)
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if sorted_values else x
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
