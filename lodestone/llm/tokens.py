@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -52,7 +51,7 @@ class Encoder:
             self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
             self.by_word = False
         self.counts: dict[bytes, int] = {}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.kind == "json":
@@ -88,7 +87,7 @@ class Encoder:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(x, np.uint32) for x in self.encode([t.decode() for t in texts])]
-        return self._by_words(self.known, texts, tuple, lambda parts: np.fromiter(chain.from_iterable(parts), np.uint32))
+        return self._by_words(self.known, texts, lambda ids: np.array(ids, np.uint32).tobytes(), lambda parts: np.frombuffer(b"".join(parts), np.uint32))
 
 
 def load_file(path: str) -> tuple[str, bytes]:
