@@ -33,24 +33,33 @@ BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 20, 4096, 32
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 END_ID = 2
-TOTAL_BITS, FLOOR_BITS, SLOT_BITS, SURE = 28, 22, 18, 15
+TOTAL_BITS, FLOOR_BITS, SLOT_BITS, SURE, EVERY = 28, 22, 18, 7, 4
+KINDS = (SURE + 1) ** 2 * 2
 _MAGIC, _BLOCK = b"LTOK1\n", struct.Struct("<IIIIII")  # ids, lanes, words, vocabulary, crc32 of the ids, crc32 of the payload
 _FOOT = struct.Struct("<QII6s")  # place of the document table, its bytes, documents, magic
 
 
 class Model:
-    """The predictions and what they learn; the same calls in encoder and decoder keep it the same."""
+    """The predictions and what they learn; the same calls in encoder and decoder keep it the same.
+
+    Predicted ids are learnt at each step, counts and weights every EVERY steps.
+    """
 
     def __init__(self, vocabulary: int):
         self.count = np.ones(vocabulary, np.int64)
         self.one, self.two = np.full(vocabulary + 1, vocabulary, np.int64), np.full(1 << SLOT_BITS, vocabulary, np.int64)
         self.sure_one, self.sure_two = np.zeros(vocabulary + 1, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
-        self.right = np.ones(((SURE + 1) ** 2 * 2, 3), np.int64)
+        self.right = np.ones((KINDS, 3), np.int64)
         self.right[:, 0] = 4
+        self.seen: list[np.ndarray] = []
+        self.chosen: list[np.ndarray] = []
         self.sums()
 
     def sums(self) -> None:
         self.cum = np.concatenate([[0], np.cumsum(self.count)])
+        self.total = int(self.cum[-1])
+        scale, whole = (1 << TOTAL_BITS) - (1 << FLOOR_BITS), self.right.sum(axis=1)
+        self.width2, self.width1 = self.right[:, 2] * scale // whole, self.right[:, 1] * scale // whole
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         self.last = last
@@ -58,24 +67,36 @@ class Model:
         self.p1, self.p2 = self.one[last], self.two[self.slot]
         self.c1, self.c2 = self.sure_one[last], self.sure_two[self.slot]
         self.kind = (self.c2 * (SURE + 1) + self.c1) * 2 + (self.p1 == self.p2)
-        w = self.right[self.kind]
-        scale = (1 << TOTAL_BITS) - (1 << FLOOR_BITS)
-        whole = w.sum(axis=1)
-        self.f2, self.f1 = w[:, 2] * scale // whole, w[:, 1] * scale // whole
-        self.rest = (1 << TOTAL_BITS) - self.f1 - self.f2
+        self.f2, self.f1 = self.width2[self.kind], self.width1[self.kind]
+        self.base = self.f1 + self.f2
+        self.rest = (1 << TOTAL_BITS) - self.base
+
+    def interval(self, ids: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of each lane's interval."""
+        start, size = np.where(part == 2, 0, self.f2), np.where(part == 2, self.f2, self.f1)
+        plain = np.flatnonzero(part == 0)
+        x, rest = ids[plain], self.rest[plain]
+        a, z = self.cum[x] * rest // self.total, self.cum[x + 1] * rest // self.total
+        start[plain], size[plain] = self.base[plain] + a, z - a
+        return start, size
 
     def learn(self, ids: np.ndarray, part: np.ndarray) -> None:
-        np.add.at(self.right, (self.kind, part), 2)
-        big = self.right.sum(axis=1) > 4000
-        if big.any():
-            self.right[big] = (self.right[big] + 1) >> 1
         for table, sure, at, p, c in ((self.one, self.sure_one, self.last, self.p1, self.c1), (self.two, self.sure_two, self.slot, self.p2, self.c2)):
             hit = p == ids
-            new = ~hit & (c <= 1)
-            sure[at] = np.where(hit, np.minimum(c + 1, SURE), np.where(new, 1, c >> 1))
+            new = np.flatnonzero(~hit & (c <= 1))
+            c = np.where(hit, np.minimum(c + 1, SURE), c >> 1)
+            c[new] = 1
+            sure[at] = c
             table[at[new]] = ids[new]
-        np.add.at(self.count, ids, 1)
-        self.sums()
+        self.seen.append(ids)
+        self.chosen.append(self.kind * 3 + part)
+        if len(self.seen) == EVERY:
+            self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+            self.right += 2 * np.bincount(np.concatenate(self.chosen), minlength=KINDS * 3).reshape(KINDS, 3)
+            big = self.right.sum(axis=1) > 1 << 16
+            self.right[big] = (self.right[big] + 1) >> 1
+            self.seen, self.chosen = [], []
+            self.sums()
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -129,11 +150,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         x = grid[t, :k]
         model.predict(before[:k], last[:k])
         part = np.where(x == model.p2, 2, np.where(x == model.p1, 1, 0))
-        base = model.f1 + model.f2
-        total = model.cum[-1]
-        a, z = base + model.cum[x] * model.rest // total, base + model.cum[x + 1] * model.rest // total
-        start = np.where(part == 2, 0, np.where(part == 1, model.f2, a))
-        size = np.where(part == 2, model.f2, np.where(part == 1, model.f1, z - a))
+        start, size = model.interval(x, part)
         move = coder.narrow(k, start, size)
         at = np.flatnonzero(move)
         who.append(at)
@@ -175,16 +192,12 @@ def decode_block(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         model.predict(before[:k], last[:k])
         unit = coder.span[:k] >> np.uint64(TOTAL_BITS)
         value = np.minimum((code[:k] - coder.low[:k]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        base = model.f1 + model.f2
-        part = np.where(value < model.f2, 2, np.where(value < base, 1, 0))
-        total = model.cum[-1]
+        part = np.where(value < model.f2, 2, np.where(value < model.base, 1, 0))
         x = np.where(part == 2, model.p2, model.p1)
         plain = np.flatnonzero(part == 0)
-        x[plain] = np.searchsorted(model.cum, ((value[plain] - base[plain] + 1) * total - 1) // model.rest[plain], "right") - 1
-        safe = np.minimum(x, vocabulary - 1)
-        a, z = base + model.cum[safe] * model.rest // total, base + model.cum[safe + 1] * model.rest // total
-        start = np.where(part == 2, 0, np.where(part == 1, model.f2, a))
-        size = np.where(part == 2, model.f2, np.where(part == 1, model.f1, z - a))
+        x[plain] = np.searchsorted(model.cum, ((value[plain] - model.base[plain] + 1) * model.total - 1) // model.rest[plain], "right") - 1
+        x = np.minimum(x, vocabulary - 1)
+        start, size = model.interval(x, part)
         move = coder.narrow(k, start, size)
         coder.shift(move)
         m = np.flatnonzero(move)
