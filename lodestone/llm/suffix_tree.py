@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions_for, ship, written
-from .textscan import _LOWER, STEP, _hashes, buffers, slices, spans, word_hashes
+from .textscan import _LOWER, STEP, _hashes, buffers, pack, slices, spans, unpack, word_hashes
 
 #: Longest context in tokens; with its symbol it fits one 64-bit key of BITS bits a symbol.
 DEPTH, BITS = 3, 13
@@ -34,12 +34,12 @@ SMOOTH = 16.0
 #: Base model's added count.
 ADDED = 0.1
 #: Text bytes of a block, and word entries that one task merges.
-BLOCK_BYTES, MERGED = 16 << 20, 2_000_000
+BLOCK_BYTES, MERGED = 8 << 20, 1_000_000
 END, START, RARE, FIRST_PREFIX, FIRST_OWN = 0, 1, 2, 8, 8 + 256
 _SYMBOL = np.uint64((1 << BITS) - 1)
 _DEPTH_AT = np.uint64(60)
 
-BLOCKS = "block long, doc_ids array<long>, held binary, counts binary, index binary, hashes binary, prefix binary, train binary, n_uniq long, n_texts long, n_words long"
+BLOCKS = "block long, doc_ids array<long>, held binary, counts binary, index binary, order binary, hashes binary, prefix binary, train binary, n_uniq long, n_texts long, n_words long"
 
 
 def _scan(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -67,22 +67,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = raw[pos[at]], raw[pos[at] + np.minimum(size[at] - 1, 1)]
             prefix = (_LOWER[one].astype(np.uint16) * 31 + _LOWER[two] * np.uint16(7)).astype(np.uint8)
             counts = np.bincount(owner, minlength=j - i).astype(np.int32)
-            blobs = [held, counts, index.astype(np.uint32), uniq, prefix, train]
+            order = np.argsort(-np.bincount(index, minlength=len(uniq)), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(uniq), np.uint32)
+            place[order] = np.arange(len(uniq), dtype=np.uint32)
+            blobs = [held.tobytes(), counts.tobytes(), pack(place[index]), pack(order.astype(np.uint32)), pack(uniq, True), prefix.tobytes(), pack(train)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(context.partitionId() << 24) + seq], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))]
-                + [pa.array([x.tobytes()], pa.binary()) for x in blobs]
+                + [pa.array([x], pa.binary()) for x in blobs]
                 + [pa.array([int(x)], pa.int64()) for x in (len(uniq), (~held).sum(), train.sum())],
-                names=["block", "doc_ids", "held", "counts", "index", "hashes", "prefix", "train", "n_uniq", "n_texts", "n_words"],
+                names=["block", "doc_ids", "held", "counts", "index", "order", "hashes", "prefix", "train", "n_uniq", "n_texts", "n_words"],
             )
             seq += 1
 
 
+def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of a block's distinct words, each word of the texts as an index into them)."""
+    return unpack(row["hashes"], np.uint64, True), unpack(row["order"], np.uint32)[unpack(row["index"], np.uint32)]
+
+
 def _dealt(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> tuple[list[int], list[list[bytes]]]:
-    """The parts that occur, and each array cut by part."""
+    """The parts that occur, and each array cut by part; the first array is sorted."""
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     rows = [k for k in range(parts) if cut[k] < cut[k + 1]]
-    return rows, [[x[order[cut[k] : cut[k + 1]]].tobytes() for k in rows] for x in arrays]
+    return rows, [[pack(x[order[cut[k] : cut[k + 1]]], i == 0) for k in rows] for i, x in enumerate(arrays)]
 
 
 def _requests(parts: int):
@@ -91,7 +99,7 @@ def _requests(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, p, t = (np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.uint8, np.uint32), strict=True))
+                h, p, t = unpack(blobs[0], np.uint64, True), np.frombuffer(blobs[1], np.uint8), unpack(blobs[2], np.uint32)
                 rows, cut = _dealt((h % np.uint64(parts)).astype(np.int64), parts, [h, p, t])
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int64())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "block", "hashes", "prefix", "train"])
 
@@ -103,13 +111,13 @@ def _merge(own: int):
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
-        h = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        p = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("prefix").to_pylist()])
-        t = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("train").to_pylist()])
+        h = [unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()]
+        p = np.concatenate([unpack(x, np.uint8) for x in table.column("prefix").to_pylist()])
+        t = np.concatenate([unpack(x, np.uint32) for x in table.column("train").to_pylist()])
         uniq, at, index = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
         c = np.bincount(index, weights=t, minlength=len(uniq)).astype(np.int64)
         cut = np.cumsum([0, *map(len, h)])
-        replies = [c[index[a:z]].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        replies = [pack(c[index[a:z]]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
         middle, often = (c > 1) & (c < own), c >= own
         by_prefix = [np.bincount(p[at][middle], weights=w, minlength=256).astype(np.int64) for w in (c[middle], np.ones(middle.sum()))]
         sums = np.concatenate([[(c > 0).sum(), c.sum(), (c == 1).sum(), (c == 2).sum()], *by_prefix, uniq[often].view(np.int64), c[often]]).astype(np.int64)
@@ -175,30 +183,35 @@ def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return u, np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
 
 
-def _counts_of(row: dict, parts: int) -> np.ndarray:
+def _counts_of(row: dict, h: np.ndarray, parts: int) -> np.ndarray:
     """A block's corpus counts, put back from the order in which its words were dealt."""
-    h = np.frombuffer(row["hashes"], np.uint64)
     c = np.zeros(len(h), np.int64)
-    c[np.argsort((h % np.uint64(parts)).astype(np.int64), kind="stable")] = np.frombuffer(b"".join(x["reply"] for x in sorted(row["replies"] or [], key=lambda x: x["part"])), np.int64)
+    replies = [unpack(x["reply"], np.int64) for x in sorted(row["replies"] or [], key=lambda x: x["part"])]
+    c[np.argsort((h % np.uint64(parts)).astype(np.int64), kind="stable")] = np.concatenate([np.empty(0, np.int64), *replies])
     return c
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _contexts(parts: int, many: int, vocabulary):
     """Counts of (context, symbol) in the training texts of each block, dealt by context."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                held, counts = np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], np.int32)
-                k, _ = vocabulary.value.classed(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["prefix"], np.uint8), _counts_of(row, parts))
-                train = np.repeat(~held, counts)
-                s, depth = _sequence(k[np.frombuffer(row["index"], np.uint32)][train].astype(np.uint64), counts[~held])
-                at = np.flatnonzero(depth > 0)
-                found = [_summed(_keys(s, at[depth[at] >= d], d) | s[at[depth[at] >= d]]) for d in range(1, DEPTH + 1)]
-                keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                p = (((keys >> np.uint64(BITS)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(many)
-                rows, cut = _dealt(p.astype(np.int64), many, [keys, n])
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "keys", "n"])
+        for row in _rows(batches):
+            held, counts = np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], np.int32)
+            h, index = _words_of(row)
+            k, _ = vocabulary.value.classed(h, np.frombuffer(row["prefix"], np.uint8), _counts_of(row, h, parts))
+            s, depth = _sequence(k[index[np.repeat(~held, counts)]].astype(np.uint64), counts[~held])
+            at = np.flatnonzero(depth > 0)
+            found = [_summed(_keys(s, at[depth[at] >= d], d) | s[at[depth[at] >= d]]) for d in range(1, DEPTH + 1)]
+            keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            p = (((keys >> np.uint64(BITS)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(many)
+            rows, cut = _dealt(p.astype(np.int64), many, [keys, n])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "keys", "n"])
 
     return count
 
@@ -207,8 +220,11 @@ def _candidates(least: int):
     """Of a part's contexts those that occur ``least`` times: (keys, counts)."""
 
     def merge(table: pa.Table) -> pa.Table:
-        k, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("n", np.int64)))
-        u, n = _summed(k, n)
+        u = n = np.empty(0, np.uint64)
+        for a in range(0, table.num_rows, 32):  # a bounded number of chunks at once
+            some = table.slice(a, 32)
+            k, m = [unpack(x, np.uint64, True) for x in some.column("keys").to_pylist()], [unpack(x, np.int64) for x in some.column("n").to_pylist()]
+            u, n = _summed(np.concatenate([u, *k]), np.concatenate([n, *m]))
         c, inv = np.unique(u >> np.uint64(BITS), return_inverse=True)
         ok = (np.bincount(inv, weights=n, minlength=len(c)) >= least)[inv]
         return pa.table({"keys": pa.array([u[ok].tobytes()], pa.binary()), "n": pa.array([n[ok].tobytes()], pa.binary())})
@@ -305,31 +321,30 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, t = sent.value, tree.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                index, counts = np.frombuffer(row["index"], np.uint32), np.frombuffer(row["counts"], np.int32)
-                c = _counts_of(row, parts)
-                k, share = v.classed(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["prefix"], np.uint8), c)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                add = lambda w, o=owner, n=len(counts): np.bincount(o, weights=w, minlength=n)
-                s, depth = _sequence(k[index].astype(np.uint64), counts)
-                own_score = add(share[index])
-                texts_at = np.repeat(np.arange(len(counts)), counts.astype(np.int64) + 2)
-                for a in range(0, len(s), 1 << 20):
-                    at = a + np.flatnonzero(depth[a : a + (1 << 20)] > 0)
-                    own_score += np.bincount(texts_at[at], weights=t.log10(s, at, depth), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(np.frombuffer(row["held"], bool)),
-                        pa.array(counts.astype(np.int64) + 1),
-                        pa.array(add((c > 0)[index].astype(float)).astype(np.int64) + int(texts > 0)),
-                        pa.array(np.full(len(counts), total, np.int64)),
-                        pa.array(add(np.log10((c + ADDED) / denominator)[index]) + np.log10((texts + ADDED) / denominator)),
-                        pa.array(own_score),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            (h, index), counts = _words_of(row), np.frombuffer(row["counts"], np.int32)
+            c = _counts_of(row, h, parts)
+            k, share = v.classed(h, np.frombuffer(row["prefix"], np.uint8), c)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            add = lambda w, o=owner, n=len(counts): np.bincount(o, weights=w, minlength=n)
+            s, depth = _sequence(k[index].astype(np.uint64), counts)
+            own_score = add(share[index])
+            texts_at = np.repeat(np.arange(len(counts)), counts.astype(np.int64) + 2)
+            for a in range(0, len(s), 1 << 20):
+                at = a + np.flatnonzero(depth[a : a + (1 << 20)] > 0)
+                own_score += np.bincount(texts_at[at], weights=t.log10(s, at, depth), minlength=len(counts))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(np.frombuffer(row["held"], bool)),
+                    pa.array(counts.astype(np.int64) + 1),
+                    pa.array(add((c > 0)[index].astype(float)).astype(np.int64) + int(texts > 0)),
+                    pa.array(np.full(len(counts), total, np.int64)),
+                    pa.array(add(np.log10((c + ADDED) / denominator)[index]) + np.log10((texts + ADDED) / denominator)),
+                    pa.array(own_score),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return known.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
