@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import prompts
+
+QUERIES: dict = {**prompts.QUERIES}
+ORACLE_SQL: dict = {**prompts.ORACLE_SQL}
