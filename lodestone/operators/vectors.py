@@ -76,8 +76,8 @@ def neighbours(queries: DataFrame, bank: DataFrame, k: int, key: str = "id", vec
     blocks = max(1, -(-rows // 8192))
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     b = bank.select(at.alias("block"), F.lit(1).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.lit(0).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(16)).alias("part"))
-    both = q.unionByName(b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long")))
+    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(16)).alias("part"))
+    both = q.unionByName(b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))))
 
     def best(table: pa.Table) -> pa.Table:
         side, ids = table.column("side").to_numpy(), table.column("i").to_numpy()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import prompts
+from . import dialogs, evaluation, geometry, prompts
 
-QUERIES: dict = {**prompts.QUERIES}
-ORACLE_SQL: dict = {**prompts.ORACLE_SQL}
+_PARTS = (prompts, geometry, evaluation, dialogs)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -1,0 +1,443 @@
+"""Queries on scores: rank metrics, thresholds, slices, routing, resampling, model fits."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import cascade as C
+from ..operators import metrics as M
+from ..operators import pool as pl
+from ..operators import vectors as V
+from ..sources.tables import RUNS, SCORED, hashed, hashed_sql, load, prompts, PROMPTS, runs, scored, uniform, uniform_sql
+
+GRID, ROUNDS = 21, 50
+SCORERS = ("score", "other_score")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _long(s, d) -> DataFrame:
+    """(scorer, id, y, category, value): one row per scorer and item."""
+    x = scored(s, d)
+    return x.select("id", "y", "category", "judge", F.explode(F.create_map(*[v for c in SCORERS for v in (F.lit(c), F.col(c))])).alias("scorer", "value"))
+
+
+_LONG = f"{SCORED}, lg AS (SELECT 'score' AS scorer, id, y, category, judge, score AS value FROM scored UNION ALL SELECT 'other_score', id, y, category, judge, other_score FROM scored)"
+
+
+def _auc_sql(src: str, by: str, val: str = "value", lab: str = "y") -> str:
+    """AUROC by average ranks: an independent form of the one in the operators."""
+    p = f"PARTITION BY {by}" if by else ""
+    pv = f"PARTITION BY {by}, {val}" if by else f"PARTITION BY {val}"
+    g = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    return f"(SELECT {g}sum(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END)::DOUBLE AS positives, sum(CASE WHEN {lab} = 0 THEN 1 ELSE 0 END)::DOUBLE AS negatives, (sum(CASE WHEN {lab} = 1 THEN rk ELSE 0 END) - sum(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END) * (sum(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END) + 1) / 2.0::DOUBLE) / nullif(sum(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END) * sum(CASE WHEN {lab} = 0 THEN 1 ELSE 0 END), 0) AS auroc FROM (SELECT *, rank() OVER ({p} ORDER BY {val}) + (count(*) OVER ({pv}) - 1) / 2.0::DOUBLE AS rk FROM {src}) {gb})"
+
+
+def auroc_rank(s, d):
+    return M.auroc(_long(s, d), "value", "y", ["scorer"]).select("scorer", "positives", "negatives", _r("auroc").alias("auroc"))
+
+
+_ROC = """v AS (SELECT scorer, value AS threshold, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n FROM lg GROUP BY 1, 2),
+roc AS (SELECT scorer, threshold, sum(n) OVER w / sum(n) OVER (PARTITION BY scorer) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY scorer) AS tpr FROM v WINDOW w AS (PARTITION BY scorer ORDER BY threshold DESC))"""
+
+
+def _roc(s, d):
+    return M.roc(_long(s, d), "value", "y", ["scorer"])
+
+
+def roc_curve(s, d):
+    return _roc(s, d).select("scorer", "threshold", _r("fpr").alias("fpr"), _r("tpr").alias("tpr"))
+
+
+def tpr_at_fpr(s, d):
+    return M.tpr_at(_roc(s, d), 0.01, ["scorer"]).select("scorer", _r("tpr").alias("tpr"))
+
+
+def partial_auroc(s, d):
+    return M.partial_auroc(_roc(s, d), 0.05, ["scorer"]).select("scorer", _r("pauc").alias("pauc"))
+
+
+def _folded(s, d):
+    """Even ids are the validation set, odd ids the transfer set."""
+    return _long(s, d).withColumn("part", F.when(F.col("id") % 2 == 0, "val").otherwise("test"))
+
+
+def threshold_transfer(s, d):
+    """The last point with fpr <= 5 % on the validation set, applied to the other set; guarded by class counts."""
+    x = _folded(s, d)
+    points = M.roc(x.where("part = 'val'"), "value", "y", ["scorer"])
+    t = points.where("fpr <= 0.05").groupBy("scorer").agg(F.min("threshold").alias("threshold"))
+    y = x.where("part = 'test'").join(F.broadcast(t), "scorer", "left")
+    flag = (F.col("value") >= F.col("threshold")).cast("double")
+    n = F.sum((F.col("y") == 0).cast("int"))
+    out = y.groupBy("scorer").agg(F.max("threshold").alias("threshold"), F.when(n >= 5, _r(F.avg(F.when(F.col("y") == 0, flag)))).alias("fpr"), _r(F.avg(F.when(F.col("y") == 1, flag))).alias("tpr"))
+    return out
+
+
+def error_rates(s, d):
+    r = M.rates(scored(s, d), "y", "judge", ["category"])
+    return r.select("category", _r("fpr").alias("fpr"), _r("fnr").alias("fnr"))
+
+
+def category_fnr(s, d):
+    """Misses by category at one shared threshold (the median score), categories of 20 rows or more."""
+    x = scored(s, d)
+    t = x.agg(F.median("score").alias("t"))
+    y = x.where("y = 1").crossJoin(F.broadcast(t)).groupBy("category").agg(F.count("*").alias("n"), _r(F.avg((F.col("score") < F.col("t")).cast("double"))).alias("fnr"))
+    return y.where("n >= 20")
+
+
+def stratified_auroc(s, d):
+    """AUROC within strata of vector ids modulo 7 (the strata of the operator), weighted by pairs."""
+    x = _long(s, d).withColumn("stratum", F.col("id") % 7)
+    a = M.auroc(x, "value", "y", ["scorer", "stratum"]).withColumn("w", F.col("positives") * F.col("negatives")).where("w > 0")
+    return a.groupBy("scorer").agg(_r(F.sum(F.col("auroc") * F.col("w")) / F.sum("w")).alias("auroc"))
+
+
+def spearman(s, d):
+    x = scored(s, d).withColumn("third", F.col("category").cast("double"))
+    return M.rank_correlations(x, ["score", "other_score", "third"]).select(_r("r_score_other_score").alias("rho"))
+
+
+def partial_spearman(s, d):
+    """Correlation of ranks after the category's rank is taken out of both, in closed form."""
+    x = scored(s, d).withColumn("third", F.col("category").cast("double"))
+    r = M.rank_correlations(x, ["score", "other_score", "third"])
+    ab, ac, bc = F.col("r_score_other_score"), F.col("r_score_third"), F.col("r_other_score_third")
+    return r.select(_r((ab - ac * bc) / F.sqrt((1 - ac * ac) * (1 - bc * bc))).alias("rho"))
+
+
+def style_gap(s, d):
+    x = _long(s, d).withColumn("style", F.when(F.col("category") < 5, "vanilla").otherwise("adversarial"))
+    a = M.auroc(x, "value", "y", ["scorer", "style"])
+    v = a.groupBy("scorer").pivot("style", ["vanilla", "adversarial"]).agg(F.max("auroc"))
+    return v.select("scorer", _r("vanilla").alias("vanilla"), _r("adversarial").alias("adversarial"), _r(F.col("vanilla") - F.col("adversarial")).alias("gap"))
+
+
+def fisher_ratio(s, d):
+    x = _long(s, d)
+    p, n = F.when(F.col("y") == 1, F.col("value")), F.when(F.col("y") == 0, F.col("value"))
+    return x.groupBy("scorer").agg(_r(F.pow(F.avg(p) - F.avg(n), F.lit(2)) / (F.var_samp(p) + F.var_samp(n))).alias("ratio"))
+
+
+def slice_metrics(s, d):
+    """Metrics of each named slice and scorer; slices with one class are left out."""
+    x = _long(s, d)
+    slices = F.array_compact(F.array(F.lit("all"), F.when(F.col("category") < 4, F.lit("low")), F.when(F.col("category") == 3, F.lit("one_class")), F.when(F.col("id") % 2 == 1, F.lit("odd"))))
+    y = x.withColumn("slice", F.explode(slices))
+    a = M.auroc(y, "value", "y", ["slice", "scorer"]).where("positives > 0 AND negatives > 0")
+    return a.select("slice", "scorer", "positives", "negatives", _r("auroc").alias("auroc"))
+
+
+def metric_mean_std(s, d):
+    return runs(s, d).groupBy("variant").agg(F.count("*").alias("n"), _r(F.avg("loss")).alias("mean"), _r(F.stddev_samp("loss")).alias("std_samp"))
+
+
+def metric_pivot(s, d):
+    x = runs(s, d).groupBy("variant").pivot("seed", [0, 1, 2]).agg(F.avg("loss"))
+    return x.select("variant", *[_r(str(k)).alias(f"seed_{k}") for k in range(3)])
+
+
+def lodo_gap(s, d):
+    """Mean of seed 0 minus the mean of the others, with the level's name."""
+    x = runs(s, d)
+    g = lambda key, name: x.groupBy(F.col(key).cast("string").alias("key")).agg(_r(F.avg(F.when(F.col("seed") == 0, F.col("loss"))) - F.avg(F.when(F.col("seed") != 0, F.col("loss")))).alias("gap")).select(F.lit(name).alias("level"), "key", "gap")
+    return g("variant", "variant").unionByName(g("step", "step").where(F.col("key") == "1"))
+
+
+def quantile_bins(s, d):
+    x = M.quantile_bin(scored(s, d), "score", 5, name="score_bin")
+    x = M.quantile_bin(x, "other_score", 3, name="other_bin")
+    return x.select("id", "score_bin", "other_bin", (F.col("score_bin") * 3 + F.col("other_bin")).alias("cell"))
+
+
+def length_auroc(s, d):
+    x = prompts(s, d).select("lang", "toxic", F.char_length("prompt").cast("double").alias("chars"), F.size(F.split("prompt", r"\s+")).cast("double").alias("tokens"))
+    y = x.select("lang", "toxic", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("tokens"), "tokens")).alias("feature", "value"))
+    return M.auroc(y, "value", "toxic", ["lang", "feature"]).select("lang", "feature", _r("auroc").alias("auroc"))
+
+
+def shuffled_auroc(s, d):
+    """Labels dealt anew by hash rank: near one half."""
+    x = scored(s, d).select("id", "y", "score")
+    by_id = x.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")))
+    by_hash = x.select(F.col("y").alias("shuffled"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(hashed(F.col("id"), "shuffle"), "id")).alias("place"))
+    return M.auroc(by_id.join(by_hash, "place"), "score", "shuffled").select("positives", "negatives", _r("auroc").alias("auroc"))
+
+
+# --- routing ---------------------------------------------------------------------
+
+
+def _grid(s, d):
+    return C.threshold_grid(scored(s, d), "score", "y", "judge", GRID)
+
+
+def _judge(s, d):
+    return M.rates(scored(s, d), "y", "judge")
+
+
+def _finite(c):
+    return F.when(F.col(c) == C.INF, 1e9).when(F.col(c) == -C.INF, -1e9).otherwise(_r(c)).alias(c)
+
+
+def threshold_grid(s, d):
+    return _grid(s, d).select(_finite("t_low"), _finite("t_high"), *[_r(c).alias(c) for c in ("share", "fpr", "fnr", "errors")])
+
+
+_GRIDSQL = f"""{SCORED}, q AS (SELECT unnest(quantile_cont(score, {[i / (GRID - 1) for i in range(GRID)]})) AS cut FROM scored),
+cu AS (SELECT DISTINCT round(cut, 9) AS cut FROM q UNION SELECT 1e9::DOUBLE UNION SELECT -1e9::DOUBLE),
+gr AS (SELECT a.cut AS t_low, b.cut AS t_high, avg(CASE WHEN score > a.cut AND score < b.cut THEN 1.0::DOUBLE ELSE 0 END) AS share,
+ avg(CASE WHEN score > a.cut AND score < b.cut THEN judge WHEN score >= b.cut THEN 1 ELSE 0 END::DOUBLE) FILTER (y = 0) AS fpr,
+ avg(1 - CASE WHEN score > a.cut AND score < b.cut THEN judge WHEN score >= b.cut THEN 1 ELSE 0 END::DOUBLE) FILTER (y = 1) AS fnr
+ FROM cu a JOIN cu b ON a.cut <= b.cut CROSS JOIN scored GROUP BY a.cut, b.cut),
+jr AS (SELECT avg(judge) FILTER (y = 0) AS jf, avg(1 - judge) FILTER (y = 1) AS jn FROM scored)"""
+
+
+def operating_point(s, d):
+    p = C.operating_point(_grid(s, d), _judge(s, d), 0.01, 0.5)
+    return p.select(_finite("t_low"), _finite("t_high"), _r("share").alias("share"), "within_cap")
+
+
+def min_share_curve(s, d):
+    deltas = s.createDataFrame([(i, i / 100) for i in range(0, 11, 2)], "i int, delta double")
+    g = _grid(s, d).crossJoin(F.broadcast(_judge(s, d).select(F.col("fpr").alias("jf"), F.col("fnr").alias("jn")))).crossJoin(F.broadcast(deltas))
+    ok = (F.col("fpr") <= F.col("jf") + F.col("delta") + 1e-12) & (F.col("fnr") <= F.col("jn") + F.col("delta") + 1e-12)
+    return g.where(ok).groupBy("i").agg(_r(F.min("share")).alias("share"))
+
+
+def _flagged(s, d):
+    """Scores with an out-of-distribution flag at a 5 % budget of the other score."""
+    x = scored(s, d)
+    return x.crossJoin(F.broadcast(x.agg(F.percentile("other_score", F.lit(0.95)).alias("tau")))).withColumn("flag", F.col("other_score") > F.col("tau"))
+
+
+def ood_budget(s, d):
+    return _flagged(s, d).agg(_r(F.max("tau")).alias("tau"), _r(F.avg(F.col("flag").cast("double"))).alias("share"))
+
+
+LOW, HIGH = -0.1, 0.2
+
+
+def cascade_route(s, d):
+    x = _flagged(s, d)
+    g = C.gray(F.col("score"), F.lit(LOW), F.lit(HIGH), F.col("flag"))
+    return x.select("id", g.alias("to_judge"), F.when(g, F.col("judge")).otherwise((F.col("score") >= HIGH).cast("int")).cast("int").alias("pred"))
+
+
+def zone_shares(s, d):
+    z = C.zone_shares(_flagged(s, d), "score", F.lit(LOW), F.lit(HIGH), F.col("flag"))
+    return z.select(*[_r(c).alias(c) for c in z.columns])
+
+
+def cv_operating_points(s, d, folds: int = 3):
+    """Points chosen on all folds but one, and their rates on the fold left out."""
+    x = pl.folds_by_label(scored(s, d), folds, "y", "id").withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    fit, test = x.where("fold <> out"), x.where("fold = out")
+    p = C.operating_point(C.threshold_grid(fit, "score", "y", "judge", 11, ["out"]), M.rates(fit, "y", "judge", ["out"]), 0.01, 0.5, ["out"])
+    t = test.join(F.broadcast(p.select("out", "t_low", "t_high")), "out")
+    g = C.gray(F.col("score"), F.col("t_low"), F.col("t_high"))
+    t = t.withColumn("pred", F.when(g, F.col("judge")).otherwise((F.col("score") >= F.col("t_high")).cast("int"))).withColumn("g", g.cast("double"))
+    r = t.groupBy("out").agg(_r(F.avg("g")).alias("share"), _r(F.avg(F.when(F.col("y") == 0, F.col("pred").cast("double")))).alias("fpr"), _r(F.avg(F.when(F.col("y") == 1, 1 - F.col("pred").cast("double")))).alias("fnr"))
+    return r.select(F.col("out").alias("fold"), "share", "fpr", "fnr")
+
+
+def latency_compose(s, d):
+    """Cost of each text: encoder parts plus the judge where it is asked; times from the run log's means."""
+    t = runs(s, d).agg(F.avg(F.when(F.col("seed") == 0, F.col("loss"))).alias("enc"), F.avg(F.when(F.col("seed") == 1, F.col("loss"))).alias("jud"))
+    x = cascade_route(s, d).crossJoin(F.broadcast(t)).withColumn("cost", F.col("enc") + F.col("to_judge").cast("int") * F.col("jud"))
+    return x.agg(_r(F.avg("cost")).alias("mean_cost"), _r(F.avg("jud") / F.avg("cost")).alias("speed_up"))
+
+
+def sweep_best(s, d):
+    """The step with the least loss of each run; ties to the earlier step."""
+    return runs(s, d).groupBy("variant", "seed").agg(F.min_by("step", F.struct("loss", "step")).alias("best_step"), _r(F.min("loss")).alias("best_loss"))
+
+
+def _gauss(s, d):
+    """Centers and pooled within-class covariance (n divisor) of unit vectors; d x d matrices on the driver."""
+    z = V.unit(load(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("y"), "embedding"))
+    out = [V.moments(z.where(F.col("y") == y), "z") for y in (0, 1)]
+    n = [o[0] for o in out]
+    within = sum((o[0] - 1) * o[2] for o in out) / max(1, sum(n))
+    return z, n, [o[1] for o in out], within
+
+
+def _linear(z: DataFrame, w: np.ndarray, b: float, name: str) -> DataFrame:
+    return z.withColumn(name, V.dot(F.col("z"), F.array(*map(F.lit, w.tolist()))) + F.lit(float(b)))
+
+
+def lda_scores(s, d, alpha: float = 0.1):
+    """Logit of a linear discriminant with isotropic shrinkage."""
+    z, n, mu, cov = _gauss(s, d)
+    sigma = (1 - alpha) * cov + alpha * np.trace(cov) / len(cov) * np.eye(len(cov))
+    w = np.linalg.solve(sigma, mu[1] - mu[0])
+    b = -0.5 * w @ (mu[1] + mu[0]) + np.log(n[1] / n[0])
+    return _linear(z, w, b, "logit").select("id", _r("logit").alias("logit"), _r(1 / (1 + F.exp(-F.col("logit")))).alias("p_harm"))
+
+
+def ood_scores(s, d, alpha: float = 0.1):
+    """Least squared Mahalanobis distance to a center; whitened coordinates, so a distance is a norm."""
+    z, _, mu, cov = _gauss(s, d)
+    sigma = (1 - alpha) * cov + alpha * np.trace(cov) / len(cov) * np.eye(len(cov))
+    white = np.linalg.cholesky(np.linalg.inv(sigma))
+    centers = np.stack([m @ white for m in mu])
+    import pyarrow as pa
+
+    def far(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ white
+            d2 = ((x[:, None, :] - centers[None]) ** 2).sum(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d2.min(1))], names=["id", "d2"])
+
+    return z.select("id", "z").mapInArrow(far, "id long, d2 double").select("id", _r("d2", 4).alias("d2"))
+
+
+# --- resampling ------------------------------------------------------------------
+
+
+def bootstrap_ci(s, d):
+    """Paired difference of error shares of two scorers, 95 % interval over class-stratified resamples."""
+    x = scored(s, d).select("id", "y", ((F.col("score") > 0).cast("int") != F.col("y")).cast("double").alias("a"), ((F.col("other_score") > 0).cast("int") != F.col("y")).cast("double").alias("b"))
+    r = M.resampled(x, ROUNDS, ["y"], "id").groupBy("round").agg((F.avg("a") - F.avg("b")).alias("diff"))
+    q = r.agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("diff").alias("mean"))
+    return q.select(_r("mean").alias("mean"), _r(F.col("q")[0]).alias("low"), _r(F.col("q")[1]).alias("high"))
+
+
+def cluster_bootstrap(s, d):
+    """AUROC over resamples of categories with all their rows; multiplicities are weights, one-class rounds are left out."""
+    x = scored(s, d)
+    g = x.select("category").distinct().withColumn("pos", F.row_number().over(Window.orderBy("category")) - 1)  # one row a cluster
+    n = g.count()
+    draws = g.select(F.col("pos"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
+    u = uniform(F.concat_ws(":", F.col("round").cast("string"), F.col("pos").cast("string")), "cluster")
+    times = draws.select("round", F.floor(u * n).alias("pos")).groupBy("round", "pos").agg(F.count("*").alias("times"))
+    y = x.join(g, "category").join(F.broadcast(times), "pos")
+    a = M.auroc(y, "score", "y", ["round"], weight="times").where("positives > 0 AND negatives > 0")
+    return a.agg(F.count("*").alias("rounds"), _r(F.percentile("auroc", F.lit(0.025))).alias("low"), _r(F.percentile("auroc", F.lit(0.975))).alias("high"))
+
+
+# --- model fits ------------------------------------------------------------------
+
+
+def _features(s, d):
+    from pyspark.ml.functions import array_to_vector
+
+    z = V.unit(load(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("y"), "label", "embedding"))
+    return z.select("id", F.col("y").cast("double").alias("label"), F.col("label").alias("category"), array_to_vector("z").alias("features"))
+
+
+def _fit(df, reg: float):
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=50).fit(df)
+
+
+def _score(model, df):
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(df).withColumn("s", F.round(F.element_at(vector_to_array("rawPrediction"), 2), 9))
+
+
+def probe_cv(s, d, folds: int = 3):
+    x = pl.folds_by_label(_features(s, d), folds, "label", "id")
+    out = None
+    for f in range(folds):
+        a = M.auroc(_score(_fit(x.where(F.col("fold") != f), 0.01), x.where(F.col("fold") == f)), "s", "label").select(F.lit(f).alias("fold"), "auroc")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+def probe_cgrid(s, d):
+    x = _features(s, d).withColumn("part", F.col("id") % 2)
+    train = x.where("part = 0")
+    n = train.count()
+    out = None
+    for c in (0.1, 1.0, 10.0):
+        p = M.partial_auroc(M.roc(_score(_fit(train, 1 / (c * n)), x.where("part = 1")), "s", "label"), 0.05).select(F.lit(c).alias("c"), "pauc")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def transfer_matrix(s, d):
+    """A probe of one source on every other: sources are halves of the label groups."""
+    x = _features(s, d).withColumn("src", F.floor(F.col("category") / 5).cast("int"))
+    out = None
+    for a in (0, 1):
+        m = _fit(x.where(F.col("src") == a), 0.01)
+        r = M.auroc(_score(m, x), "s", "label", ["src"]).select(F.lit(a).alias("trained_on"), F.col("src").alias("tested_on"), "auroc", (F.col("src") != a).alias("independent"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def bow_probe(s, d):
+    """Bag of words with the training half's vocabulary, benchmark-sized texts of conversations, role as label."""
+    from pyspark.ml.feature import CountVectorizer
+
+    c = load(s, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("role") == "user").cast("double").alias("label"), F.regexp_extract_all("text", F.lit(r"((?U)\w(?:\S*\w)?|[^\w\s])"), F.lit(1)).alias("words"))
+    train, test = c.where("id % 3 <> 0"), c.where("id % 3 = 0")
+    m = CountVectorizer(inputCol="words", outputCol="features", vocabSize=5000).fit(train)
+    fit = _fit(m.transform(train), 0.01)
+    return M.auroc(_score(fit, m.transform(test)), "s", "label").select("positives", "negatives", "auroc")
+
+
+def platt_logloss(s, d):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = scored(s, d).select(F.col("y").cast("double").alias("label"), array_to_vector(F.array("score")).alias("features"))
+    m = _fit(x, 1e-6)
+    p = F.greatest(F.least(F.element_at(vector_to_array("probability"), 2), F.lit(1 - 1e-12)), F.lit(1e-12))
+    loss = m.transform(x).agg(F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))).alias("log_loss"))
+    return loss.select(F.lit(float(m.coefficients[0])).alias("a"), F.lit(float(m.intercept)).alias("c"), "log_loss")
+
+
+_FLAG = f"{SCORED}, ta AS (SELECT quantile_cont(other_score, 0.95) AS tau FROM scored), fl AS (SELECT scored.*, tau, other_score > tau AS flag FROM scored, ta)"
+_ROUTE = f"{_FLAG}, rt AS (SELECT id, (score > {LOW} AND score < {HIGH}) OR flag AS to_judge, CASE WHEN (score > {LOW} AND score < {HIGH}) OR flag THEN judge WHEN score >= {HIGH} THEN 1 ELSE 0 END AS pred FROM fl)"
+_RANKS = f"{SCORED}, rr AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {n}" for c, n in (("score", "a"), ("other_score", "b"), ("category", "c"))) + " FROM scored), cr AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM rr)"
+ORACLE_SQL = {
+    "auroc_rank": f"WITH {_LONG} SELECT scorer, positives, negatives, round(auroc, 6) AS auroc FROM {_auc_sql('lg', 'scorer')}",
+    "roc_curve": f"WITH {_LONG}, {_ROC} SELECT scorer, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc",
+    "tpr_at_fpr": f"WITH {_LONG}, {_ROC} SELECT scorer, round(coalesce(max(tpr) FILTER (fpr <= 0.01), 0), 6) AS tpr FROM roc GROUP BY scorer",
+    "partial_auroc": f"""WITH {_LONG}, {_ROC}, sg AS (SELECT scorer, fpr, tpr, coalesce(lag(fpr) OVER w, 0) AS f0, coalesce(lag(tpr) OVER w, 0) AS t0 FROM roc WINDOW w AS (PARTITION BY scorer ORDER BY threshold DESC)),
+ar AS (SELECT scorer, sum((least(fpr, 0.05::DOUBLE) - f0) * (t0 + CASE WHEN fpr <= 0.05::DOUBLE THEN tpr ELSE t0 + (tpr - t0) * (0.05::DOUBLE - f0) / (fpr - f0) END) / 2) AS area FROM sg WHERE f0 < 0.05::DOUBLE GROUP BY scorer)
+SELECT scorer, round(0.5 * (1 + (area - 0.00125::DOUBLE) / (0.05::DOUBLE - 0.00125::DOUBLE)), 6) AS pauc FROM ar""",
+    "threshold_transfer": f"""WITH {_LONG}, f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'val' ELSE 'test' END AS part FROM lg), c AS (SELECT a.scorer, a.value AS threshold, avg(CASE WHEN b.value >= a.value THEN 1.0::DOUBLE ELSE 0 END) AS fpr FROM (SELECT DISTINCT scorer, value FROM f WHERE part = 'val') a JOIN f b ON a.scorer = b.scorer AND b.part = 'val' AND b.y = 0 GROUP BY 1, 2),
+t AS (SELECT scorer, min(threshold) AS threshold FROM c WHERE fpr <= 0.05 GROUP BY scorer)
+SELECT scorer, max(threshold) AS threshold, CASE WHEN count(*) FILTER (y = 0) >= 5 THEN round(avg(CASE WHEN value >= threshold THEN 1.0::DOUBLE ELSE 0 END) FILTER (y = 0), 6) END AS fpr, round(avg(CASE WHEN value >= threshold THEN 1.0::DOUBLE ELSE 0 END) FILTER (y = 1), 6) AS tpr FROM f JOIN t USING (scorer) WHERE part = 'test' GROUP BY scorer""",
+    "error_rates": f"WITH {SCORED} SELECT category, round(avg(judge) FILTER (y = 0), 6) AS fpr, round(avg(1 - judge) FILTER (y = 1), 6) AS fnr FROM scored GROUP BY category",
+    "category_fnr": f"WITH {SCORED} SELECT category, count(*) AS n, round(avg(CASE WHEN score < (SELECT median(score) FROM scored) THEN 1.0::DOUBLE ELSE 0 END), 6) AS fnr FROM scored WHERE y = 1 GROUP BY category HAVING count(*) >= 20",
+    "stratified_auroc": f"WITH {_LONG}, st AS (SELECT *, id % 7 AS stratum FROM lg), a AS (SELECT * FROM {_auc_sql('st', 'scorer, stratum')}) SELECT scorer, round(sum(auroc * positives * negatives) / sum(positives * negatives), 6) AS auroc FROM a WHERE positives * negatives > 0 GROUP BY scorer",
+    "spearman": f"WITH {_RANKS} SELECT round(ab, 6) AS rho FROM cr",
+    "partial_spearman": f"WITH {_RANKS}, sl AS (SELECT regr_slope(a, c) AS sa, regr_intercept(a, c) AS ia, regr_slope(b, c) AS sb, regr_intercept(b, c) AS ib FROM rr) SELECT round(corr(a - (ia + sa * c), b - (ib + sb * c)), 6) AS rho FROM rr, sl",
+    "style_gap": f"WITH {_LONG}, st AS (SELECT *, CASE WHEN category < 5 THEN 'vanilla' ELSE 'adversarial' END AS style FROM lg), a AS (SELECT * FROM {_auc_sql('st', 'scorer, style')}) SELECT scorer, round(max(auroc) FILTER (style = 'vanilla'), 6) AS vanilla, round(max(auroc) FILTER (style = 'adversarial'), 6) AS adversarial, round(max(auroc) FILTER (style = 'vanilla') - max(auroc) FILTER (style = 'adversarial'), 6) AS gap FROM a GROUP BY scorer",
+    "fisher_ratio": f"WITH {_LONG} SELECT scorer, round(pow(avg(value) FILTER (y = 1) - avg(value) FILTER (y = 0), 2) / (var_samp(value) FILTER (y = 1) + var_samp(value) FILTER (y = 0)), 6) AS ratio FROM lg GROUP BY scorer",
+    "slice_metrics": f"""WITH {_LONG}, sl AS (SELECT 'all' AS slice, * FROM lg UNION ALL SELECT 'low', * FROM lg WHERE category < 4 UNION ALL SELECT 'one_class', * FROM lg WHERE category = 3 UNION ALL SELECT 'odd', * FROM lg WHERE id % 2 = 1)
+SELECT slice, scorer, positives, negatives, round(auroc, 6) AS auroc FROM {_auc_sql('sl', 'slice, scorer')} WHERE positives > 0 AND negatives > 0""",
+    "metric_mean_std": f"WITH {RUNS} SELECT variant, count(*) AS n, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS std_samp FROM runs GROUP BY variant",
+    "metric_pivot": f"WITH {RUNS} SELECT variant, round(avg(loss) FILTER (seed = 0), 6) AS seed_0, round(avg(loss) FILTER (seed = 1), 6) AS seed_1, round(avg(loss) FILTER (seed = 2), 6) AS seed_2 FROM runs GROUP BY variant",
+    "lodo_gap": f"WITH {RUNS} SELECT 'variant' AS level, variant AS key, round(avg(loss) FILTER (seed = 0) - avg(loss) FILTER (seed <> 0), 6) AS gap FROM runs GROUP BY variant UNION ALL SELECT 'step', '1', round(avg(loss) FILTER (seed = 0) - avg(loss) FILTER (seed <> 0), 6) FROM runs WHERE step = 1",
+    "quantile_bins": f"""WITH {SCORED}, e AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS qs, quantile_cont(other_score, [0.3333333333333333, 0.6666666666666666]) AS qo FROM scored),
+b AS (SELECT id, CAST(len(list_filter(qs, lambda q: q <= score)) AS INTEGER) AS score_bin, CAST(len(list_filter(qo, lambda q: q <= other_score)) AS INTEGER) AS other_bin FROM scored, e) SELECT id, score_bin, other_bin, score_bin * 3 + other_bin AS cell FROM b""",
+    "length_auroc": f"WITH {PROMPTS}, f AS (SELECT lang, toxic AS y, 'chars' AS feature, length(prompt)::DOUBLE AS value FROM prompts UNION ALL SELECT lang, toxic, 'tokens', len(regexp_split_to_array(prompt, '\\s+'))::DOUBLE FROM prompts) SELECT lang, feature, round(auroc, 6) AS auroc FROM {_auc_sql('f', 'lang, feature')}",
+    "shuffled_auroc": f"WITH {SCORED}, a AS (SELECT score, row_number() OVER (ORDER BY id) AS place FROM scored), b AS (SELECT y, row_number() OVER (ORDER BY {hashed_sql('id', 'shuffle')}, id) AS place FROM scored), j AS (SELECT score AS value, y FROM a JOIN b USING (place)) SELECT positives, negatives, round(auroc, 6) AS auroc FROM {_auc_sql('j', '')}",
+    "threshold_grid": f"WITH {_GRIDSQL} SELECT round(t_low, 6) AS t_low, round(t_high, 6) AS t_high, round(share, 6) AS share, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, round(fpr + fnr, 6) AS errors FROM gr",
+    "operating_point": f"WITH {_GRIDSQL} SELECT round(t_low, 6) AS t_low, round(t_high, 6) AS t_high, round(share, 6) AS share, share <= 0.5::DOUBLE + 1e-12::DOUBLE AS within_cap FROM gr, jr WHERE fpr <= jf + 0.01::DOUBLE + 1e-12::DOUBLE AND fnr <= jn + 0.01::DOUBLE + 1e-12::DOUBLE ORDER BY share, round(fpr + fnr, 9), t_low, t_high LIMIT 1",
+    "min_share_curve": f"WITH {_GRIDSQL} SELECT CAST(i AS INTEGER) AS i, round(min(share), 6) AS share FROM gr, jr, range(0, 11, 2) t(i) WHERE fpr <= jf + i / 100.0::DOUBLE + 1e-12::DOUBLE AND fnr <= jn + i / 100.0::DOUBLE + 1e-12::DOUBLE GROUP BY i",
+    "ood_budget": f"WITH {_FLAG} SELECT round(max(tau), 6) AS tau, round(avg(CASE WHEN flag THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM fl",
+    "cascade_route": f"WITH {_ROUTE} SELECT id, to_judge, CAST(pred AS INTEGER) AS pred FROM rt",
+    "zone_shares": f"WITH {_FLAG}, z AS (SELECT score > {LOW} AND score < {HIGH} AS core, flag, score >= {HIGH} AND NOT flag AS harm FROM fl) SELECT round(avg(CASE WHEN NOT core AND NOT flag AND NOT harm THEN 1.0::DOUBLE ELSE 0 END), 6) AS auto_safe, round(avg(CASE WHEN harm THEN 1.0::DOUBLE ELSE 0 END), 6) AS auto_harm, round(avg(CASE WHEN core THEN 1.0::DOUBLE ELSE 0 END), 6) AS judge_gray, round(avg(CASE WHEN flag AND NOT core THEN 1.0::DOUBLE ELSE 0 END), 6) AS judge_ood FROM z",
+    "latency_compose": f"WITH {_ROUTE}, {RUNS}, t AS (SELECT avg(loss) FILTER (seed = 0) AS enc, avg(loss) FILTER (seed = 1) AS jud FROM runs) SELECT round(avg(enc + CASE WHEN to_judge THEN jud ELSE 0 END), 6) AS mean_cost, round(avg(jud) / avg(enc + CASE WHEN to_judge THEN jud ELSE 0 END), 6) AS speed_up FROM rt, t",
+    "sweep_best": f"WITH {RUNS} SELECT variant, seed, arg_min(step, (loss, step)) AS best_step, round(min(loss), 6) AS best_loss FROM runs GROUP BY 1, 2",
+    "bootstrap_ci": f"""WITH {SCORED}, x AS (SELECT id, y, CASE WHEN (score > 0)::INT <> y THEN 1.0::DOUBLE ELSE 0 END AS a, CASE WHEN (other_score > 0)::INT <> y THEN 1.0::DOUBLE ELSE 0 END AS b, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY y) AS n FROM scored),
+dr AS (SELECT round, y, CAST(floor({uniform_sql("concat_ws(':', CAST(round AS VARCHAR), CAST(y AS VARCHAR), CAST(pos AS VARCHAR))", "boot")} * n) AS BIGINT) AS pos FROM x, range(0, {ROUNDS}) t(round)),
+r AS (SELECT dr.round AS rd, avg(a) - avg(b) AS diff FROM dr JOIN x ON x.y = dr.y AND x.pos = dr.pos GROUP BY dr.round) SELECT round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM r""",
+    "cluster_bootstrap": f"""WITH {SCORED}, g AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT category FROM scored)),
+dr AS (SELECT t.round AS rd, CAST(floor({uniform_sql("concat_ws(':', CAST(t.round AS VARCHAR), CAST(pos AS VARCHAR))", "cluster")} * n) AS BIGINT) AS pos FROM g, range(0, {ROUNDS}) t(round)),
+y AS (SELECT dr.rd, scored.score AS value, scored.y FROM dr JOIN g ON g.pos = dr.pos JOIN scored ON scored.category = g.category) SELECT count(*) AS rounds, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM {_auc_sql('y', 'rd')} WHERE positives > 0 AND negatives > 0""",
+}
+
+QUERIES = {f.__name__: f for f in (auroc_rank, roc_curve, tpr_at_fpr, partial_auroc, threshold_transfer, error_rates, category_fnr, stratified_auroc, spearman, partial_spearman, style_gap, fisher_ratio, slice_metrics, metric_mean_std, metric_pivot, lodo_gap, quantile_bins, length_auroc, shuffled_auroc, threshold_grid, operating_point, min_share_curve, ood_budget, cascade_route, zone_shares, cv_operating_points, latency_compose, sweep_best, lda_scores, ood_scores, bootstrap_ci, cluster_bootstrap, probe_cv, probe_cgrid, transfer_matrix, bow_probe, platt_logloss)}

@@ -71,11 +71,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     x = lambda i: F.element_at("embedding", i).cast("double")
     y = (F.col("label") % 2).cast("int")
     wrong = uniform(F.col("vec_id"), "judge") < 0.1
-    return e.select(F.col("vec_id").alias("id"), y.alias("y"), F.col("label").alias("category"), F.round(x(1) + x(2) * 0.5 + y * 0.1, 3).alias("score"), F.round(x(3) + y * 0.05, 3).alias("other_score"), F.when(wrong, 1 - y).otherwise(y).alias("judge"))
+    return e.select(F.col("vec_id").alias("id"), y.alias("y"), F.col("label").alias("category"), (F.round(x(1) + x(2) * 0.5 + y * 0.1, 3) + 0.0).alias("score"), (F.round(x(3) + y * 0.05, 3) + 0.0).alias("other_score"), F.when(wrong, 1 - y).otherwise(y).alias("judge"))
 
 
 SCORED = f"""scored AS (SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS y, label AS category,
-  round(embedding[1]::DOUBLE + embedding[2]::DOUBLE * 0.5::DOUBLE + (label % 2) * 0.1::DOUBLE, 3) AS score, round(embedding[3]::DOUBLE + (label % 2) * 0.05::DOUBLE, 3) AS other_score,
+  round(embedding[1]::DOUBLE + embedding[2]::DOUBLE * 0.5::DOUBLE + (label % 2) * 0.1::DOUBLE, 3) + 0.0::DOUBLE AS score, round(embedding[3]::DOUBLE + (label % 2) * 0.05::DOUBLE, 3) + 0.0::DOUBLE AS other_score,
   CASE WHEN {uniform_sql("vec_id", "judge")} < 0.1 THEN 1 - label % 2 ELSE label % 2 END AS judge FROM embeddings)"""
 
 
