@@ -59,22 +59,25 @@ def _chunks(groups: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.empty((0, 0))
-            for g in np.unique(group):
-                mine = np.flatnonzero(group == g)
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            start = np.cumsum(size) - size
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for g, dims in sorted(set(zip(group.tolist(), size.tolist(), strict=True))):
+                mine = np.flatnonzero((group == g) & (size == dims))
                 for a in range(0, len(mine), CHUNK):
                     part = mine[a : a + CHUNK]
                     pairs = [min(g, o) * groups + max(g, o) for o in range(groups)]
-                    blobs = [ids[part].astype(np.int64).tobytes(), copies[part].astype(np.int64).tobytes(), x[part].tobytes()]
+                    vectors = flat[start[part][:, None] + np.arange(dims)]
+                    blobs = [ids[part].astype(np.int64).tobytes(), copies[part].astype(np.int64).tobytes(), vectors.tobytes()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(pairs, pa.int64()), pa.array([int(g)] * groups, pa.int32()), pa.array([x.shape[1]] * groups, pa.int32())] + [pa.array([b] * groups, pa.binary()) for b in blobs],
+                        [pa.array(pairs, pa.int64()), pa.array([g] * groups, pa.int32()), pa.array([dims] * groups, pa.int32())] + [pa.array([b] * groups, pa.binary()) for b in blobs],
                         names=["pair", "side", "dims", "ids", "copies", "vectors"],
                     )
 
     return pack
 
 
-def _compare(groups: int, threshold: float):
+def _compare(groups: int, threshold: float, tile: int):
     """All pairs of two groups: linked copies per vector, and a spanning forest of the links."""
 
     def compare(table: pa.Table) -> pa.Table:
@@ -94,9 +97,9 @@ def _compare(groups: int, threshold: float):
             if first not in packed or second not in packed:
                 continue
             a, b = packed[first], packed[second]
-            for i0 in range(0, len(a[0]), TILE):
-                for j0 in range(i0 if first == second else 0, len(b[0]), TILE):
-                    ra, rb = slice(i0, i0 + TILE), slice(j0, j0 + TILE)
+            for i0 in range(0, len(a[0]), tile):
+                for j0 in range(i0 if first == second else 0, len(b[0]), tile):
+                    ra, rb = slice(i0, i0 + tile), slice(j0, j0 + tile)
                     i, j = possible(*(x[ra] for x in a[3:6]), *(x[rb] for x in b[3:6]), threshold)
                     if first == second and i0 == j0:
                         i, j = i[i < j], j[i < j]
@@ -154,7 +157,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     dealt = classes.select("rep", "copies", "vector", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("group"))
     chunks = dealt.mapInArrow(_chunks(groups), "pair long, side int, dims int, ids binary, copies binary, vectors binary")
     tasks = groups * (groups + 1) // 2
-    found = written(chunks.repartition(tasks, "pair").groupBy("pair").applyInArrow(_compare(groups, threshold), "node long, n long, u long, v long"), "vector-links")
+    found = written(chunks.repartition(tasks, "pair").groupBy("pair").applyInArrow(_compare(groups, threshold, TILE), "node long, n long, u long, v long"), "vector-links")
     links = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("linked"))
     own = base.where("key IS NOT NULL").select("vec_id", "key").join(classes.select("key", "rep", "copies"), "key")
     same = own.select(F.col("vec_id").alias("u"), F.col("rep").alias("v")).where("u <> v")

@@ -54,30 +54,34 @@ def _scan(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_bytes: int):
     """Blocks of documents as indexes into the block's own distinct words."""
-    context, seq = TaskContext.get(), 0
-    for batch in batches:
-        raw, off = buffers(batch.column(2))
-        for i, j in slices(off, BLOCK_BYTES):
-            h, owner, pos, size = _scan(raw, off[i : j + 1])
-            uniq, at, index = np.unique(h, return_index=True, return_inverse=True)
-            held = batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False)
-            train = np.bincount(index, weights=~held[owner], minlength=len(uniq)).astype(np.uint32)
-            one, two = raw[pos[at]], raw[pos[at] + np.minimum(size[at] - 1, 1)]
-            prefix = (_LOWER[one].astype(np.uint16) * 31 + _LOWER[two] * np.uint16(7)).astype(np.uint8)
-            counts = np.bincount(owner, minlength=j - i).astype(np.int32)
-            order = np.argsort(-np.bincount(index, minlength=len(uniq)), kind="stable")  # frequent words get small numbers
-            place = np.empty(len(uniq), np.uint32)
-            place[order] = np.arange(len(uniq), dtype=np.uint32)
-            blobs = [held.tobytes(), counts.tobytes(), pack(place[index]), pack(order.astype(np.uint32)), pack(uniq, True), prefix.tobytes(), pack(train)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(context.partitionId() << 24) + seq], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))]
-                + [pa.array([x], pa.binary()) for x in blobs]
-                + [pa.array([int(x)], pa.int64()) for x in (len(uniq), (~held).sum(), train.sum())],
-                names=["block", "doc_ids", "held", "counts", "index", "order", "hashes", "prefix", "train", "n_uniq", "n_texts", "n_words"],
-            )
-            seq += 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, seq = TaskContext.get(), 0
+        for batch in batches:
+            raw, off = buffers(batch.column(2))
+            for i, j in slices(off, block_bytes):
+                h, owner, pos, size = _scan(raw, off[i : j + 1])
+                uniq, at, index = np.unique(h, return_index=True, return_inverse=True)
+                held = batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False)
+                train = np.bincount(index, weights=~held[owner], minlength=len(uniq)).astype(np.uint32)
+                one, two = raw[pos[at]], raw[pos[at] + np.minimum(size[at] - 1, 1)]
+                prefix = (_LOWER[one].astype(np.uint16) * 31 + _LOWER[two] * np.uint16(7)).astype(np.uint8)
+                counts = np.bincount(owner, minlength=j - i).astype(np.int32)
+                order = np.argsort(-np.bincount(index, minlength=len(uniq)), kind="stable")  # frequent words get small numbers
+                place = np.empty(len(uniq), np.uint32)
+                place[order] = np.arange(len(uniq), dtype=np.uint32)
+                blobs = [held.tobytes(), counts.tobytes(), pack(place[index]), pack(order.astype(np.uint32)), pack(uniq, True), prefix.tobytes(), pack(train)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(context.partitionId() << 24) + seq], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))]
+                    + [pa.array([x], pa.binary()) for x in blobs]
+                    + [pa.array([int(x)], pa.int64()) for x in (len(uniq), (~held).sum(), train.sum())],
+                    names=["block", "doc_ids", "held", "counts", "index", "order", "hashes", "prefix", "train", "n_uniq", "n_texts", "n_words"],
+                )
+                seq += 1
+
+    return cut
 
 
 def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +305,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    blocks = written(source.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    blocks = written(source.mapInArrow(_blocks(BLOCK_BYTES), BLOCKS), "lm-blocks")
     uniq, texts, words = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_uniq", "n_texts", "n_words")]).first()
     parts = partitions_for(uniq, MERGED)
     asked = blocks.select("block", "hashes", "prefix", "train").mapInArrow(_requests(parts), "part int, block long, hashes binary, prefix binary, train binary")
@@ -326,7 +330,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
             c = _counts_of(row, h, parts)
             k, share = v.classed(h, np.frombuffer(row["prefix"], np.uint8), c)
             owner = np.repeat(np.arange(len(counts)), counts)
-            add = lambda w, o=owner, n=len(counts): np.bincount(o, weights=w, minlength=n)
+            add = lambda w, o=owner, n=len(counts): np.bincount(o, weights=w, minlength=n).astype(np.float64)
             s, depth = _sequence(k[index].astype(np.uint64), counts)
             own_score = add(share[index])
             texts_at = np.repeat(np.arange(len(counts)), counts.astype(np.int64) + 2)

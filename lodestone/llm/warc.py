@@ -93,10 +93,11 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
 class Bundle:
     """Writes one bundle under a name of its own; a task that is run again writes another file."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
         self.files, self.folder = store(folder)
+        self.frame_bytes = frame_bytes
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.out = self.files.open_output_stream(f"{self.folder}/{self.name}", compression=None)
@@ -105,7 +106,7 @@ class Bundle:
         self.index: list[tuple] = []
 
     def add(self, record_id: int | None, data: bytes) -> None:
-        if self.size and self.size + len(data) > FRAME_BYTES:
+        if self.size and self.size + len(data) > self.frame_bytes:
             self.flush()
         self.pending.append((record_id, self.size, len(data)))
         self.buffer.append(data)
@@ -132,15 +133,15 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
 
-def _writer(folder: str):
+def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
             for step in range(0, batch.num_rows, 256):
                 for page, uri, html, digest, refers in zip(*(c.to_pylist() for c in batch.slice(step, 256).columns), strict=True):
-                    bundle = bundle or Bundle(folder)
+                    bundle = bundle or Bundle(folder, frame_bytes)
                     bundle.add(page, record(page, uri, (html or "").encode(), digest, refers))
-                    if bundle.at >= BUNDLE_BYTES:
+                    if bundle.at >= bundle_bytes:
                         bundle.close()
                         yield _index_batch(bundle.index)
                         bundle = None
@@ -168,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(text.cast("binary"), 256).alias("digest"))
     again = base.where(F.octet_length(text) >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     joined = base.join(again, "digest", "left").select("page_id", "url", "html", "digest", F.expr("CASE WHEN first IS NOT NULL AND NOT (first <=> page_id) THEN first END").alias("refers_to"))
-    return written(joined.mapInArrow(_writer(folder), INDEX), "warc-index")
+    return written(joined.mapInArrow(_writer(folder, FRAME_BYTES, BUNDLE_BYTES), INDEX), "warc-index")
 
 
 def _reader(folder: str):
