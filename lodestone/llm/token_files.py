@@ -35,6 +35,8 @@ FILE_BYTES = 32 << 20
 END_ID = 2
 TOTAL_BITS, FLOOR_BITS, SLOT_BITS, SURE, EVERY = 28, 22, 18, 7, 4
 KINDS = (SURE + 1) ** 2 * 2
+#: Confidence after a hit, and after a miss; from 1 or less a miss starts a new prediction at 1.
+UP, DOWN = np.minimum(np.arange(SURE + 1) + 1, SURE).astype(np.uint8), np.maximum(np.arange(SURE + 1) >> 1, 1).astype(np.uint8)
 _MAGIC, _BLOCK = b"LTOK1\n", struct.Struct("<IIIIII")  # ids, lanes, words, vocabulary, crc32 of the ids, crc32 of the payload
 _FOOT = struct.Struct("<QII6s")  # place of the document table, its bytes, documents, magic
 
@@ -47,8 +49,8 @@ class Model:
 
     def __init__(self, vocabulary: int):
         self.count = np.ones(vocabulary, np.int64)
-        self.one, self.two = np.full(vocabulary + 1, vocabulary, np.int64), np.full(1 << SLOT_BITS, vocabulary, np.int64)
-        self.sure_one, self.sure_two = np.zeros(vocabulary + 1, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        self.one, self.two = np.full(vocabulary + 1, vocabulary, np.int32), np.full(1 << SLOT_BITS, vocabulary, np.int32)
+        self.sure_one, self.sure_two = np.zeros(vocabulary + 1, np.uint8), np.zeros(1 << SLOT_BITS, np.uint8)
         self.right = np.ones((KINDS, 3), np.int64)
         self.right[:, 0] = 4
         self.seen: list[np.ndarray] = []
@@ -63,10 +65,10 @@ class Model:
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         self.last = last
-        self.slot = ((before * 0x9E3779B1 + last * 0x85EBCA77) >> 7) & ((1 << SLOT_BITS) - 1)
+        self.slot = (before.view(np.uint32) * np.uint32(0x9E3779B1) + last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
         self.p1, self.p2 = self.one[last], self.two[self.slot]
         self.c1, self.c2 = self.sure_one[last], self.sure_two[self.slot]
-        self.kind = (self.c2 * (SURE + 1) + self.c1) * 2 + (self.p1 == self.p2)
+        self.kind = (self.c2 * np.uint8(SURE + 1) + self.c1) * np.uint8(2) + (self.p1 == self.p2)
         self.f2, self.f1 = self.width2[self.kind], self.width1[self.kind]
         self.base = self.f1 + self.f2
         self.rest = (1 << TOTAL_BITS) - self.base
@@ -84,12 +86,10 @@ class Model:
         for table, sure, at, p, c in ((self.one, self.sure_one, self.last, self.p1, self.c1), (self.two, self.sure_two, self.slot, self.p2, self.c2)):
             hit = p == ids
             new = np.flatnonzero(~hit & (c <= 1))
-            c = np.where(hit, np.minimum(c + 1, SURE), c >> 1)
-            c[new] = 1
-            sure[at] = c
+            sure[at] = np.where(hit, UP[c], DOWN[c])
             table[at[new]] = ids[new]
         self.seen.append(ids)
-        self.chosen.append(self.kind * 3 + part)
+        self.chosen.append(self.kind * np.int64(3) + part)
         if len(self.seen) == EVERY:
             self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
             self.right += 2 * np.bincount(np.concatenate(self.chosen), minlength=KINDS * 3).reshape(KINDS, 3)
@@ -136,12 +136,12 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of any number of ids below ``vocabulary``."""
     n = len(ids)
     lanes, steps = _lanes(n)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     length = np.clip(n - np.arange(lanes) * steps, 0, steps)
     model, coder = Model(vocabulary), _Coder(lanes)
-    before = last = np.zeros(lanes, np.int64)
+    before = last = np.zeros(lanes, np.int32)
     who, words = [], []
     for t in range(steps):
         k = int((length > t).sum())  # lanes are filled in order, so the active ones come first
@@ -183,8 +183,8 @@ def decode_block(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     model, coder = Model(vocabulary), _Coder(lanes)
     code = (words[place] << _HALF) | words[place + 1]
     place = place + 2
-    out = np.zeros((steps, lanes), np.int64)
-    before = last = np.zeros(lanes, np.int64)
+    out = np.zeros((steps, lanes), np.int32)
+    before = last = np.zeros(lanes, np.int32)
     for t in range(steps):
         k = int((length > t).sum())
         if not k:
@@ -196,7 +196,7 @@ def decode_block(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         x = np.where(part == 2, model.p2, model.p1)
         plain = np.flatnonzero(part == 0)
         x[plain] = np.searchsorted(model.cum, ((value[plain] - model.base[plain] + 1) * model.total - 1) // model.rest[plain], "right") - 1
-        x = np.minimum(x, vocabulary - 1)
+        x = np.minimum(x, vocabulary - 1).astype(np.int32)
         start, size = model.interval(x, part)
         move = coder.narrow(k, start, size)
         coder.shift(move)

@@ -20,6 +20,8 @@ LIMIT = 2048
 BATCH_BYTES = 1 << 20
 #: Distinct words a Python worker remembers; beyond, it starts afresh.
 REMEMBERED = 600_000
+#: Words that go to the library as one line.
+WORDS_A_LINE = 200
 #: Words longer than this many bytes are not remembered.
 LONGEST = 64
 
@@ -44,7 +46,11 @@ class Encoder:
             self.library = Tokenizer.from_str(blob.decode())
             self.library.no_truncation()
             self.library.no_padding()
-            self.by_word = bool(json.loads(blob)["model"].get("end_of_word_suffix"))
+            suffix = json.loads(blob)["model"].get("end_of_word_suffix")
+            self.by_word = bool(suffix)
+            if suffix:
+                self.ends = np.zeros(self.library.get_vocab_size(), bool)
+                self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
         else:
             import sentencepiece
 
@@ -58,6 +64,28 @@ class Encoder:
             return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return self.library.encode(texts, num_threads=1)
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of blank-free words. Words of letters only go to the library many at once.
+
+        Such a word gives at least one end of a word; if a line gives as many ends as it has
+        words, each word gave one, and the ids are cut there. Other lines and words are encoded one by one.
+        """
+        out: list[list[int] | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        lines = [plain[k : k + WORDS_A_LINE] for k in range(0, len(plain), WORDS_A_LINE)]
+        for line, ids in zip(lines, self.encode([" ".join([words[i] for i in line]) for line in lines]), strict=True):
+            x = np.array(ids, np.int64)
+            cut = np.flatnonzero(self.ends[x]) + 1
+            if len(cut) == len(line):
+                at = 0
+                for i, z in zip(line, cut.tolist(), strict=True):
+                    out[i] = ids[at:z]
+                    at = z
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.encode([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _learn(self, cache: dict, words: list[list[bytes]], value) -> list[bytes]:
         """Put all words into the cache; returns those too long to stay there."""
         seen = set().union(*words)
@@ -67,7 +95,7 @@ class Encoder:
             new = list(seen)
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, ids in zip(part, self.encode([w.decode() for w in part]), strict=True):
+            for w, ids in zip(part, self.encode_words([w.decode() for w in part]), strict=True):
                 cache[w] = value(ids)
         return [w for w in new if len(w) > LONGEST]
 
