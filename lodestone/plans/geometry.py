@@ -34,13 +34,13 @@ def tfidf_weights(s, d):
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 
-def _tfidf_sql(source: str, key: str, sub: bool, by: str = "") -> str:
+def _tfidf_sql(source: str, key: str, sub: bool, by: str = "", found: str = f"unnest({_TOK})") -> str:
     g, j = (f"{by}, ", f"{by}, ") if by else ("", "")
     part = f"PARTITION BY {by}, {key}" if by else f"PARTITION BY {key}"
     tf = "(1 + ln(tf))" if sub else "tf"
     nn = f"n AS (SELECT {by}, count(DISTINCT {key}) AS n FROM tf GROUP BY {by})" if by else f"n AS (SELECT count(DISTINCT {key}) AS n FROM tf)"
     jn = f"JOIN n USING ({by})" if by else "CROSS JOIN n"
-    return f"""tk AS (SELECT {g}{key}, unnest({_TOK}) AS term FROM {source}),
+    return f"""tk AS (SELECT {g}{key}, {found} AS term FROM {source}),
 tf AS (SELECT {g}{key}, term, count(*) AS tf FROM tk GROUP BY ALL), {nn}, df AS (SELECT {j}term, count(*) AS df FROM tf GROUP BY ALL),
 rw AS (SELECT {g}{key}, term, {tf} * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING ({j}term) {jn}),
 wt AS (SELECT {g}{key}, term, raw / sqrt(sum(raw * raw) OVER ({part})) AS weight FROM rw)"""
@@ -296,6 +296,8 @@ _BENCH = "bx AS (SELECT item_id AS id, text FROM benchmark WHERE text IS NOT NUL
 ORACLE_SQL = {
     "tfidf_weights": f"WITH {_BENCH}, {_tfidf_sql('bx', 'id', False)} SELECT id, term, round(weight, 6) AS weight FROM wt",
     "tfidf_paraphrase": f"WITH {_BENCH}, {_tfidf_sql('bx', 'id', True)}, {_PARA} SELECT a, b, score FROM sm WHERE score BETWEEN 0.1 AND 0.95",
+    "neardup_anti": f"""WITH bt AS (SELECT item_id AS id, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS text FROM benchmark WHERE text IS NOT NULL), bw AS (SELECT id, {_TOK} AS w FROM bt),
+{_tfidf_sql("bw", "id", True, found="unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))")}, {_PARA} SELECT id FROM bt WHERE id NOT IN (SELECT b FROM sm WHERE score >= 0.9)""",
     "l2_normalize": f"WITH {_Z} SELECT id, round(sqrt(list_dot_product(z, z)), 6) AS norm, round(z[1], 6) AS first FROM z",
     "describe_embeddings": f"WITH {_Z} SELECT label, max(len(e)) AS dim, count(*) AS n, round(avg(nrm), 6) AS mean_norm, round(stddev_samp(nrm), 6) AS std_norm_samp, round(quantile_cont(nrm, 0.25), 6) AS q25, round(quantile_cont(nrm, 0.5), 6) AS q50, round(quantile_cont(nrm, 0.75), 6) AS q75 FROM z GROUP BY label",
     "class_centroids": f"WITH {_Z} SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(z[i]), 6) AS mean FROM z, range(1, 65) r(i) GROUP BY label, i",
