@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, partitions_for, ship, written
-from .textscan import buffers, mixed, pack, shingle_sets, unpack
+from .textscan import buffers, mixed, pack, shingle_sets, slices, unpack
 
-#: Text bytes whose signatures one task merges; bytes of shingle sets that one task verifies.
-MERGED_BYTES, VERIFIED_BYTES = 32 << 20, 16 << 20
+#: Text bytes that are signed at once, and whose signatures one task merges; bytes of shingle sets that one task verifies.
+SIGNED_BYTES, MERGED_BYTES, VERIFIED_BYTES = 4 << 20, 16 << 20, 16 << 20
 #: Clusters beyond this many bytes of sets are verified in pairs of blocks.
 CLUSTER_BYTES = 48 << 20
 #: Documents that every block of such a cluster is compared with first.
@@ -167,36 +167,40 @@ def _sign(words: int, percent: int, parts: int):
         for batch in batches:
             raw, off = buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            rows, keys, kinds, docs = [], [], [], []
-            for d, tokens in shingle_sets(raw, off, words):
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                rows.append((ids[d], len(tokens), d1, d2))
-                # a copy of a set met before in this task is found by its digest
-                if len(tokens) and ids[d] is not None and digest not in seen:
-                    seen.add(digest)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    k, t = signatures(tokens, percent)
-                    keys.append(k)
-                    kinds.append(t)
-                    docs.append(np.full(len(k), ids[d], np.int64))
-            part = [abs(hash((r[2], r[3]))) % parts for r in rows]
-            yield _emit(SENT, len(rows), part=part, **{c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "n", "d1", "d2"))})
-            if not keys:
-                continue
-            k, t, d = np.concatenate(keys), np.concatenate(kinds), np.concatenate(docs)
-            a, b, stay = stars(k, d, t)
-            a, b = _unique_links(a, b)
-            if len(a):
-                yield _emit(SENT, len(a), part=(a % parts).astype(np.int32), a=a, b=b)
-            k, d, t = k[stay], d[stay], t[stay]
-            p = (k % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(p, kind="stable")
-            cut = np.searchsorted(p[order], np.arange(parts + 1))
-            here = [i for i in range(parts) if cut[i] < cut[i + 1]]
-            blobs = {c: [pack(x[order[cut[i] : cut[i + 1]]], c == "keys") for i in here] for c, x in (("keys", k), ("docs", d), ("kinds", t))}
-            yield _emit(SENT, len(here), part=here, **blobs)
+            for i, j in slices(off, SIGNED_BYTES):
+                yield from some(raw, off[i : j + 1], ids[i:j], seen)
+
+    def some(raw: np.ndarray, off: np.ndarray, ids: list[int | None], seen: set[bytes]) -> Iterator[pa.RecordBatch]:
+        rows, keys, kinds, docs = [], [], [], []
+        for d, tokens in shingle_sets(raw, off, words):
+            digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+            d1, d2 = np.frombuffer(digest, np.int64).tolist()
+            rows.append((ids[d], len(tokens), d1, d2))
+            # a copy of a set met before in this task is found by its digest
+            if len(tokens) and ids[d] is not None and digest not in seen:
+                seen.add(digest)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                k, t = signatures(tokens, percent)
+                keys.append(k)
+                kinds.append(t)
+                docs.append(np.full(len(k), ids[d], np.int64))
+        part = [abs(hash((r[2], r[3]))) % parts for r in rows]
+        yield _emit(SENT, len(rows), part=part, **{c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "n", "d1", "d2"))})
+        if not keys:
+            return
+        k, t, d = np.concatenate(keys), np.concatenate(kinds), np.concatenate(docs)
+        a, b, stay = stars(k, d, t)
+        a, b = _unique_links(a, b)
+        if len(a):
+            yield _emit(SENT, len(a), part=(a % parts).astype(np.int32), a=a, b=b)
+        k, d, t = k[stay], d[stay], t[stay]
+        p = (k % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(p, kind="stable")
+        cut = np.searchsorted(p[order], np.arange(parts + 1))
+        here = [i for i in range(parts) if cut[i] < cut[i + 1]]
+        blobs = {c: [pack(x[order[cut[i] : cut[i + 1]]], c == "keys") for i in here] for c, x in (("keys", k), ("docs", d), ("kinds", t))}
+        yield _emit(SENT, len(here), part=here, **blobs)
 
     return sign
 
