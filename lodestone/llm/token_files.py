@@ -334,7 +334,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10_000]], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.repartition(max(1, files.count()), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
