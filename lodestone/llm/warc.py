@@ -202,8 +202,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """All records of the bundles that the index names, frame by frame; digests are verified."""
     ship(index.sparkSession)
     bundles = index.select("bundle").distinct()
-    # names are few bytes, so the number of tasks is set by the bundles and not by the bytes shuffled
-    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
+    # names are few bytes and would be merged into one task; dealt in turn, each bundle is a task
+    bundles = bundles.repartition(max(1, bundles.count()))
     return bundles.mapInArrow(_reader(folder), RECORDS)
 
 
