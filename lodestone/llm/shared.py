@@ -4,6 +4,7 @@ the package to Python workers, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per application."""
     key = f"shipped-{spark.sparkContext.applicationId}"

@@ -1,11 +1,14 @@
 """Language-model scores from a probabilistic suffix tree over tokens.
 
-Tokens are the words of a text and one end. Symbols of the tree are classes of tokens: each
-frequent word, the end, the start of a text (a context only), one class for words seen once or
-never, and for the others a class by their first two bytes. A token's probability is that of
-its class in the longest suffix state that the tokens before it reach, times the token's share
-of its class. Over the training vocabulary, one unknown word and the end, the
-probabilities of the next token sum to 1 in every state.
+Tokens are the words of a text and one end. Symbols of the tree are every word seen at least
+OWN_COUNT times, the end, the start of a text (a context only), and one class for words seen once
+or never. A token's probability is that of its symbol in the longest suffix state that the
+tokens before it reach, times the token's share of its symbol. Over the training vocabulary, one
+unknown word and the end, the probabilities of the next token sum to 1 in every state.
+
+The counts that make a word a symbol and a context a state are constants, so both grow with the
+corpus. No task holds them all: the tree grows a depth at a time, and the blocks of texts look their
+contexts up in parts by hash. A 64-bit hash stands for a context and for a context with its symbol.
 """
 
 from __future__ import annotations
@@ -18,15 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions_for, ship, written
-from .textscan import _LOWER, STEP, _hashes, buffers, pack, slices, spans, unpack, word_hashes
+from .shared import freed, partitions_for, ship, written
+from .textscan import _LOWER, STEP, _hashes, buffers, mixed, pack, slices, spans, unpack, word_hashes
 
-#: Longest context in tokens; with its symbol it fits one 64-bit key of BITS bits a symbol.
+#: Longest context in tokens; in a Tree it fits with its symbol one 64-bit key of BITS bits a symbol.
 DEPTH, BITS = 3, 13
-#: Least share of all tokens of a word with a class of its own: at most 1 / share classes.
-OWN_CLASS = 2e-4
-#: Least share of all tokens that a context must precede to be a candidate state, and least count.
-LEAST_SHARE, LEAST_COUNT = 2e-5, 8
+#: Least count of a word that is a symbol of its own, and of the tokens that a candidate state precedes.
+OWN_COUNT, LEAST_COUNT = 2, 8
 #: A candidate stays if its next-symbol distribution diverges from its suffix's: nats in all, nats a token.
 GAIN, DIVERGENCE = 30.0, 0.01
 #: Weight of the suffix's distribution in a state's, in counts.
@@ -36,21 +37,25 @@ ADDED = 0.1
 #: Text bytes of a block, and word entries that one task merges.
 BLOCK_BYTES, MERGED = 8 << 20, 1_000_000
 END, START, RARE, FIRST_PREFIX, FIRST_OWN = 0, 1, 2, 8, 8 + 256
+#: Code lengths are summed as integers of this many parts a nat, so their sums don't depend on the blocks.
+NAT = 1 << 20
 _SYMBOL = np.uint64((1 << BITS) - 1)
 _DEPTH_AT = np.uint64(60)
 
-BLOCKS = "block long, doc_ids array<long>, held binary, counts binary, index binary, order binary, hashes binary, prefix binary, train binary, n_uniq long, n_texts long, n_words long"
+BLOCKS = "block long, doc_ids array<long>, held binary, counts binary, index binary, order binary, hashes binary, train binary, n_uniq long, n_texts long, n_words long"
+#: What a block sends of its contexts: their hashes, numbers of symbols and code lengths, and each symbol and its count.
+REQUEST = ("contexts", "sizes", "costs", "symbols", "n")
 
 
 def _scan(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, document, position, length) of every word."""
+    """(hash, document) of every word."""
     parts = []
     for a, z in slices(off, STEP):
         sub = off[a : z + 1]
         b = _LOWER[raw[sub[0] : sub[-1]]]
         s, e, d = spans(b, sub - sub[0])
         h = word_hashes(raw, sub)[0] if z - a == 1 and len(b) > STEP else _hashes(b, s, e)
-        parts.append((h, d + a, s + sub[0], e - s))
+        parts.append((h, d + a))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -62,22 +67,20 @@ def _blocks(block_bytes: int):
         for batch in batches:
             raw, off = buffers(batch.column(2))
             for i, j in slices(off, block_bytes):
-                h, owner, pos, size = _scan(raw, off[i : j + 1])
-                uniq, at, index = np.unique(h, return_index=True, return_inverse=True)
+                h, owner = _scan(raw, off[i : j + 1])
+                uniq, index = np.unique(h, return_inverse=True)
                 held = batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False)
                 train = np.bincount(index, weights=~held[owner], minlength=len(uniq)).astype(np.uint32)
-                one, two = raw[pos[at]], raw[pos[at] + np.minimum(size[at] - 1, 1)]
-                prefix = (_LOWER[one].astype(np.uint16) * 31 + _LOWER[two] * np.uint16(7)).astype(np.uint8)
                 counts = np.bincount(owner, minlength=j - i).astype(np.int32)
                 order = np.argsort(-np.bincount(index, minlength=len(uniq)), kind="stable")  # frequent words get small numbers
                 place = np.empty(len(uniq), np.uint32)
                 place[order] = np.arange(len(uniq), dtype=np.uint32)
-                blobs = [held.tobytes(), counts.tobytes(), pack(place[index]), pack(order.astype(np.uint32)), pack(uniq, True), prefix.tobytes(), pack(train)]
+                blobs = [held.tobytes(), counts.tobytes(), pack(place[index]), pack(order.astype(np.uint32)), pack(uniq, True), pack(train)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(context.partitionId() << 24) + seq], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))]
                     + [pa.array([x], pa.binary()) for x in blobs]
                     + [pa.array([int(x)], pa.int64()) for x in (len(uniq), (~held).sum(), train.sum())],
-                    names=["block", "doc_ids", "held", "counts", "index", "order", "hashes", "prefix", "train", "n_uniq", "n_texts", "n_words"],
+                    names=["block", "doc_ids", "held", "counts", "index", "order", "hashes", "train", "n_uniq", "n_texts", "n_words"],
                 )
                 seq += 1
 
@@ -89,49 +92,59 @@ def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return unpack(row["hashes"], np.uint64, True), unpack(row["order"], np.uint32)[unpack(row["index"], np.uint32)]
 
 
-def _dealt(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> tuple[list[int], list[list[bytes]]]:
-    """The parts that occur, and each array cut by part; the first array is sorted."""
+def _dealt(part: np.ndarray, parts: int, arrays: list[np.ndarray], first_sorted: bool = True) -> tuple[list[int], list[list[bytes]]]:
+    """The parts that occur, and each array cut by part; the first array is sorted unless told."""
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     rows = [k for k in range(parts) if cut[k] < cut[k + 1]]
-    return rows, [[pack(x[order[cut[k] : cut[k + 1]]], i == 0) for k in rows] for i, x in enumerate(arrays)]
+    return rows, [[pack(x[order[cut[k] : cut[k + 1]]], first_sorted and i == 0) for k in rows] for i, x in enumerate(arrays)]
 
 
 def _requests(parts: int):
-    """Each block's distinct words, dealt by hash: (part, block, hashes, prefixes, train counts)."""
+    """Each block's distinct words, dealt by hash: (part, block, hashes, train counts)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, p, t = unpack(blobs[0], np.uint64, True), np.frombuffer(blobs[1], np.uint8), unpack(blobs[2], np.uint32)
-                rows, cut = _dealt((h % np.uint64(parts)).astype(np.int64), parts, [h, p, t])
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int64())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "block", "hashes", "prefix", "train"])
+                h, t = unpack(blobs[0], np.uint64, True), unpack(blobs[1], np.uint32)
+                rows, cut = _dealt((h % np.uint64(parts)).astype(np.int64), parts, [h, t])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int64())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "block", "hashes", "train"])
 
     return deal
 
 
-def _merge(own: int):
-    """Corpus counts of a part's words, sent back block by block; block -1 has the part's sums."""
+def _merge(parts: int):
+    """Corpus counts and symbols of a part's words, sent back block by block; block -1 has the part's sums."""
 
     def merge(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
+        blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
         h = [unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()]
-        p = np.concatenate([unpack(x, np.uint8) for x in table.column("prefix").to_pylist()])
         t = np.concatenate([unpack(x, np.uint32) for x in table.column("train").to_pylist()])
-        uniq, at, index = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
+        uniq, index = np.unique(np.concatenate(h), return_inverse=True)
         c = np.bincount(index, weights=t, minlength=len(uniq)).astype(np.int64)
+        own = c >= OWN_COUNT
+        symbol = np.full(len(uniq), RARE, np.uint64)
+        symbol[own] = RARE + 1 + np.arange(own.sum()) * parts + part
         cut = np.cumsum([0, *map(len, h)])
-        replies = [pack(c[index[a:z]]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-        middle, often = (c > 1) & (c < own), c >= own
-        by_prefix = [np.bincount(p[at][middle], weights=w, minlength=256).astype(np.int64) for w in (c[middle], np.ones(middle.sum()))]
-        sums = np.concatenate([[(c > 0).sum(), c.sum(), (c == 1).sum(), (c == 2).sum()], *by_prefix, uniq[often].view(np.int64), c[often]]).astype(np.int64)
-        return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([table.column("part")[0].as_py()] * (len(blocks) + 1), pa.int32()), "reply": pa.array([*replies, sums.tobytes()], pa.binary())})
+        found = [index[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        sums = np.concatenate([[(c > 0).sum(), c.sum(), (c == 1).sum(), (c == 2).sum()], np.zeros(512)]).astype(np.int64)
+        return pa.table(
+            {
+                "block": pa.array([*blocks, -1], pa.int64()),
+                "part": pa.array([part] * (len(blocks) + 1), pa.int32()),
+                "counts": pa.array([*(pack(c[i]) for i in found), sums.tobytes()], pa.binary()),
+                "symbols": pa.array([*(pack(symbol[i]) for i in found), b""], pa.binary()),
+            }
+        )
 
     return merge
 
 
 class Vocabulary:
-    """Classes of tokens and the share of every token, from the sums of all parts."""
+    """Classes of tokens and the share of every token, from the sums of all parts.
+
+    ``score`` takes from it the totals and the classes of a fixed size; words of their own stay in the parts.
+    """
 
     def __init__(self, sums: list[np.ndarray], texts: int):
         head = sum((s[:4] for s in sums), np.zeros(4, np.int64))
@@ -187,57 +200,116 @@ def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return u, np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
 
 
-def _counts_of(row: dict, h: np.ndarray, parts: int) -> np.ndarray:
-    """A block's corpus counts, put back from the order in which its words were dealt."""
-    c = np.zeros(len(h), np.int64)
-    replies = [unpack(x["reply"], np.int64) for x in sorted(row["replies"] or [], key=lambda x: x["part"])]
-    c[np.argsort((h % np.uint64(parts)).astype(np.int64), kind="stable")] = np.concatenate([np.empty(0, np.int64), *replies])
-    return c
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _contexts(parts: int, many: int, vocabulary):
-    """Counts of (context, symbol) in the training texts of each block, dealt by context."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Block:
+    """A block's texts as local symbols, and the states that the parts have sent back."""
+
+    def __init__(self, row: dict, parts: int, many: int, v: Vocabulary):
+        h, self.index = _words_of(row)
+        self.row, self.many = row, many
+        self.held, self.counts = np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], np.int32)
+        order = np.argsort((h % np.uint64(parts)).astype(np.int64), kind="stable")  # in which the words were dealt
+        replies = sorted(row["replies"] or [], key=lambda x: x["part"])
+        self.c, symbol = np.zeros(len(h), np.int64), np.full(len(h), RARE, np.uint64)
+        self.c[order] = np.concatenate([np.empty(0, np.int64), *(unpack(x["counts"], np.int64) for x in replies)])
+        symbol[order] = np.concatenate([np.empty(0, np.uint64), *(unpack(x["symbols"], np.uint64) for x in replies)])
+        own, n, rare = self.c >= OWN_COUNT, max(1, v.total), v.classes[RARE]
+        few = np.where(self.c > 0, (1 - v.discount) / n, v.unknown)
+        self.share = np.where(own, 0.0, np.log10(np.maximum(few, 1e-300)) - np.log10(max(rare, 1e-300)))
+        self.symbol = np.concatenate([np.array([END, START, RARE], np.uint64), symbol])
+        self.root = np.maximum(np.concatenate([[v.classes[END], 0.0, rare], np.where(own, (self.c - v.discount) / n, rare)]), 1e-300)
+        self.known = np.concatenate([[0, v.texts, np.iinfo(np.int64).max], self.c])
+        self.s, self.depth = _sequence(np.where(own, np.arange(len(h)) + 3, RARE)[self.index].astype(np.uint64), self.counts)
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts.astype(np.int64) + 2)
+
+    def walk(self, depth: int, ask: bool) -> tuple[np.ndarray, ...] | tuple[list[int], list[list[bytes]]]:
+        """(positions, probabilities) in the longest states up to ``depth``; or the requests for the next depth.
+
+        A state's distribution is its counts plus SMOOTH times its suffix's. Only contexts whose suffix is a state are
+        asked for. A context precedes as many tokens as its newest symbol follows the others, so what
+        the parts have sent of the others rules out most contexts under LEAST_COUNT without asking.
+        """
+        at = np.flatnonzero(self.depth > 0)
+        out, live, context = self.root[self.s[at].astype(np.int64)], np.arange(len(at)), np.zeros(len(at), np.uint64)
+        follows = self.known[self.s.astype(np.int64)]  # at most so many times the symbol of a place follows the d - 1 before
+        most = np.full(len(self.s), np.iinfo(np.int64).max)  # at most so many tokens the context before a place precedes
+        for d in range(1, depth + ask + 1):
+            most[1:] = np.minimum(most[1:], follows[:-1])
+            some = (self.depth[at[live]] >= d) & (most[at[live]] >= LEAST_COUNT)
+            live, context = live[some], context[some]
+            older = self.symbol[self.s[at[live] - d].astype(np.int64)]
+            context = older if d == 1 else mixed(mixed(context) + older + np.uint64(1))
+            contexts, rank = np.unique(context, return_inverse=True)
+            keys, first, inv = np.unique((rank.astype(np.uint64) << np.uint64(32)) | self.s[at[live]], return_index=True, return_inverse=True)
+            of = (keys >> np.uint64(32)).astype(np.int64)
+            part = (mixed(contexts) % np.uint64(self.many)).astype(np.int64)
+            by_context, by_key = np.argsort(part, kind="stable"), np.argsort(part[of], kind="stable")
+            if d > depth:
+                n = np.bincount(inv, weights=~self.held[self.text[at[live]]], minlength=len(keys))
+                costs = np.bincount(of, weights=n * np.rint(-np.log(out[live[first]]) * NAT), minlength=len(contexts)).astype(np.int64)
+                symbols = self.symbol[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+                rows, cut = _dealt(part, self.many, [contexts, np.bincount(of, minlength=len(contexts)).astype(np.uint32), costs])
+                return rows, cut + _dealt(part[of], self.many, [symbols, n.astype(np.uint32)], False)[1]
+            replies = sorted(self.row[f"states{d}"] or [], key=lambda x: x["part"])
+            totals, n = np.zeros(len(contexts), np.int64), np.zeros(len(keys), np.int64)
+            totals[by_context] = np.concatenate([np.empty(0, np.int64), *(unpack(x["totals"], np.int64) for x in replies)])
+            n[by_key[totals[of[by_key]] > 0]] = np.concatenate([np.empty(0, np.int64), *(unpack(x["n"], np.int64) for x in replies)])
+            found, follows = totals[rank] > 0, most.copy()
+            follows[at[live[found]]] = n[inv[found]]
+            live, context = live[found], context[found]
+            out[live] = (n[inv[found]] + SMOOTH * out[live]) / (totals[rank[found]] + SMOOTH)
+        return at, out
+
+
+def _asked(parts: int, many: int, vocabulary, depth: int):
+    """Counts of (context, symbol) of each block at ``depth``, dealt by context; held-out texts ask but do not count."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            held, counts = np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], np.int32)
-            h, index = _words_of(row)
-            k, _ = vocabulary.value.classed(h, np.frombuffer(row["prefix"], np.uint8), _counts_of(row, h, parts))
-            s, depth = _sequence(k[index[np.repeat(~held, counts)]].astype(np.uint64), counts[~held])
-            at = np.flatnonzero(depth > 0)
-            found = [_summed(_keys(s, at[depth[at] >= d], d) | s[at[depth[at] >= d]]) for d in range(1, DEPTH + 1)]
-            keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            p = (((keys >> np.uint64(BITS)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(many)
-            rows, cut = _dealt(p.astype(np.int64), many, [keys, n])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32())] + [pa.array(x, pa.binary()) for x in cut], names=["part", "keys", "n"])
+            rows, cut = Block(row, parts, many, vocabulary.value).walk(depth - 1, True)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(rows), pa.int64()), pa.array(rows, pa.int32())] + [pa.array(x, pa.binary()) for x in cut], names=["block", "part", *REQUEST])
 
-    return count
+    return ask
 
 
-def _candidates(least: int):
-    """Of a part's contexts those that occur ``least`` times: (keys, counts)."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        u = n = np.empty(0, np.uint64)
-        for a in range(0, table.num_rows, 32):  # a bounded number of chunks at once
-            some = table.slice(a, 32)
-            k, m = [unpack(x, np.uint64, True) for x in some.column("keys").to_pylist()], [unpack(x, np.int64) for x in some.column("n").to_pylist()]
-            u, n = _summed(np.concatenate([u, *k]), np.concatenate([n, *m]))
-        c, inv = np.unique(u >> np.uint64(BITS), return_inverse=True)
-        ok = (np.bincount(inv, weights=n, minlength=len(c)) >= least)[inv]
-        return pa.table({"keys": pa.array([u[ok].tobytes()], pa.binary()), "n": pa.array([n[ok].tobytes()], pa.binary())})
+def _states(table: pa.Table) -> pa.Table:
+    """A part's states, sent back block by block: each context's total, 0 if it is none, and the counts of the others' symbols.
 
-    return merge
+    A state precedes LEAST_COUNT tokens and diverges from its suffix, whose code lengths the blocks have sent.
+    """
+
+    def chunk(i: int) -> tuple[np.ndarray, ...]:
+        c, size, cost, symbol, n = (unpack(table.column(name)[i].as_py(), kind, name == "contexts") for name, kind in zip(REQUEST, (np.uint64, np.uint32, np.int64, np.uint64, np.uint32), strict=True))
+        of = np.repeat(c, size)
+        return mixed(mixed(of) + (symbol + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)), of, n.astype(np.int64), c, cost
+
+    keys, of, n, contexts, costs = (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.uint64, np.int64))
+    for a in range(0, table.num_rows, 32):  # a bounded number of chunks at once
+        k, o, m, c, x = (np.concatenate(y) for y in zip((keys, of, n, contexts, costs), *map(chunk, range(a, min(a + 32, table.num_rows))), strict=True))
+        keys, at, inv = np.unique(k, return_index=True, return_inverse=True)
+        of, n = o[at], np.bincount(inv, weights=m, minlength=len(keys)).astype(np.int64)
+        contexts, inv = np.unique(c, return_inverse=True)
+        costs = np.zeros(len(contexts), np.int64)
+        np.add.at(costs, inv, x)
+    rank = np.searchsorted(contexts, of)
+    totals = np.bincount(rank, weights=n, minlength=len(contexts)).astype(np.int64)
+    told = np.bincount(rank, weights=n * np.log(np.maximum(n, 1)), minlength=len(contexts)) - totals * np.log(np.maximum(totals, 1)) + costs / NAT
+    totals[(totals < LEAST_COUNT) | (told < GAIN) | (told < DIVERGENCE * totals)] = 0
+    sent = []
+    for i in range(table.num_rows):
+        k, o, _, c, _ = chunk(i)
+        sent.append((pack(totals[np.searchsorted(contexts, c)]), pack(n[np.searchsorted(keys, k[totals[np.searchsorted(contexts, o)] > 0])])))
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array([x[0] for x in sent], pa.binary()), "n": pa.array([x[1] for x in sent], pa.binary())})
 
 
 class Tree:
-    """States of the suffix tree: contexts, closed under suffixes, with symbol counts."""
+    """States of the suffix tree in one place: contexts, closed under suffixes, with symbol counts; for few symbols."""
 
     def __init__(self, root: np.ndarray, keys: np.ndarray, n: np.ndarray):
         self.root = np.maximum(root, 1e-300)
@@ -293,9 +365,8 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     Every document outside ``held_out`` is counted whole. Blocks of documents are kept as
     indexes into the block's distinct words; only a block's distinct words and its
     (context, symbol) counts are shuffled, dealt by hash in packed chunks and merged part by part,
-    so a frequent word is one entry a block. Corpus counts of words go back to the blocks that asked.
-    Candidate states precede at least LEAST_SHARE of all tokens, so the tree's size is bounded
-    whatever the corpus, while what it is counted from is all of it.
+    so a frequent word is one entry a block. Corpus counts of words, and of the contexts that are states,
+    go back to the blocks that asked, a depth at a time; nothing that grows with the corpus is broadcast or collected.
 
     A null or blank text has one token, the end. A null ``held_out`` (null doc_id) counts
     as training. Repeated rows are texts of their own. Without training tokens the end and the
@@ -307,45 +378,36 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     blocks = written(source.mapInArrow(_blocks(BLOCK_BYTES), BLOCKS), "lm-blocks")
     uniq, texts, words = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_uniq", "n_texts", "n_words")]).first()
-    parts = partitions_for(uniq, MERGED)
-    asked = blocks.select("block", "hashes", "prefix", "train").mapInArrow(_requests(parts), "part int, block long, hashes binary, prefix binary, train binary")
-    own = max(2, int(OWN_CLASS * (words + texts)))
-    replies = written(asked.groupBy("part").applyInArrow(_merge(own), "block long, part int, reply binary"), "lm-counts")
-    vocabulary = Vocabulary([np.frombuffer(r[0], np.int64) for r in replies.where("block = -1").select("reply").toLocalIterator()], texts)
+    parts, many = partitions_for(uniq, MERGED), partitions_for(words, 4 * MERGED)
+    asked = blocks.select("block", "hashes", "train").mapInArrow(_requests(parts), "part int, block long, hashes binary, train binary")
+    replies = written(asked.groupBy("part").applyInArrow(_merge(parts), "block long, part int, counts binary, symbols binary"), "lm-counts")
+    head = sum((np.frombuffer(r[0], np.int64) for r in replies.where("block = -1").select("counts").toLocalIterator()), np.zeros(4 + 512, np.int64))
+    vocabulary = Vocabulary([head], texts)
     sent = spark.sparkContext.broadcast(vocabulary)
-    gathered = replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
+    gathered = replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "symbols")).alias("replies"))
     known = blocks.drop("train", "n_uniq", "n_texts", "n_words").join(gathered, "block", "left")
-    many = partitions_for(words * DEPTH, 8 * MERGED)
-    least = max(LEAST_COUNT, int(LEAST_SHARE * (words + texts)))
-    symbols = known.mapInArrow(_contexts(parts, many, sent), "part int, keys binary, n binary")
-    found = symbols.groupBy("part").applyInArrow(_candidates(least), "keys binary, n binary").collect()
-    cat = lambda i, t: np.concatenate([np.empty(0, t), *(np.frombuffer(r[i], t) for r in found)])
-    tree = spark.sparkContext.broadcast(Tree(vocabulary.classes, cat(0, np.uint64), cat(1, np.int64)))
+    for d in range(1, DEPTH + 1):
+        asked = known.mapInArrow(_asked(parts, many, sent, d), f"block long, part int, {', '.join(f'{x} binary' for x in REQUEST)}")
+        states = written(asked.groupBy("part").applyInArrow(_states, "block long, part int, totals binary, n binary"), "lm-states")
+        freed(spark)
+        known = known.join(states.groupBy("block").agg(F.collect_list(F.struct("part", "totals", "n")).alias(f"states{d}")), "block", "left")
     total, denominator = vocabulary.total, vocabulary.total + ADDED * (vocabulary.distinct + (texts > 0) + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t = sent.value, tree.value
         for row in _rows(batches):
-            (h, index), counts = _words_of(row), np.frombuffer(row["counts"], np.int32)
-            c = _counts_of(row, h, parts)
-            k, share = v.classed(h, np.frombuffer(row["prefix"], np.uint8), c)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            add = lambda w, o=owner, n=len(counts): np.bincount(o, weights=w, minlength=n).astype(np.float64)
-            s, depth = _sequence(k[index].astype(np.uint64), counts)
-            own_score = add(share[index])
-            texts_at = np.repeat(np.arange(len(counts)), counts.astype(np.int64) + 2)
-            for a in range(0, len(s), 1 << 20):
-                at = a + np.flatnonzero(depth[a : a + (1 << 20)] > 0)
-                own_score += np.bincount(texts_at[at], weights=t.log10(s, at, depth), minlength=len(counts))
+            b = Block(row, parts, many, sent.value)
+            owner = np.repeat(np.arange(len(b.counts)), b.counts)
+            add = lambda w, o=owner, n=len(b.counts): np.bincount(o, weights=w, minlength=n).astype(np.float64)
+            at, p = b.walk(DEPTH, False)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(np.frombuffer(row["held"], bool)),
-                    pa.array(counts.astype(np.int64) + 1),
-                    pa.array(add((c > 0)[index].astype(float)).astype(np.int64) + int(texts > 0)),
-                    pa.array(np.full(len(counts), total, np.int64)),
-                    pa.array(add(np.log10((c + ADDED) / denominator)[index]) + np.log10((texts + ADDED) / denominator)),
-                    pa.array(own_score),
+                    pa.array(b.held),
+                    pa.array(b.counts.astype(np.int64) + 1),
+                    pa.array(add((b.c > 0)[b.index].astype(float)).astype(np.int64) + int(texts > 0)),
+                    pa.array(np.full(len(b.counts), total, np.int64)),
+                    pa.array(add(np.log10((b.c + ADDED) / denominator)[b.index]) + np.log10((texts + ADDED) / denominator)),
+                    pa.array(add(b.share[b.index]) + add(np.log10(p), b.text[at])),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )

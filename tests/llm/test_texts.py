@@ -243,3 +243,60 @@ def test_next_token_probabilities_sum_to_one():
             s = np.array([*before, symbol], np.uint64)
             total += 10 ** (tree.log10(s, np.array([len(before)]), np.arange(len(s)))[0] + own)
         assert total == pytest.approx(1)
+
+
+def brute_tree(texts, train):
+    """log10 scores of the suffix tree with dictionaries: every repeated word a symbol, every context seen LEAST_COUNT times a candidate."""
+    c = collections.Counter(w for t, ok in zip(texts, train, strict=True) if ok for w in t)
+    n, ended, once, twice = sum(c.values()) + sum(train), sum(train), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    unknown, sym = d * len(c) / n, lambda w: w if w in ("<", ">") or c[w] > 1 else "?"
+    rare = once * (1 - d) / n + unknown
+    root = lambda x: ended / n if x == ">" else rare if x == "?" else (c[x] - d) / n
+    seqs = [["<", *map(sym, t), ">"] for t in texts]
+    seen = collections.defaultdict(collections.Counter)
+    for s, ok in zip(seqs, train, strict=True):
+        for i in range(1, len(s)):
+            for k in range(1, min(i, 3) + 1):
+                seen[tuple(s[i - k : i])][s[i]] += ok
+    states = {(): None}
+
+    def prob(ctx, x):
+        if not ctx:
+            return root(x)
+        return (seen[ctx][x] + 16 * prob(ctx[1:], x)) / (sum(seen[ctx].values()) + 16)
+
+    for ctx in sorted(seen, key=len):
+        total = sum(seen[ctx].values())
+        if ctx[1:] in states and total >= 8:
+            told = sum(m * math.log(m / total / prob(ctx[1:], x)) for x, m in seen[ctx].items() if m)
+            if told >= 30 and told >= 0.01 * total:
+                states[ctx] = total
+    out = []
+    for t, s in zip(texts, seqs, strict=True):
+        p = sum(math.log10(((1 - d) / n if c[w] else unknown) / rare) for w in t if c[w] <= 1)
+        for i in range(1, len(s)):
+            ctx = ()
+            for k in range(1, min(i, 3) + 1):
+                if tuple(s[i - k : i]) not in states:
+                    break
+                ctx = tuple(s[i - k : i])
+            p += math.log10(prob(ctx, s[i]))
+        out.append(p)
+    return out, states
+
+
+def test_states_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch):
+    """Rare words and contexts among many tokens are states, as a tree in dictionaries has them; blocks and parts are many."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_tree, "MERGED", 3_000)
+    r = np.random.default_rng(6)
+    texts = [[f"w{int(x)}" for x in r.zipf(1.3, r.integers(0, 60)).clip(0, 3000)] for _ in range(1500)]
+    for t in texts[:40]:
+        t += ["seldom", "seen", "words", "follow"]
+    train = [i % 10 != 0 for i in range(len(texts))]
+    want, states = brute_tree(texts, train)
+    assert ("seldom", "seen") in states or ("seen",) in states
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.score(docs, F.col("doc_id") % 10 == 0).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
