@@ -3,7 +3,9 @@
 Texts are lower-cased and cut into runs of letters and digits; shingles have WORDS words (all of
 an item's words if it has fewer). A window that resembles an item shares a shingle with
 it, so windows of an item's size are laid wherever a shingle of a text is one of the item's, aligned by
-the shingle's place in the item. Windows are fingerprinted and looked up in a multi-index of the
+the shingle's place in the item, and at all starts between two neighbouring alignments that one
+window can hold shingles of: a window before or after all alignments of its shared shingles
+gains none by being so, thus the best window is among them. Windows are fingerprinted and looked up in a multi-index of the
 items' fingerprints: the 64 bits are cut into BLOCKS blocks, and two fingerprints that differ in at
 most 2 * BLOCKS - 1 bits differ in at most one bit of some block, so items are indexed under every
 block value and its one-bit neighbours and all of them within the radius are found. Candidates are
@@ -12,7 +14,7 @@ verified by the exact weighted Jaccard similarity of the shingles, weighted by t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
@@ -62,8 +64,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     ``similarity`` is the best of the item's windows in the document, ``distance`` its Hamming distance
     from the item, ``start`` the window's first word. Every position of every text is compared
     with the benchmark's shingles in one pass without a shuffle while the benchmark has at most BROADCAST_SHINGLES;
-    only windows that share a shingle go on. A window that insertions or deletions have
-    shifted is laid by each of its shared shingles. Items with fewer than WORDS words match as a whole.
+    only windows that share a shingle go on. Where insertions or deletions have shifted parts of an
+    item, every start between the parts' alignments is tried. Of equally similar windows an aligned one is
+    reported, then the first. Items with fewer than WORDS words match as a whole.
 
     Null or blank texts and items hold nothing. Documents with a null doc_id are reported
     together under null. Repeated rows of a doc_id or an item_id are reported once, with their best
@@ -72,7 +75,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     item = items.select("item_id", _words("text").alias("iw")).where("size(iw) > 0").select("item_id", "iw", F.size("iw").alias("size"), _shingles("iw").alias("ish"))
     item = item.withColumn("ifp", _fingerprint("ish"))
     places = item.select("size", F.posexplode("ish").alias("place", "shingle")).distinct()
-    total, short = places.agg(F.count("*"), F.array_sort(F.collect_set(F.least("size", F.lit(WORDS))))).first()
+    total, short, longest = places.agg(F.count("*"), F.array_sort(F.collect_set(F.least("size", F.lit(WORDS)))), F.coalesce(F.max("size"), F.lit(0))).first()
     small = total <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda x: x)
     words = docs.select("doc_id", _words("text").alias("w"))
@@ -81,18 +84,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
         keys = places.where(f"least(size, {WORDS}) = {k}")
         at = words.where(f"size(w) >= {k}").select("doc_id", "w", F.explode(F.expr(f"sequence(0, size(w) - {k})")).alias("at"))
         hashed = at.select("doc_id", "w", "at", F.expr(_shingle("w", "at", k)).alias("shingle"))
-        met = hashed.join(hint(keys), "shingle").select("doc_id", "size", (F.col("at") - F.col("place")).alias("begin"), F.expr("slice(w, greatest(at - place, 0) + 1, size + least(at - place, 0))").alias("window"))
+        met = hashed.join(hint(keys), "shingle").select("doc_id", "size", (F.col("at") - F.col("place")).alias("begin"), F.expr("slice(w, greatest(at - place, 0) + 1, 3 * size + least(at - place, 0))").alias("context"), "at")
         seeds = met if seeds is None else seeds.union(met)
-    windows = seeds.groupBy("doc_id", "size", "begin").agg(F.max("window").alias("window"))
-    windows = windows.select("doc_id", "size", F.greatest("begin", F.lit(0)).alias("start"), _shingles("window").alias("sh"))
+    aligned = seeds.groupBy("doc_id", "size", "begin").agg(F.max("context").alias("context"), F.collect_set("at").alias("ats"))
+    inside = Window.partitionBy("doc_id", "size").orderBy("begin")
+    following = F.lead("begin").over(inside)
+    near = F.array_distinct(F.flatten(F.collect_list("ats").over(inside.rangeBetween(-longest, 3 * longest))))
+    # shingles of one window have alignments less than twice its number of shingles apart
+    last = F.when(following - F.col("begin") <= 2 * F.greatest(F.col("size") - WORDS, F.lit(0)), following - 1).otherwise(F.col("begin"))
+    laid = aligned.select("*", last.alias("last"), near.alias("near")).select("doc_id", "size", "begin", "context", "near", F.explode(F.sequence("begin", "last")).alias("b"))
+    window = F.expr("slice(context, greatest(b, 0) - greatest(begin, 0) + 1, size + least(b, 0))")
+    windows = laid.select("doc_id", "size", F.greatest("b", F.lit(0)).alias("start"), (F.col("b") != F.col("begin")).alias("between"), window.alias("window"), "near")
+    # a window shares at most the shingles at places where the text has any of an item of its size
+    whole, part = f"greatest(size - {WORDS - 1}, 1)", f"greatest(size(window) - {WORDS - 1}, 1)"
+    shared = f"size(filter(near, x -> x >= start AND x < start + {part}))"
+    windows = windows.where(f"{shared} * {1 + similarity} >= {similarity} * ({part} + {whole}) - 1e-6")
+    windows = windows.select("doc_id", "size", "start", "between", _shingles("window").alias("sh"))
     windows = windows.select("*", _fingerprint("sh").alias("fp")).select("*", F.explode(_blocks("fp", False)).alias("key"))
     index = item.select("item_id", "size", "ish", "ifp", F.explode(_blocks("ifp", True)).alias("key"))
     pairs = windows.join(hint(index), ["size", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    once = pairs.groupBy("doc_id", "size", "start", "fp", "sh", "item_id", "ifp", "ish").agg(F.lit(1).alias("one"))
+    once = pairs.groupBy("doc_id", "size", "start", "fp", "sh", "item_id", "ifp", "ish").agg(F.min("between").alias("between"))
     shared = F.expr("aggregate(array_distinct(sh), 0, (a, x) -> a + least(size(filter(sh, y -> y = x)), size(filter(ish, y -> y = x))))")
-    scored = once.select("doc_id", "item_id", "start", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).alias("distance"), shared.alias("shared"), (F.size("sh") + F.size("ish")).alias("both"))
+    scored = once.select("doc_id", "item_id", "start", "between", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).alias("distance"), shared.alias("shared"), (F.size("sh") + F.size("ish")).alias("both"))
     scored = scored.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance"))
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "between", "start", "distance"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("int").alias("distance"), F.col("b.start").cast("int").alias("start"))
 
 

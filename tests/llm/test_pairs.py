@@ -1,5 +1,6 @@
 """Joins, near duplicates, archives, decontamination, toxicity and the pipeline, against brute force."""
 
+import collections
 import hashlib
 import random
 
@@ -199,6 +200,37 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d.where("false"), i).count() == 0 and decontaminate.find_leaks(d, i.where("false")).count() == 0
 
 
+def brute_similarity(doc, item):
+    """The best weighted Jaccard similarity of the item with any full window of its size."""
+    count = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    d, i = doc.split(), item.split()
+    found = [(count(d[b : b + len(i)]), count(i)) for b in range(max(1, len(d) - len(i) + 1))]
+    return max((a & b).total() / (a | b).total() for a, b in found)
+
+
+def test_leaks_between_alignments(spark):
+    """Insertions, deletions and swapped parts put the best window between the alignments."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (40, 60, 150, 150)]
+    docs, near = [], []
+    for n, item in enumerate(items):
+        for cut in (4, 6, 8, 10, 12, -4, -8, 0):
+            w = list(item)
+            w[4], w[-5] = word(), word()
+            half = len(w) // 2
+            middle = [word() for _ in range(cut)]
+            w = w[:half] + middle + w[half:] if cut > 0 else w[: half + cut] + w[half:] if cut < 0 else item[half:] + item[:half]
+            docs.append((len(docs), " ".join([word() for _ in range(200)] + w + [word() for _ in range(200)])))
+            near.append((n, brute_similarity(docs[-1][1], " ".join(item))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.find_leaks(d, i).collect()}
+    want = {(k, n): s for k, (n, s) in enumerate(near) if s >= 0.8}
+    assert len(want) > 5 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     r = random.Random(1)
     rows = []
