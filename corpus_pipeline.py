@@ -36,21 +36,31 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document with the smallest doc_id of each group of near duplicates.
 
     Groups are connected by five-word shingles and a Jaccard similarity of 0.8. Of rows
-    that share a doc_id one stays; rows without a doc_id or without words stay.
+    that share a doc_id and a text one stays; rows that share a doc_id only are documents of their own.
+    Rows without a doc_id or without words stay.
     """
     groups = written(jaccard.join_groups(docs, words=5, percent=80), "pipeline-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(_sized(gone, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
-    known = groups.where("doc_id IS NOT NULL AND doc_id = component_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    known = groups.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if known[0] == known[1]:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+        gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(_sized(gone, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
+    key = decontaminate.text_key(F.col("text"))
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", key))  # a 64-bit hash of doc_id and text
+    keyed = docs.withColumn("node ", node)
+    ids = keyed.where("doc_id IS NOT NULL").select(F.col("node ").alias("node"), "doc_id").distinct()
+    groups = jaccard.join_groups(keyed.select(F.col("node ").alias("doc_id"), "text"), words=5, percent=80)
+    members = written(groups.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "component_id").distinct().join(ids, "node"), "pipeline-groups")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    gone = members.join(first, "component_id").where("node <> first.node").select(F.col("node").alias("node "))
+    kept = keyed.join(_sized(gone, "pipeline-copies"), "node ", "left_anti")
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["node "]).union(kept.where("doc_id IS NULL").select(*kept.columns)).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(_sized(leaks.select("doc_id").distinct(), "pipeline-leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a passage of the benchmark, told by their texts, so rows without a doc_id are dropped too."""
+    leaks = decontaminate.leaking_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = _sized(leaks.select(F.col("text_key").alias("text_key ")).distinct(), "pipeline-leaks")
+    return docs.withColumn("text_key ", decontaminate.text_key(F.col("text"))).join(gone, "text_key ", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

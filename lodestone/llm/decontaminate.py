@@ -58,6 +58,11 @@ def _blocks(fingerprint: str, near: bool) -> F.Column:
     return F.expr(f"array({', '.join(keys)})")
 
 
+def text_key(text: F.Column) -> F.Column:
+    """A 128-bit digest that tells texts apart; null for a null text."""
+    return F.md5(text.cast("binary"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, distance, start) of every document and item that it holds.
 
@@ -68,47 +73,53 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     item, every start between the parts' alignments is tried. Of equally similar windows an aligned one is
     reported, then the first. Items with fewer than WORDS words match as a whole.
 
-    Null or blank texts and items hold nothing. Documents with a null doc_id are reported
-    together under null. Repeated rows of a doc_id or an item_id are reported once, with their best
-    window. Empty tables give an empty result; further columns are ignored.
+    Null or blank texts and items hold nothing. Rows are told apart by doc_id and text. Documents with a null
+    doc_id are reported together under null. Repeated rows of a doc_id or an item_id are reported once, with the best
+    window of all their texts. Empty tables give an empty result; further columns are ignored.
     """
+    scored = leaking_windows(docs, items, similarity)
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "between", "start", "distance"))
+    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("int").alias("distance"), F.col("b.start").cast("int").alias("start"))
+
+
+def leaking_windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, item_id, similarity, distance, start, between) of every window that resembles an item."""
     item = items.select("item_id", _words("text").alias("iw")).where("size(iw) > 0").select("item_id", "iw", F.size("iw").alias("size"), _shingles("iw").alias("ish"))
     item = item.withColumn("ifp", _fingerprint("ish"))
     places = item.select("size", F.posexplode("ish").alias("place", "shingle")).distinct()
     total, short, longest = places.agg(F.count("*"), F.array_sort(F.collect_set(F.least("size", F.lit(WORDS)))), F.coalesce(F.max("size"), F.lit(0))).first()
     small = total <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda x: x)
-    words = docs.select("doc_id", _words("text").alias("w"))
+    words = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _words("text").alias("w"))
     seeds = None
     for k in short or [WORDS]:
         keys = places.where(f"least(size, {WORDS}) = {k}")
-        at = words.where(f"size(w) >= {k}").select("doc_id", "w", F.explode(F.expr(f"sequence(0, size(w) - {k})")).alias("at"))
-        hashed = at.select("doc_id", "w", "at", F.expr(_shingle("w", "at", k)).alias("shingle"))
-        met = hashed.join(hint(keys), "shingle").select("doc_id", "size", (F.col("at") - F.col("place")).alias("begin"), F.expr("slice(w, greatest(at - place, 0) + 1, 3 * size + least(at - place, 0))").alias("context"), "at")
+        at = words.where(f"size(w) >= {k}").select("doc_id", "text_key", "w", F.explode(F.expr(f"sequence(0, size(w) - {k})")).alias("at"))
+        hashed = at.select("doc_id", "text_key", "w", "at", F.expr(_shingle("w", "at", k)).alias("shingle"))
+        met = hashed.join(hint(keys), "shingle").select("doc_id", "text_key", "size", (F.col("at") - F.col("place")).alias("begin"), F.expr("slice(w, greatest(at - place, 0) + 1, 3 * size + least(at - place, 0))").alias("context"), "at")
         seeds = met if seeds is None else seeds.union(met)
-    aligned = seeds.groupBy("doc_id", "size", "begin").agg(F.max("context").alias("context"), F.collect_set("at").alias("ats"))
-    inside = Window.partitionBy("doc_id", "size").orderBy("begin")
+    aligned = seeds.groupBy("doc_id", "text_key", "size", "begin").agg(F.max("context").alias("context"), F.collect_set("at").alias("ats"))
+    inside = Window.partitionBy("doc_id", "text_key", "size").orderBy("begin")
     following = F.lead("begin").over(inside)
     near = F.array_distinct(F.flatten(F.collect_list("ats").over(inside.rangeBetween(-longest, 3 * longest))))
     # shingles of one window have alignments less than twice its number of shingles apart
     last = F.when(following - F.col("begin") <= 2 * F.greatest(F.col("size") - WORDS, F.lit(0)), following - 1).otherwise(F.col("begin"))
-    laid = aligned.select("*", last.alias("last"), near.alias("near")).select("doc_id", "size", "begin", "context", "near", F.explode(F.sequence("begin", "last")).alias("b"))
+    laid = aligned.select("*", last.alias("last"), near.alias("near")).select("doc_id", "text_key", "size", "begin", "context", "near", F.explode(F.sequence("begin", "last")).alias("b"))
     window = F.expr("slice(context, greatest(b, 0) - greatest(begin, 0) + 1, size + least(b, 0))")
-    windows = laid.select("doc_id", "size", F.greatest("b", F.lit(0)).alias("start"), (F.col("b") != F.col("begin")).alias("between"), window.alias("window"), "near")
+    windows = laid.select("doc_id", "text_key", "size", F.greatest("b", F.lit(0)).alias("start"), (F.col("b") != F.col("begin")).alias("between"), window.alias("window"), "near")
     # a window shares at most the shingles at places where the text has any of an item of its size
     whole, part = f"greatest(size - {WORDS - 1}, 1)", f"greatest(size(window) - {WORDS - 1}, 1)"
     shared = f"size(filter(near, x -> x >= start AND x < start + {part}))"
     windows = windows.where(f"{shared} * {1 + similarity} >= {similarity} * ({part} + {whole}) - 1e-6")
-    windows = windows.select("doc_id", "size", "start", "between", _shingles("window").alias("sh"))
+    windows = windows.select("doc_id", "text_key", "size", "start", "between", _shingles("window").alias("sh"))
     windows = windows.select("*", _fingerprint("sh").alias("fp")).select("*", F.explode(_blocks("fp", False)).alias("key"))
     index = item.select("item_id", "size", "ish", "ifp", F.explode(_blocks("ifp", True)).alias("key"))
     pairs = windows.join(hint(index), ["size", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    once = pairs.groupBy("doc_id", "size", "start", "fp", "sh", "item_id", "ifp", "ish").agg(F.min("between").alias("between"))
+    once = pairs.groupBy("doc_id", "text_key", "size", "start", "fp", "sh", "item_id", "ifp", "ish").agg(F.min("between").alias("between"))
     shared = F.expr("aggregate(array_distinct(sh), 0, (a, x) -> a + least(size(filter(sh, y -> y = x)), size(filter(ish, y -> y = x))))")
-    scored = once.select("doc_id", "item_id", "start", "between", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).alias("distance"), shared.alias("shared"), (F.size("sh") + F.size("ish")).alias("both"))
+    scored = once.select("doc_id", "text_key", "item_id", "start", "between", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).alias("distance"), shared.alias("shared"), (F.size("sh") + F.size("ish")).alias("both"))
     scored = scored.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "between", "start", "distance"))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("int").alias("distance"), F.col("b.start").cast("int").alias("start"))
+    return scored
 
 
 #: The same windows and similarities in DuckDB SQL (items of at least five words), for small tables.

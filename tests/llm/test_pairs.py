@@ -307,3 +307,18 @@ def test_pipeline_edges(spark, edge, empty, data):
         for _, stage in corpus_pipeline.STAGES:
             d = shared.written(stage(spark, d, data), "test")
         d.count()
+
+
+def test_rows_are_told_apart_by_their_texts(spark, tmp_path):
+    """Null and repeated doc_ids: a clean text of the same id hides no leak, and no row goes for another's text."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    w = ITEM.split()
+    part = " ".join([*w[:8], *["zzz"] * 14])  # shares the item's first shingles at the same place, and sorts after it
+    rows = [(None, ITEM), (None, "clean words of a row without an id"), (3, ITEM), (3, part), (4, "unrelated text of the fourth document here"), (4, "another thing entirely under the same number"), (5, "unrelated text of the fourth document here"), (6, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.find_leaks(d, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()}
+    assert got == {(None, 1): 1.0, (3, 1): 1.0}
+    kept = corpus_pipeline.decontaminated(spark, d, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(str(x) for x in d.collect() if x["text"] != ITEM)
+    once = corpus_pipeline.keep_one_of_each(spark, d.union(d.where("doc_id = 4")), str(tmp_path)).collect()
+    assert sorted((str(x["doc_id"]), str(x["text"])) for x in once) == sorted((str(i), str(t)) for i, t in rows if i != 5)
