@@ -74,25 +74,54 @@ def test_special_strings_inside_texts(spark, library):
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+ODD = st.text(alphabet=st.sampled_from("aAbZéÉßÿº'.,!<|>09 \t\n\x0b\x1c\x85\u2028\u00a0ñÑ\u0301Ω中🙂İ$st"), max_size=40)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(spark, name):
     import public_tokenizers
 
     path = public_tokenizers.path(name)
-    texts = ["two  blanks here", "", "line\nbreak"]
-    e = tokens.Encoder(*tokens.load_file(path))
+    texts = ["two  blanks here", "", "line\nbreak", "a <|endoftext|> b é 中"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df, path).collect()}
-    assert got == {i: len(e.encode([t])[0]) for i, t in enumerate(texts)}
+    assert got == {i: len(plain_ids(path, t)) for i, t in enumerate(texts)}
+
+
+def plain_ids(path, text):
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    import sentencepiece
 
+    return sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
 
-def test_cache_limits_do_not_change_counts(library, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    monkeypatch.setattr(tokens, "LONGEST", 4)
-    e = tokens.Encoder(*tokens.load_file(tokens.default_path()))
-    for text in ["alpha beta gamma delta", "alpha zeta", "eta theta alpha " * 3]:
-        assert e.lengths([text.encode()]) == [len(library.encode(text, add_special_tokens=False).ids)]
-        assert e.ids([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+@pytest.fixture(scope="module", params=["word_bpe_49k.json", "byte_bpe_50k.json"])
+def both(request):
+    """The encoder and the library itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(request.param)
+    return tokens.Encoder(*tokens.load_file(path)), Tokenizer.from_file(path)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), ODD, st.sampled_from(["<|endoftext|>", "x<|startoftext|>y 's", "it's o'clock", "word%%% end..."])), max_size=8), st.sampled_from([4, 30, 1 << 20]))
+def test_steps_and_cuts_do_not_change_ids(both, texts, step):
+    e, plain = both
+    column = pa.array(texts, pa.string())
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole = tokens.Encoder.steps
+    e.steps = lambda c: whole(e, c, step)
+    got = [[] for _ in texts]
+    for rows, ids, n in e.ids(column):
+        for r, x in zip(rows.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            got[r] += x.tolist()
+    assert got == want
+    assert e.lengths(column).tolist() == [len(x) for x in want]
 
 
 @settings(max_examples=25, deadline=None)
