@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 INF = float("inf")
 
 
@@ -16,8 +18,8 @@ def gray(score: Column, low: Column, high: Column, flag: Column | None = None) -
 
 def cuts(df: DataFrame, score: str, grid: int, by: list[str] | None = None) -> DataFrame:
     """(by, cut): distinct quantiles at grid points, and both infinities; at most grid + 2 rows a group."""
-    q = F.percentile(score, F.array(*[F.lit(i / (grid - 1)) for i in range(grid)]))
-    x = df.groupBy(*(by or [])).agg(F.array_union(F.transform(q, lambda v: F.round(v, 9)), F.array(F.lit(-INF), F.lit(INF))).alias("c"))
+    q = quantiles(df, score, [i / (grid - 1) for i in range(grid)], by)
+    x = q.select(*(by or []), F.array_union(F.transform("q", lambda v: F.round(v, 9)), F.array(F.lit(-INF), F.lit(INF))).alias("c"))
     return x.select(*(by or []), F.explode("c").alias("cut"))
 
 

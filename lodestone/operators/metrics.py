@@ -2,17 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import uniform
+from ..sources.tables import uniform, uniform_sql
+
+
+#: Quantiles at which the values of a column are cut to rank them.
+RANK_CUTS = 256
 
 
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank from 1, ties sharing their mean."""
-    order = Window.partitionBy(*by).orderBy(x)
-    ties = Window.partitionBy(*by, x)
-    return (F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)).cast("double")
+def _stacked(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, v, m, start): every distinct value, its rows, and the rows of the group below it.
+
+    The values are cut at approximate quantiles into runs, and ``start`` is what lies in the runs before plus what
+    lies below within the run: no task sorts a group.
+    """
+    keys = [f"{c} " for c in by]
+    values = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(x).alias("v ")).agg(F.count("*").alias("m ")).where("`v ` IS NOT NULL")
+    shares = F.array(*[F.lit(i / RANK_CUTS) for i in range(1, RANK_CUTS)])
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("v ", shares, F.lit(4096)).alias("cuts "))  # one row a group
+    joined = _joined(values, cuts, keys).withColumn("run ", F.size(F.filter("cuts ", lambda q: q < F.col("v "))))
+    before = Window.partitionBy(*keys).orderBy("run ").rowsBetween(Window.unboundedPreceding, -1)  # at most RANK_CUTS rows a group
+    runs = joined.groupBy(*keys, "run ").agg(F.sum("m ").alias("all ")).select(*keys, "run ", F.coalesce(F.sum("all ").over(before), F.lit(0)).alias("o "))
+    within = Window.partitionBy(*keys, "run ").orderBy("v ").rowsBetween(Window.unboundedPreceding, -1)
+    out = _joined(joined, runs, [*keys, "run "])
+    return out.select(*keys, "v ", "m ", (F.col("o ") + F.coalesce(F.sum("m ").over(within), F.lit(0))).alias("start "))
+
+
+def _joined(x: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """With a table of few rows a group, null keys included."""
+    if not keys:
+        return x.crossJoin(F.broadcast(small))
+    other = small.select(*[F.col(k).alias(f"{k}2") if k in keys else F.col(k) for k in small.columns])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}2"))
+    return x.join(F.broadcast(other), same).drop(*[f"{k}2" for k in keys])
+
+
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with each column replaced by its rank from 1, ties sharing their mean."""
+    out = df
+    for c in columns:
+        ranks = _stacked(df, c, []).select("v ", (F.col("start ") + (F.col("m ") + 1) / F.lit(2.0)).cast("double").alias("rank "))
+        out = out.join(ranks, F.col(c) == F.col("v "), "left").withColumn(c, F.col("rank ")).drop("v ", "rank ")
+    return out
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, q): the exact quantiles of a column in an array, interpolated between neighbours; nulls are left out."""
+    by = by or []
+    keys = [f"{c} " for c in by]
+    stacked = _stacked(df, x, by)
+    n = stacked.groupBy(*keys).agg(F.sum("m ").alias("n "))  # one row a group
+    wanted = n.select(*keys, F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("i ", "share "), "n ")
+    at = wanted.withColumn("p ", F.col("share ") * (F.col("n ") - 1)).withColumn("lo ", F.floor("p ")).withColumn("hi ", F.ceil("p "))
+    found = _joined(stacked, at, keys).where("(`lo ` >= `start ` AND `lo ` < `start ` + `m `) OR (`hi ` >= `start ` AND `hi ` < `start ` + `m `)")
+    inside = lambda c: F.max(F.when((F.col(c) >= F.col("start ")) & (F.col(c) < F.col("start ") + F.col("m ")), F.col("v ").cast("double")))
+    ends = found.groupBy(*keys, "i ").agg(inside("lo ").alias("a "), inside("hi ").alias("b "), F.max(F.col("p ") - F.col("lo ")).alias("f "))
+    value = F.col("a ") + F.col("f ") * (F.col("b ") - F.col("a "))
+    rows = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("i ").alias("i"), value.alias("v")))).alias("r "))
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], F.transform("r ", lambda r: r["v"]).alias("q"))
 
 
 def by_value(df: DataFrame, score: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
@@ -71,32 +124,38 @@ def rates(df: DataFrame, label: str, decision: str, by: list[str] | None = None)
     return df.groupBy(*(by or [])).agg(F.avg(F.when(F.col(label) == 0, d)).alias("fpr"), F.avg(F.when(F.col(label) == 1, 1 - d)).alias("fnr"))
 
 
-def rank_correlations(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by, r_a_b for every pair): correlations of average ranks."""
-    by = by or []
-    ranked = df.select(*by, *[average_rank(c, by).alias(c) for c in columns])
+def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(r_a_b for every pair): correlations of average ranks."""
+    ranked = average_ranks(df.select(*columns), columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return ranked.groupBy(*by).agg(*[F.corr(a, b).alias(f"r_{a}_{b}") for a, b in pairs])
+    return ranked.agg(*[F.corr(a, b).alias(f"r_{a}_{b}") for a, b in pairs])
 
 
 def quantile_bin(df: DataFrame, x: str, bins: int, by: list[str] | None = None, name: str = "bin") -> DataFrame:
     """Adds the number of inner quantile edges that are at most x (exact, interpolated quantiles)."""
     by = by or []
-    edges = F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    e = df.groupBy(*by).agg(edges.alias("edges "))
+    e = quantiles(df, x, [i / bins for i in range(1, bins)], by).withColumnRenamed("q", "edges ")
     joined = df.join(F.broadcast(e), by) if by else df.crossJoin(F.broadcast(e))  # one row of edges a group
     return joined.withColumn(name, F.size(F.filter("edges ", lambda q: q <= F.col(x)))).drop("edges ")
 
 
-def resampled(df: DataFrame, rounds: int, strata: list[str], key: str, seed: str = "boot") -> DataFrame:
-    """Bootstrap rows: for each round, as many draws from each stratum as it has rows, with replacement.
+#: Cumulative shares of 0, 1, 2, ... in a Poisson distribution of mean 1, as far as a number of 32 bits can tell.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(11)]
+
+
+def resampled(df: DataFrame, rounds: int, key: str, seed: str = "boot") -> DataFrame:
+    """Bootstrap by weights: for each round every row with the number of times it is drawn (column times).
 
-    (round, the columns of the drawn row). Positions are numbered within strata; a draw is a hash of
-    (round, stratum, position) scaled to the stratum's size, so any engine draws the same.
+    The numbers are Poisson draws of mean 1 from a hash of (round, key), so rows need no numbering, nothing is
+    joined, a round's sums are aggregated where the rows lie, and any engine draws the same. Rows drawn no time are left out.
     """
-    w = Window.partitionBy(*strata)
-    x = df.withColumn("pos ", F.row_number().over(w.orderBy(key)) - 1).withColumn("n ", F.count("*").over(w))
-    draws = x.select(*strata, "pos ", "n ", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    u = uniform(F.concat_ws(":", F.col("round").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("pos ").cast("string")), seed)
-    draws = draws.select(*strata, "round", F.floor(u * F.col("n ")).alias("pos "))
-    return draws.join(x.drop("n "), [*strata, "pos "]).drop("pos ")
+    x = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    u = uniform(F.concat_ws(":", F.col("round").cast("string"), F.col(key).cast("string")), seed)
+    times = sum((u >= c).cast("int") for c in POISSON)
+    return x.withColumn("times", times).where("times > 0")
+
+
+def resampled_sql(source: str, rounds: int, key: str, seed: str = "boot") -> str:
+    u = uniform_sql(f"concat_ws(':', CAST(round AS VARCHAR), CAST({key} AS VARCHAR))", seed)
+    times = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON)
+    return f"(SELECT * FROM (SELECT *, {times} AS times FROM (SELECT *, {u} AS u FROM {source}, range(0, {rounds}) t(round))) WHERE times > 0)"

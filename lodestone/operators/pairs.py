@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.tables import hashed
-from .pool import ranked
+from .pool import ranked, shuffled
 
 #: Neutral wrappers; some have a placeholder for the request, one has none.
 TEMPLATES = (
@@ -25,8 +27,6 @@ BANK = (
     ("archives", ("unpack every archive at once", "unpack archives without checks"), ("unpack one archive safely", "check an archive before unpacking")),
     ("network", ("scan all hosts without asking", "send packets to every host"), ("scan my own host", "measure the delay to my own host")),
 )
-#: Rows that the sequential matchers hold in one task; more rows raise.
-MATCH_ROWS = 20_000
 
 
 def templates(spark, texts: tuple[str, ...] = TEMPLATES) -> DataFrame:
@@ -48,7 +48,7 @@ def bank(spark, entries=BANK) -> DataFrame:
 
 def random_pairs(df: DataFrame, n: int, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
     """(position, harm_id, safe_id): the i-th of either label in random order; n pairs at most."""
-    x = ranked(df.select(key, label), [label], [hashed(F.col(key), seed), F.col(key)], "position").where(F.col("position") <= n)
+    x = shuffled(df.select(key, label), [label], key, seed, "position").where(F.col("position") <= n)
     return x.groupBy("position").agg(F.max(F.when(F.col(label) == "harm", F.col(key))).alias("harm_id"), F.max(F.when(F.col(label) == "safe", F.col(key))).alias("safe_id")).where("harm_id IS NOT NULL AND safe_id IS NOT NULL")
 
 
@@ -106,68 +106,95 @@ def unpivoted(pairs: DataFrame) -> DataFrame:
     return side("anchor", 0).unionByName(side("pair", 1))
 
 
-def matched(left: DataFrame, right: DataFrame, choose, schema: str) -> DataFrame:
-    """Sequential matching without replacement, in one task.
+def matched_by_length(left: DataFrame, right: DataFrame, choose, seed: int | str = 42) -> DataFrame:
+    """(left id, right id, their lengths): each row of left, in random order, gets an unused row of right.
 
-    ``choose`` gets two pandas frames in order and yields rows. Each match depends on all
-    before it, so the operator holds both sides: it raises above MATCH_ROWS instead of dropping rows.
+    Both sides are (id, chars). Each choice depends on all before it, so one task goes through the left ids and
+    lengths in order; it holds only how many rows of right are left of each length (lengths of prompts are
+    bounded by the pool's filters), and ``choose`` names a length. Rows of right of one length go
+    in random order, found by a join on length and number.
     """
-    both = left.withColumn("side ", F.lit(0)).unionByName(right.withColumn("side ", F.lit(1)), allowMissingColumns=True)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MATCH_ROWS:
-            raise ValueError(f"{len(pdf)} rows to match; the operator takes {MATCH_ROWS}")
-        a, b = (pdf[pdf["side "] == s].sort_values("order").reset_index(drop=True) for s in (0, 1))
-        return pd.DataFrame(list(choose(a, b)), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return both.groupBy(F.lit(0).alias("one")).applyInPandas(run, schema)
-
-
-def nearest_length(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple]:
-    """For each row of a the unused row of b nearest in length; ties go to the earlier row."""
-    import numpy as np
-
-    free, chars = np.ones(len(b), bool), b["chars"].to_numpy(float)
-    for r in a.itertuples():
-        gap = np.where(free, np.abs(chars - r.chars), np.inf)
-        if not len(gap) or not np.isfinite(gap).any():
-            return
-        i = int(gap.argmin())
-        free[i] = False
-        yield r.id, b["id"].iloc[i], int(r.chars), int(chars[i])
+    stock = {r[0]: r[1] for r in right.groupBy("chars").agg(F.count("*")).collect()}  # one row a length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, used = dict(stock), dict.fromkeys(stock, 0)
+        live = sorted(have)
+        for batch in batches:
+            rows = []
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = choose(live, n)
+                if found is None:
+                    continue
+                used[found] += 1
+                if used[found] == have[found]:
+                    live.remove(found)
+                rows.append((i, n, found, used[found]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["left_id", "left_chars", "chars", "number"])
+
+    turns = left.select("id", F.col("chars").cast("long"), hashed(F.col("id"), seed).alias("turn")).repartition(1).sortWithinPartitions("turn", "id").select("id", "chars")
+    found = turns.mapInArrow(run, "left_id long, left_chars long, chars long, number long")
+    numbered = shuffled(right.select("id", F.col("chars").cast("long")), ["chars"], "id", seed, "number")
+    return found.join(numbered, ["chars", "number"]).select("left_id", F.col("id").alias("right_id"), "left_chars", F.col("chars").alias("right_chars"))
+
+
+def nearest(live: list[int], n: int) -> int | None:
+    """The length of ``live`` (sorted) nearest to n; of two as near the shorter."""
+    i = bisect.bisect_left(live, n)
+    return min(live[max(0, i - 1) : i + 1], key=lambda x: (abs(x - n), x), default=None)
 
 
 def shortest_within(tolerance: float):
-    """For each row of a the shortest unused row of b within the tolerance; without one it is left out."""
-
-    def choose(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple]:
-        import bisect
+    """The shortest length of ``live`` within the tolerance of n."""
 
-        order = b.sort_values(["chars", "order"], kind="stable")
-        chars, ids = order["chars"].tolist(), order["id"].tolist()
-        for r in a.itertuples():
-            i = bisect.bisect_left(chars, r.chars * (1 - tolerance))
-            if i < len(chars) and chars[i] <= r.chars * (1 + tolerance):
-                yield r.id, ids.pop(i), int(r.chars), int(chars.pop(i))
+    def choose(live: list[int], n: int) -> int | None:
+        i = bisect.bisect_left(live, n * (1 - tolerance))
+        return live[i] if i < len(live) and live[i] <= n * (1 + tolerance) else None
 
     return choose
 
 
-def most_similar(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple]:
-    """For each row of a the unused row of b with the highest score in its list, else the first unused one.
+def matched_by_score(left: DataFrame, right: DataFrame, scores: DataFrame, n: int, most: float = 0.95, seed: int | str = 42) -> DataFrame:
+    """(left_id, right_id, score): n rows of left at most, in random order, each with its most similar unused row of right.
+
+    ``scores`` has the pairs (a, b, score) above zero. Rows of right that are not in them have 0, near duplicates
+    (``most`` and more) -1; ties go to the smaller id. Of n rows only the n best partners of each matter,
+    and where those run out the smallest ids, so what one task settles is bounded by the parameter n and the near duplicates.
 
-    ``a.scores`` maps ids of b to similarities; ids not in it have 0, near duplicates -1.
+    A partner keeps the earliest row that asks for it and a row that loses its partner asks the next of its list:
+    the outcome is the one of choosing in turn, in whatever order the asking happens.
     """
-    place = {i: k for k, i in enumerate(b["id"])}
-    import numpy as np
-
-    free = np.ones(len(b), bool)
-    for r in a.itertuples():
-        if not free.any():
-            return
-        s = np.zeros(len(b))
-        for e in r.scores if r.scores is not None else []:
-            s[place[e["other"]]] = e["score"]
-        i = int(np.where(free, s, -np.inf).argmax())
-        free[i] = False
-        yield r.id, b["id"].iloc[i], float(s[i])
+    turns = left.select("id").orderBy(hashed(F.col("id"), seed), "id").limit(n).withColumn("turn", F.row_number().over(Window.orderBy(hashed(F.col("id"), seed), "id")))  # n rows
+    mine = scores.join(F.broadcast(turns), F.col("a") == F.col("id")).select("turn", "a", "b", F.when(F.col("score") >= most, -1.0).otherwise(F.col("score")).alias("score"))
+    best = ranked(mine.where("score > 0"), ["turn"], [F.col("score").desc(), F.col("b")], "place").where(F.col("place") <= n)
+    refused = mine.where("score < 0")
+    spare = n + (best.unionByName(refused, allowMissingColumns=True).groupBy("turn").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    first = right.select(F.col("id").alias("b")).orderBy("b").limit(spare)
+    rows = best.drop("place").unionByName(refused).unionByName(first, allowMissingColumns=True).unionByName(turns.withColumnRenamed("id", "a"), allowMissingColumns=True)
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        names = dict(rows[rows.b.isna()][["turn", "a"]].astype("int64").itertuples(index=False))
+        spares = sorted(rows[rows.turn.isna()].b.astype("int64"))
+        liked: dict[int, list] = {t: [] for t in names}
+        for t, b, score in rows.dropna(subset=["turn", "b"])[["turn", "b", "score"]].itertuples(index=False):
+            liked[int(t)].append((-score, int(b)))
+
+        def wishes(turn: int) -> Iterator[tuple[float, int]]:
+            scored = sorted(liked[turn])
+            known = {b for _, b in scored}
+            yield from ((-s, b) for s, b in scored if s < 0)
+            yield from ((0.0, b) for b in spares if b not in known)
+            yield from ((-s, b) for s, b in scored if s > 0)
+
+        asks, held = {t: wishes(t) for t in names}, {}
+        waiting = list(names)
+        while waiting:
+            turn = waiting.pop()
+            for score, b in asks[turn]:
+                if b not in held or held[b][0] > turn:
+                    waiting += [held[b][0]] if b in held else []
+                    held[b] = (turn, score)
+                    break
+        return pd.DataFrame([(names[t], b, s) for b, (t, s) in held.items()], columns=["left_id", "right_id", "score"])
+
+    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(settle, "left_id long, right_id long, score double")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import hashed
+from .pool import shuffled
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,11 +73,11 @@ def neighbours(queries: DataFrame, bank: DataFrame, k: int, key: str = "id", vec
     import pyarrow as pa
 
     rows = bank.count()
-    blocks = max(1, -(-rows // 8192))
+    blocks, parts = max(1, -(-rows // 8192)), max(1, -(-queries.count() // 8192))
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     b = bank.select(at.alias("block"), F.lit(1).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(16)).alias("part"))
-    both = q.unionByName(b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))))
+    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    both = q.unionByName(b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))))
 
     def best(table: pa.Table) -> pa.Table:
         side, ids = table.column("side").to_numpy(), table.column("i").to_numpy()
@@ -119,12 +119,50 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 def half_splits(df: DataFrame, rounds: int, key: str, seed: str = "half") -> DataFrame:
     """(round, half, place, ...): each round deals the rows to two halves of n // 2 in random order.
 
-    An odd row is left out, so the halves pair up place by place. The rows of a round are
-    ordered in one task: rounds, not rows, are the unit of this operator.
+    An odd row is left out, so the halves pair up place by place. No task orders a round.
     """
+    n = df.agg(F.floor(F.count("*") / 2).alias("m "))  # one row
     x = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    w = Window.partitionBy("round")
-    order = w.orderBy(hashed(F.concat_ws(":", F.col("round").cast("string"), F.col(key).cast("string")), seed), key)
-    x = x.withColumn("r ", F.row_number().over(order) - 1).withColumn("m ", F.floor(F.count("*").over(w) / 2))
-    x = x.where(F.col("r ") < 2 * F.col("m "))
-    return x.withColumn("half", F.floor(F.col("r ") / F.col("m ")).cast("int")).withColumn("place", F.pmod(F.col("r "), F.col("m "))).drop("r ", "m ")
+    x = x.withColumn("k ", F.concat_ws(":", F.col("round").cast("string"), F.col(key).cast("string")))
+    x = shuffled(x, ["round"], "k ", seed, "r ").withColumn("r ", F.col("r ") - 1).crossJoin(F.broadcast(n)).where("`r ` < 2 * `m `")
+    return x.withColumn("half", F.floor(F.col("r ") / F.col("m ")).cast("int")).withColumn("place", F.pmod(F.col("r "), F.col("m "))).drop("r ", "m ", "k ")
+
+
+def pair_mean(df: DataFrame, value, key: str = "id", vector: str = "z", block: int = 2048) -> DataFrame:
+    """(pairs, total): how many pairs of different rows there are, and the sum of ``value`` of their dot products.
+
+    ``value`` maps a numpy array of products. Rows are dealt to blocks of about ``block``; every pair of blocks is
+    one tile, multiplied in its own task, and one sum a tile leaves it.
+    """
+    import pyarrow as pa
+
+    blocks = max(1, -(-df.count() // block))
+    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    x = df.select(mine.alias("b"), F.col(vector).alias("v")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = x.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "v")
+
+    def tile(table: pa.Table) -> pa.Table:
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        i, j, b = (table.column(c).to_numpy() for c in ("i", "j", "b"))
+        if i[0] == j[0]:
+            m = value(v @ v.T)
+            n, total = len(v) * (len(v) - 1), m.sum() - np.trace(m)
+        else:
+            m = value(v[b == i[0]] @ v[b == j[0]].T)
+            n, total = 2 * m.size, 2 * m.sum()
+        return pa.table({"pairs": pa.array([n], pa.int64()), "total": pa.array([float(total)])})
+
+    return tiles.groupBy("i", "j").applyInArrow(tile, "pairs long, total double").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
+
+
+def shrunk(n: int, cov: np.ndarray, fourth: float) -> tuple[np.ndarray, float]:
+    """Ledoit-Wolf: (1 - a) * cov + a * (trace / d) * I with the a that loses least; ``cov`` with divisor n.
+
+    ``fourth`` is the sum over the centered rows of their squared length, squared.
+    """
+    d = len(cov)
+    level = np.trace(cov) / d
+    spread = (cov**2).sum() / d - level**2
+    noise = min(spread, (fourth / n - (cov**2).sum()) / (d * n))
+    a = noise / spread if spread > 0 and noise > 0 else 0.0
+    return (1 - a) * cov + a * level * np.eye(d), float(a)

@@ -78,23 +78,36 @@ def position_zscore(s, d):
     return z.groupBy("variant").agg(F.round(F.avg("z"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("z") / F.sqrt(F.count("*").cast("double")), 6).alias("half"))
 
 
+def _out_of_fold(x: DataFrame, feature: str, folds: int = 3) -> DataFrame:
+    """Adds wrong_<feature>: whether the class whose mean is nearer, both taken from the other folds, is not the row's."""
+    of = lambda y: [F.sum(F.when(F.col("y") == y, F.col(feature))).alias(f"s{y}"), F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}")]
+    sums = x.groupBy("fold").agg(*of(0), *of(1))  # one row a fold
+    others = sums.crossJoin(F.broadcast(sums.select(F.col("fold").alias("out")))).where("fold <> out").groupBy("out").agg(*[(F.sum(f"s{y}") / F.sum(f"n{y}")).alias(f"m{y}") for y in (0, 1)])
+    j = x.join(F.broadcast(others), F.col("fold") == F.col("out"))
+    near = (F.abs(F.col(feature) - F.col("m1")) < F.abs(F.col(feature) - F.col("m0"))).cast("int")
+    return j.withColumn(f"wrong_{feature}", (near != F.col("y")).cast("int")).drop("out", "m0", "m1")
+
+
 def review_verdicts(s, d):
-    """Verdicts of two scorers on the union of both sides (missing columns null), summed by verdict."""
-    f = _frame(s, d)
-    red = f.where(RED).select(F.lit("red").alias("source"), "dialog_id", "n_turns", "first_turn", "rating", "author")
-    both = red.unionByName(f.where(f"NOT ({RED})").select(F.lit("help").alias("source"), "dialog_id", "n_turns", "first_turn"), allowMissingColumns=True)
-    n = F.char_length("first_turn")
-    red_side = F.col("source") == "red"
-    wrong = ((n % 2 == 0) != red_side).cast("int") + ((n % 3 == 0) != red_side).cast("int")
-    verdict = F.when(wrong >= 2, "missed").when(wrong == 0, "clear").otherwise("disputed")
-    x = both.withColumn("verdict", verdict).where("source = 'red'")
-    return x.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"), F.median("n_turns").alias("median_turns"), F.round(F.avg((F.col("rating") == 0).cast("double")), 6).alias("share_rating_0"), F.median(n).alias("median_chars"))
+    """Verdicts of two out-of-fold scorers on the union of both sides (missing columns null), summed by verdict.
+
+    The scorers tell the sides by the length of the first turn and of the whole human side; a fold is judged by the means of the other folds.
+    """
+    f = _frame(s, d).withColumn("whole", F.char_length("human_side"))
+    red = f.where(RED).select(F.lit("red").alias("source"), "dialog_id", "n_turns", "first_turn", "whole", "rating", "author")
+    both = red.unionByName(f.where(f"NOT ({RED})").select(F.lit("help").alias("source"), "dialog_id", "n_turns", "first_turn", "whole"), allowMissingColumns=True)
+    x = both.withColumn("y", (F.col("source") == "red").cast("int")).withColumn("chars", F.char_length("first_turn"))
+    x = _out_of_fold(_out_of_fold(pl.folds_by_label(x, 3, "y", "dialog_id"), "chars"), "whole")
+    wrong = F.col("wrong_chars") + F.col("wrong_whole")
+    x = x.withColumn("verdict", F.when(wrong >= 2, "missed").when(wrong == 0, "clear").otherwise("disputed")).where("source = 'red'")
+    return x.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"), F.median("n_turns").alias("median_turns"), F.round(F.avg((F.col("rating") == 0).cast("double")), 6).alias("share_rating_0"), F.median("chars").alias("median_chars"))
 
 
 def author_concentration(s, d):
     c = _frame(s, d).groupBy("author").agg(F.count("*").alias("n"))
-    r = c.withColumn("rn", F.row_number().over(Window.orderBy(F.col("n").desc(), "author")))  # one row an author
-    return r.agg(F.sum("n").alias("n"), F.count("*").alias("authors"), F.round(F.max("n") / F.sum("n"), 6).alias("top_share"), F.round(F.sum(F.when(F.col("rn") <= 5, F.col("n"))) / F.sum("n"), 6).alias("top5_share"))
+    top = c.orderBy(F.col("n").desc(), "author").limit(5).agg(F.sum("n").alias("top5"), F.max("n").alias("top"))
+    every = c.agg(F.sum("n").alias("n"), F.count("*").alias("authors"))
+    return every.crossJoin(F.broadcast(top)).select("n", "authors", F.round(F.col("top") / F.col("n"), 6).alias("top_share"), F.round(F.col("top5") / F.col("n"), 6).alias("top5_share"))
 
 
 def runlog_outer_join(s, d):
@@ -113,9 +126,14 @@ def runlog_curve(s, d):
     return x.crossJoin(F.broadcast(n))
 
 
-def rolling_loss(s, d):
-    w = Window.partitionBy("variant", "seed").orderBy("step").rowsBetween(-9, Window.currentRow)
-    return runs(s, d).select("variant", "seed", "step", F.round(F.avg("loss").over(w), 6).alias("rolling"))
+def rolling_loss(s, d, rows: int = 10, run: int = 10_000):
+    """Mean of the last ten losses of each run. A task has ``run`` steps, and of the steps before them those that its first means need."""
+    x = runs(s, d).withColumn("part", F.floor((F.col("step") - 1) / run))
+    last = F.pmod(F.col("step") - 1, F.lit(run)) > run - rows
+    parts = F.when(last, F.array("part", F.col("part") + 1)).otherwise(F.array("part"))
+    x = x.withColumn("own", F.col("part")).withColumn("part", F.explode(parts))
+    w = Window.partitionBy("variant", "seed", "part").orderBy("step").rowsBetween(1 - rows, Window.currentRow)
+    return x.withColumn("rolling", F.round(F.avg("loss").over(w), 6)).where("part = own").select("variant", "seed", "step", "rolling")
 
 
 def early_stop(s, d, every: int = 10, patience: int = 5, delta: float = 0.001):
@@ -150,12 +168,19 @@ SELECT rating, dialog_id FROM (SELECT *, row_number() OVER (PARTITION BY rating
 SELECT variant, round(auroc, 6) AS auroc, (SELECT round(avg(CASE WHEN l > f THEN 1.0::DOUBLE ELSE 0 END), 6) FROM tw) AS last_over_first FROM {_AUC}""",
     "position_zscore": f"""WITH {_V}, rf AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM sv WHERE variant = 'turn 1' AND NOT ({RED}))
 SELECT variant, round(avg((score - m) / sd), 6) AS mean, round(1.96 * stddev_samp((score - m) / sd) / sqrt(count(*)), 6) AS half FROM sv, rf GROUP BY variant""",
-    "review_verdicts": f"""WITH {_F}, x AS (SELECT *, length(first_turn) AS n, CASE WHEN length(first_turn) % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN length(first_turn) % 3 = 0 THEN 0 ELSE 1 END AS wrong FROM fr WHERE {RED})
-SELECT CASE WHEN wrong >= 2 THEN 'missed' WHEN wrong = 0 THEN 'clear' ELSE 'disputed' END AS verdict, count(*) AS n, count(DISTINCT author) AS authors, median(n_turns) AS median_turns, round(avg(CASE WHEN rating = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_rating_0, median(n) AS median_chars FROM x GROUP BY 1""",
+    "review_verdicts": f"""WITH {_F}, x AS (SELECT *, CASE WHEN {RED} THEN 1 ELSE 0 END AS y, length(first_turn) AS chars, length(human_side) AS whole, (row_number() OVER (PARTITION BY dialog_id % 2 ORDER BY {hashed_sql('dialog_id')}, dialog_id) - 1) % 3 AS fold FROM fr),
+o AS (SELECT f.o AS out, avg(chars) FILTER (y = 0) AS c0, avg(chars) FILTER (y = 1) AS c1, avg(whole) FILTER (y = 0) AS w0, avg(whole) FILTER (y = 1) AS w1 FROM x, range(0, 3) f(o) WHERE fold <> f.o GROUP BY f.o),
+v AS (SELECT x.*, (CASE WHEN abs(chars - c1) < abs(chars - c0) THEN 1 ELSE 0 END <> y)::INT + (CASE WHEN abs(whole - w1) < abs(whole - w0) THEN 1 ELSE 0 END <> y)::INT AS wrong FROM x JOIN o ON fold = out WHERE y = 1)
+SELECT CASE WHEN wrong >= 2 THEN 'missed' WHEN wrong = 0 THEN 'clear' ELSE 'disputed' END AS verdict, count(*) AS n, count(DISTINCT author) AS authors, median(n_turns) AS median_turns, round(avg(CASE WHEN rating = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_rating_0, median(chars) AS median_chars FROM v GROUP BY 1""",
     "author_concentration": f"WITH {_F}, c AS (SELECT author, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, author) AS rn FROM fr GROUP BY author) SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS authors, round(max(n) / sum(n), 6) AS top_share, round(sum(n) FILTER (rn <= 5) / sum(n), 6) AS top5_share FROM c",
     "runlog_outer_join": f"""WITH {RUNS}, e AS (SELECT variant, seed, step + 5 AS step, loss * 2 AS l FROM runs WHERE step % 10 = 0)
 SELECT coalesce(r.variant, e.variant) AS variant, coalesce(r.seed, e.seed) AS seed, coalesce(r.step, e.step) AS step, round(r.loss, 6) AS "train/loss", round(e.l, 6) AS "eval/loss" FROM runs r FULL JOIN e ON r.variant = e.variant AND r.seed = e.seed AND r.step = e.step""",
     "runlog_curve": f"WITH {RUNS} SELECT step, round(avg(loss), 6) AS mean, round(min(loss), 6) AS low, round(max(loss), 6) AS high, (SELECT count(DISTINCT (variant, seed)) FROM runs) AS runs FROM runs GROUP BY step",
+    "early_stop": f"""WITH RECURSIVE {RUNS}, e AS (SELECT variant, seed, step, loss, row_number() OVER (PARTITION BY variant, seed ORDER BY step) AS k, max(step) OVER (PARTITION BY variant, seed) AS final FROM runs WHERE step % 10 = 0),
+m AS (SELECT variant, seed, 1::BIGINT AS k, loss AS best, step AS kept, 0 AS waits, step AS now, final FROM e WHERE k = 1
+UNION ALL SELECT e.variant, e.seed, e.k, CASE WHEN e.loss < best - 0.001::DOUBLE THEN e.loss ELSE best END, CASE WHEN e.loss < best - 0.001::DOUBLE THEN e.step ELSE kept END, CASE WHEN e.loss < best - 0.001::DOUBLE THEN 0 ELSE waits + 1 END, e.step, e.final
+ FROM m JOIN e ON e.variant = m.variant AND e.seed = m.seed AND e.k = m.k + 1 WHERE waits < 5)
+SELECT variant, seed, CAST(arg_max(kept, k) AS INTEGER) AS best_step, CAST(arg_max(now, k) AS INTEGER) AS stop_step, round(arg_max(best, k), 6) AS best_loss FROM m GROUP BY variant, seed""",
     "rolling_loss": f"WITH {RUNS} SELECT variant, seed, step, round(avg(loss) OVER (PARTITION BY variant, seed ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling FROM runs",
 }
 

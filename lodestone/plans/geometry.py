@@ -11,8 +11,9 @@ from ..operators import pairs as P
 from ..operators import pool as pl
 from ..operators import similarity as S
 from ..operators import vectors as V
-from ..sources.tables import hashed, hashed_sql, load, uniform, uniform_sql
-from .prompts import the_pool
+from ..sources import stores
+from ..sources.tables import hashed_sql, load, uniform, uniform_sql
+from .prompts import _JB, POOL, the_pool
 
 STOP = ("the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "with", "as", "by", "an", "at", "are", "or")
 
@@ -27,8 +28,8 @@ def _turns(s, d) -> DataFrame:
 
 
 def tfidf_weights(s, d):
-    b = load(s, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), "text")
-    return S.tfidf(S.terms(b, "text", "id"), "id").select("id", "term", _r("weight").alias("weight"))
+    """Term weights of the pool's prompts."""
+    return S.tfidf(S.terms(the_pool(s, d).select("id", "prompt"), "prompt", "id"), "id").select("id", "term", _r("weight").alias("weight"))
 
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -46,56 +47,70 @@ rw AS (SELECT {g}{key}, term, {tf} * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf
 wt AS (SELECT {g}{key}, term, raw / sqrt(sum(raw * raw) OVER ({part})) AS weight FROM rw)"""
 
 
-def _similar(s, d):
-    w = S.tfidf(S.terms(load(s, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), "text"), "text", "id"), "id", sublinear=True)
-    return S.cosine_pairs(w, w, "id", ordered=True).withColumn("score", _r("score"))
+def _similar(p: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
+    """Pairs of one group's prompts whose cosine lies in a band, the groups' terms weighed apart."""
+    counts = S.terms(p, "prompt", "id").join(p.select("id", *by), "id")
+    w = stores.stored(S.tfidf(counts, "id", sublinear=True, by=by), "weights")
+    return S.cosine_pairs(w, w, "id", by, ordered=True, least=low - 1e-6).withColumn("score", _r("score")).where(F.col("score").between(low, high))
 
 
-def tfidf_paraphrase(s, d, low: float = 0.1, high: float = 0.95):
-    """Pairs of benchmark texts in a band of cosines."""
-    return _similar(s, d).where(F.col("score").between(low, high)).select("a", "b", "score")
+def tfidf_paraphrase(s, d, low: float = 0.35, high: float = 0.95):
+    """Pairs of the pool's prompts of one label and category in a band of cosines."""
+    p = the_pool(s, d).select("id", "prompt", "label", F.coalesce("primary_category", F.lit("")).alias("category"))
+    return _similar(p, ["label", "category"], low, high).select("label", "category", "a", "b", "score")
 
 
-def paraphrase_allocated(s, d):
-    """Similar pairs of pool prompts within a harm category, their number allocated by square roots, half of all pairs kept."""
-    p = the_pool(s, d).where("label = 'harm'").select("id", "primary_category", "prompt")
-    counts = S.terms(p, "prompt", "id").join(p.select("id", "primary_category"), "id")
-    w = S.tfidf(counts, "id", sublinear=True, by=["primary_category"])
-    found = S.cosine_pairs(w, w, "id", ["primary_category"], ordered=True).withColumn("score", _r("score")).where(F.col("score").between(0.02, 0.95))
-    found = found.withColumn("pair", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))
-    return pl.sampled_by_category(found, found.count() // 2, "primary_category", "pair").select("primary_category", "a", "b", "score")
+def paraphrase_allocated(s, d, n: int = 400, low: float = 0.2, high: float = 0.95):
+    """n pairs of similar prompts: half within a harm category, allocated by square roots, the rest among safe prompts, both at random."""
+    p = stores.stored(the_pool(s, d).select("id", "prompt", "label", "primary_category"), "pool")
+    pair = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))
+    harm = stores.stored(_similar(p.where("label = 'harm'").select("id", "prompt", "primary_category"), ["primary_category"], low, high).withColumn("pair", pair), "harm-pairs")
+    safe = stores.stored(_similar(p.where("label = 'safe'").select("id", "prompt", F.lit("").alias("all")), ["all"], low, high).withColumn("pair", pair), "safe-pairs")
+    chosen = stores.stored(pl.sampled_by_category(harm, n // 2, key="pair").select("primary_category", "a", "b", "score"), "harm-chosen")
+    taken = chosen.agg(F.count("*").alias("taken"))  # one row
+    rest = pl.shuffled(safe, [], "pair").crossJoin(F.broadcast(taken)).where(F.col("rank") <= n - F.col("taken"))
+    return chosen.unionByName(rest.select(F.lit(None).cast("string").alias("primary_category"), "a", "b", "score"))
 
 
 def neardup_anti(s, d, most: float = 0.9):
-    """Benchmark items whose 1-2-gram cosine with every earlier item stays under the limit."""
-    b = load(s, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), X.collapsed(F.col("text")).alias("text"))
-    w = S.tfidf(S.terms(b, "text", "id", 2), "id", sublinear=True)
-    close = S.cosine_pairs(w, w, "id", ordered=True).where(F.round("score", 6) >= most).select(F.col("b").alias("id")).distinct()
-    return b.select("id").join(close, "id", "left_anti")
+    """Documents that are no copy of a benchmark text: neither the same words, nor a 1-2-gram cosine of ``most`` or more."""
+    held = load(s, d, "benchmark").where("text IS NOT NULL").select((-1 - F.col("item_id")).alias("id"), X.collapsed(F.col("text")).alias("text"))
+    docs = load(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), X.collapsed(F.col("text")).alias("text"))
+    w = stores.stored(S.tfidf(S.terms(held.union(docs), "text", "id", 2), "id", sublinear=True), "weights")
+    near = S.cosine_pairs(w.where("id >= 0"), w.where("id < 0"), "id", least=most - 1e-6).where(F.round("score", 6) >= most).select(F.col("a").alias("id"))
+    same = docs.join(held.select("text").distinct(), "text", "left_semi").select("id")
+    return docs.select("id").join(near.union(same).distinct(), "id", "left_anti")
+
+
+def hard_negatives(s, d, n: int = 100):
+    """For n harm prompts of the pool, their categories allocated by square roots, the most similar unused safe prompt."""
+    p = stores.stored(the_pool(s, d).select("id", "prompt", "label", "primary_category"), "pool")
+    harm, safe = stores.stored(pl.sampled_by_category(p.where("label = 'harm'"), n), "harm"), p.where("label = 'safe'")
+    stop = s.createDataFrame([(w,) for w in STOP], "term string")
+    chosen = harm.select("id", "prompt", "label").union(safe.select("id", "prompt", "label"))
+    w = stores.stored(S.tfidf(S.terms(chosen, "prompt", "id"), "id", sublinear=True, stop=stop).join(chosen.select("id", "label"), "id"), "weights")
+    sim = S.cosine_pairs(w.where("label = 'harm'"), w.where("label = 'safe'"), "id").withColumn("score", _r("score"))
+    out = P.matched_by_score(harm, safe, stores.stored(sim, "similar"), n)
+    return out.select(F.col("left_id").alias("harm_id"), F.col("right_id").alias("safe_id"), "score")
 
 
-def hard_negatives(s, d):
-    """For each harm prompt of the pool, in random order, its most similar unused safe prompt."""
+def _by_length(s, d, choose, most: int | None = None):
     p = the_pool(s, d)
-    stop = s.createDataFrame([(w,) for w in STOP], "term string")
-    w = S.tfidf(S.terms(p, "prompt", "id"), "id", sublinear=True, stop=stop).join(p.select("id", "label"), "id")
-    sim = S.cosine_pairs(w.where("label = 'harm'"), w.where("label = 'safe'"), "id").withColumn("score", F.round("score", 9))
-    sim = sim.withColumn("score", F.when(F.col("score") >= 0.95, -1.0).otherwise(F.col("score")))
-    lists = sim.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct(F.col("b").alias("other"), "score")).alias("scores"))
-    harm = p.where("label = 'harm'").select("id", hashed(F.col("id")).alias("order")).join(lists, "id", "left")
-    safe = p.where("label = 'safe'").select("id", F.lpad(F.col("id").cast("string"), 20, "0").alias("order"))
-    out = P.matched(harm, safe, P.most_similar, "harm_id long, safe_id long, score double")
-    return out.withColumn("score", _r("score"))
+    if most:
+        p = p.where(F.col("chars") <= most).where(~X.is_jailbreak_like(F.col("prompt")))
+    p = stores.stored(p.select("id", "label", "chars"), "lengths")
+    out = P.matched_by_length(p.where("label = 'harm'"), p.where("label = 'safe'"), choose)
+    return out.select(F.col("left_id").alias("harm_id"), F.col("right_id").alias("safe_id"), F.col("left_chars").alias("harm_chars"), F.col("right_chars").alias("safe_chars"))
 
 
 def length_matched_wraps(s, d):
-    p = the_pool(s, d).where("chars <= 1000").where(~X.is_jailbreak_like(F.col("prompt"))).select("id", "label", F.col("chars").cast("long"), hashed(F.col("id")).alias("order"))
-    return P.matched(p.where("label = 'harm'").drop("label"), p.where("label = 'safe'").drop("label"), P.nearest_length, "harm_id long, safe_id long, harm_chars long, safe_chars long")
+    """Harm prompts in random order, each with the unused safe prompt nearest in length."""
+    return _by_length(s, d, P.nearest, 1000)
 
 
 def length_match_range(s, d):
-    p = the_pool(s, d).select("id", "label", F.col("chars").cast("long"), F.lpad(F.col("id").cast("string"), 20, "0").alias("order"))
-    return P.matched(p.where("label = 'harm'").drop("label"), p.where("label = 'safe'").drop("label"), P.shortest_within(0.25), "harm_id long, safe_id long, harm_chars long, safe_chars long")
+    """Harm prompts in random order, each with the shortest unused safe prompt within a quarter of its length."""
+    return _by_length(s, d, P.shortest_within(0.25))
 
 
 def _z(s, d) -> DataFrame:
@@ -172,13 +187,18 @@ def _sums(z: DataFrame, by: list[str]) -> DataFrame:
 
 
 def geometry_metrics(s, d):
-    """Mean cosine and normalised alignment in closed form, kNN purity by an exact scan."""
+    """Mean cosine and normalised alignment in closed form, kNN purity by an exact scan, uniformity over tiles of all pairs,
+    and the participation ratio, which is trace(C)^2 / sum of the squared entries of the covariance C."""
     z, n = _near(s, d)
     a = _sums(z, []).select(((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cos"))
     within = _sums(z, ["y"]).agg((F.sum(F.col("ss") - F.col("n")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("own_cos"))
     y = z.select("id", "y")
     pure = n.join(y.withColumnRenamed("id", "q").withColumnRenamed("y", "qy"), "q").join(y.withColumnRenamed("id", "b").withColumnRenamed("y", "by"), "b").agg(F.avg((F.col("qy") == F.col("by")).cast("double")).alias("purity"))
-    return a.crossJoin(within).crossJoin(pure).select(_r("mean_cos").alias("mean_cos"), _r((2 - 2 * F.col("own_cos")) / (2 - 2 * F.col("mean_cos"))).alias("alignment"), _r("purity").alias("knn_purity"))
+    spread = V.pair_mean(z, lambda cos: np.exp(-2 * np.clip(2 - 2 * cos, 0, None))).select(F.log(F.col("total") / F.col("pairs")).alias("uniformity"))
+    cov = V.moments(load(s, d, "embeddings"), "embedding")[2]
+    ratio = float(np.trace(cov) ** 2 / (cov**2).sum()) if cov.any() else None
+    out = a.crossJoin(within).crossJoin(pure).crossJoin(spread)  # one row each
+    return out.select(_r("mean_cos").alias("mean_cos"), _r((2 - 2 * F.col("own_cos")) / (2 - 2 * F.col("mean_cos"))).alias("alignment"), _r("purity").alias("knn_purity"), _r("uniformity").alias("uniformity"), _r(F.lit(ratio), 4).alias("participation"))
 
 
 def category_purity(s, d):
@@ -255,12 +275,27 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ari_contingency(s, d):
-    """Clusters by the sign pattern of the first coordinates against the labels."""
+    """Cells by the sign pattern of the first coordinates against the labels; k-means clusters are in ``kmeans_ari``."""
     bit = lambda i: (F.element_at("embedding", i) > 0).cast("int")
     x = load(s, d, "embeddings").select("label", (bit(1) * 4 + bit(2) * 2 + bit(3)).alias("cluster"))
     return ari(x, "label", "cluster").select(_r("ari").alias("ari"))
 
 
+def kmeans_ari(s, d, clusters: int = 10, starts: int = 10):
+    """Adjusted Rand index of the labels and of the classes against k-means clusters of unit vectors, the best of several starts."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = _z(s, d).select("label", "y", array_to_vector("z").alias("features"))
+    out = None
+    for name, k in (("label", clusters), ("y", 2)):
+        fits = [KMeans(k=k, seed=i, featuresCol="features", predictionCol="cluster").fit(x) for i in range(starts)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        a = ari(best.transform(x), name, "cluster").select(F.lit(name).alias("against"), _r("ari").alias("ari"))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
 def twin_hit_at_k(s, d):
     """Share of vectors that find the twin (the next id of the same label) among their k nearest."""
     z, n = _near(s, d)
@@ -292,12 +327,62 @@ def supcon_loss(s, d, tau: float = 0.1):
 
 
 _PARA = "sm AS (SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS score FROM wt a JOIN wt b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)"
-_BENCH = "bx AS (SELECT item_id AS id, text FROM benchmark WHERE text IS NOT NULL)"
+_GRAMS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+_COLLAPSED = r"regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+def _pairs_sql(source: str, by: str, tag: str, low: float, high: float) -> str:
+    w = f"""tk{tag} AS (SELECT {by}, id, unnest({_TOK}) AS term FROM {source}), tf{tag} AS (SELECT {by}, id, term, count(*) AS tf FROM tk{tag} GROUP BY ALL),
+n{tag} AS (SELECT {by}, count(DISTINCT id) AS n FROM tf{tag} GROUP BY {by}), df{tag} AS (SELECT {by}, term, count(*) AS df FROM tf{tag} GROUP BY ALL),
+rw{tag} AS (SELECT {by}, id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf{tag} JOIN df{tag} USING ({by}, term) JOIN n{tag} USING ({by})),
+wt{tag} AS (SELECT {by}, id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {by}, id)) AS weight FROM rw{tag})"""
+    return f"""{w}, sm{tag} AS (SELECT * FROM (SELECT {", ".join(f"a.{c}" for c in by.split(", "))}, a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS score
+FROM wt{tag} a JOIN wt{tag} b ON {" AND ".join(f"a.{c} = b.{c}" for c in [*by.split(", "), "term"])} AND a.id < b.id GROUP BY ALL) WHERE score BETWEEN {low} AND {high})"""
+
+
+_PAIR_KEY = "concat_ws(':', CAST(a AS VARCHAR), CAST(b AS VARCHAR))"
+_TURNS = f"""tu AS (SELECT id, chars, row_number() OVER (ORDER BY {hashed_sql("id")}, id) AS turn FROM eligible WHERE label = 'harm'),
+seat AS (SELECT id, chars, row_number() OVER (PARTITION BY chars ORDER BY {hashed_sql("id")}, id) AS number FROM eligible WHERE label = 'safe')"""
+
+
+def _matched_sql(where: str, wanted: str, order: str) -> str:
+    """Rows in turn, each with the first unused seat that is wanted, by a recursive table whose rows carry the seats in use."""
+    return f"""WITH RECURSIVE {POOL}, eligible AS (SELECT id, label, chars FROM pool{where}), {_TURNS},
+m AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS harm_id, NULL::BIGINT AS safe_id, []::BIGINT[] AS used
+UNION ALL SELECT turn, harm_id, safe_id, CASE WHEN safe_id IS NULL THEN used ELSE list_append(used, safe_id) END FROM
+(SELECT tu.turn, tu.id AS harm_id, (SELECT arg_min(seat.id, ({order}, seat.chars, seat.number)) FROM seat WHERE NOT list_contains(m.used, seat.id) AND {wanted}) AS safe_id, m.used FROM m JOIN tu ON tu.turn = m.turn + 1))
+SELECT harm_id, safe_id, CAST(tu.chars AS BIGINT) AS harm_chars, CAST(seat.chars AS BIGINT) AS safe_chars FROM m JOIN tu ON tu.id = harm_id JOIN seat ON seat.id = safe_id"""
+
+
+_HARD = f"""WITH RECURSIVE {POOL}, hc AS (SELECT primary_category AS category, count(*) AS available FROM pool WHERE label = 'harm' GROUP BY 1), {pl.allocated_sql("hc", wanted="least(100, sum(available) OVER ())")},
+hs AS (SELECT id, prompt FROM (SELECT *, row_number() OVER (PARTITION BY primary_category ORDER BY {hashed_sql("id")}, id) AS rn FROM pool WHERE label = 'harm') JOIN al ON primary_category = category WHERE rn <= taken),
+tu AS (SELECT id, row_number() OVER (ORDER BY {hashed_sql("id")}, id) AS turn FROM hs), sf AS (SELECT id, prompt FROM pool WHERE label = 'safe'),
+bx AS (SELECT id, list_filter({_TOK.replace("text", "prompt")}, lambda w: w NOT IN {STOP}) AS w FROM (SELECT * FROM hs UNION ALL SELECT * FROM sf)),
+{_tfidf_sql("bx", "id", True, found="unnest(w)")},
+sm AS (SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS score FROM wt a JOIN hs ON hs.id = a.id JOIN wt b ON a.term = b.term JOIN sf ON sf.id = b.id GROUP BY ALL),
+wish AS (SELECT tu.turn, tu.id AS a, sf.id AS b, CASE WHEN score >= 0.95 THEN -1.0 ELSE coalesce(score, 0.0) END AS score FROM tu CROSS JOIN sf LEFT JOIN sm ON sm.a = tu.id AND sm.b = sf.id),
+m AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS harm_id, NULL::BIGINT AS safe_id, []::BIGINT[] AS used
+UNION ALL SELECT turn, harm_id, safe_id, CASE WHEN safe_id IS NULL THEN used ELSE list_append(used, safe_id) END FROM
+(SELECT tu.turn, tu.id AS harm_id, (SELECT arg_min(wish.b, (-wish.score, wish.b)) FROM wish WHERE wish.turn = m.turn + 1 AND NOT list_contains(m.used, wish.b)) AS safe_id, m.used FROM m JOIN tu ON tu.turn = m.turn + 1))
+SELECT harm_id, safe_id, CAST(wish.score AS DOUBLE) AS score FROM m JOIN wish ON wish.a = harm_id AND wish.b = safe_id"""
+_ELIGIBLE = f" WHERE chars <= 1000 AND NOT regexp_matches(prompt, '(?i){_JB}')"
+
 ORACLE_SQL = {
-    "tfidf_weights": f"WITH {_BENCH}, {_tfidf_sql('bx', 'id', False)} SELECT id, term, round(weight, 6) AS weight FROM wt",
-    "tfidf_paraphrase": f"WITH {_BENCH}, {_tfidf_sql('bx', 'id', True)}, {_PARA} SELECT a, b, score FROM sm WHERE score BETWEEN 0.1 AND 0.95",
-    "neardup_anti": f"""WITH bt AS (SELECT item_id AS id, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS text FROM benchmark WHERE text IS NOT NULL), bw AS (SELECT id, {_TOK} AS w FROM bt),
-{_tfidf_sql("bw", "id", True, found="unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))")}, {_PARA} SELECT id FROM bt WHERE id NOT IN (SELECT b FROM sm WHERE score >= 0.9)""",
+    "tfidf_weights": f"WITH {POOL}, bx AS (SELECT id, prompt AS text FROM pool), {_tfidf_sql('bx', 'id', False)} SELECT id, term, round(weight, 6) AS weight FROM wt",
+    "tfidf_paraphrase": f"WITH {POOL}, px AS (SELECT id, label, coalesce(primary_category, '') AS category, prompt AS text FROM pool), {_pairs_sql('px', 'label, category', '1', 0.35, 0.95)} SELECT label, category, a, b, score FROM sm1",
+    "paraphrase_allocated": f"""WITH {POOL}, px AS (SELECT id, primary_category, prompt AS text FROM pool WHERE label = 'harm'), sx AS (SELECT id, '' AS grp, prompt AS text FROM pool WHERE label = 'safe'),
+{_pairs_sql("px", "primary_category", "1", 0.2, 0.95)}, {_pairs_sql("sx", "grp", "2", 0.2, 0.95)},
+hc AS (SELECT primary_category AS category, count(*) AS available FROM sm1 GROUP BY 1), {pl.allocated_sql("hc", wanted="least(200, sum(available) OVER ())")},
+ch AS (SELECT primary_category, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY primary_category ORDER BY {hashed_sql(_PAIR_KEY)}, {_PAIR_KEY}) AS rn FROM sm1) JOIN al ON primary_category = category WHERE rn <= taken)
+SELECT * FROM ch UNION ALL SELECT NULL, a, b, score FROM (SELECT *, row_number() OVER (ORDER BY {hashed_sql(_PAIR_KEY)}, {_PAIR_KEY}) AS rn FROM sm2) WHERE rn <= 400 - (SELECT count(*) FROM ch)""",
+    "neardup_anti": f"""WITH bt AS (SELECT -1 - item_id AS id, {_COLLAPSED} AS text FROM benchmark WHERE text IS NOT NULL), dt AS (SELECT doc_id AS id, {_COLLAPSED} AS text FROM documents WHERE text IS NOT NULL),
+bw AS (SELECT id, {_TOK} AS w FROM (SELECT * FROM bt UNION ALL SELECT * FROM dt)),
+{_tfidf_sql("bw", "id", True, found=_GRAMS)},
+sm AS (SELECT a.id AS a FROM wt a JOIN wt b ON a.term = b.term AND a.id >= 0 AND b.id < 0 GROUP BY a.id, b.id HAVING round(sum(a.weight * b.weight), 6) >= 0.9)
+SELECT id FROM dt WHERE id NOT IN (SELECT a FROM sm) AND text NOT IN (SELECT text FROM bt)""",
+    "hard_negatives": _HARD,
+    "length_matched_wraps": _matched_sql(_ELIGIBLE, "true", "abs(seat.chars - tu.chars)"),
+    "length_match_range": _matched_sql("", "seat.chars >= tu.chars * 0.75::DOUBLE AND seat.chars <= tu.chars * 1.25::DOUBLE", "seat.chars"),
     "l2_normalize": f"WITH {_Z} SELECT id, round(sqrt(list_dot_product(z, z)), 6) AS norm, round(z[1], 6) AS first FROM z",
     "describe_embeddings": f"WITH {_Z} SELECT label, max(len(e)) AS dim, count(*) AS n, round(avg(nrm), 6) AS mean_norm, round(stddev_samp(nrm), 6) AS std_norm_samp, round(quantile_cont(nrm, 0.25), 6) AS q25, round(quantile_cont(nrm, 0.5), 6) AS q50, round(quantile_cont(nrm, 0.75), 6) AS q75 FROM z GROUP BY label",
     "class_centroids": f"WITH {_Z} SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(z[i]), 6) AS mean FROM z, range(1, 65) r(i) GROUP BY label, i",
@@ -309,7 +394,8 @@ SELECT q, round(sum((greatest(cos, 0) + 1e-6::DOUBLE) * yb) / sum(greatest(cos,
 r AS (SELECT *, row_number() OVER (PARTITION BY q, side ORDER BY cos DESC, b) AS rk FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, b) AS ra FROM r WHERE rk <= 5)
 SELECT q, round(avg(cos) FILTER (side = 1) - avg(cos) FILTER (side = 0), 6) AS knn_diff, round(1 - max(cos) FILTER (ra = 5), 6) AS ood_knn FROM t GROUP BY q""",
     "geometry_metrics": f"""WITH {_Z}, {_NN.format(10)}, c AS (SELECT a.y AS ya, b.y AS yb, list_dot_product(a.z, b.z) AS cos FROM z a JOIN z b ON a.id <> b.id)
-SELECT round(avg(cos), 6) AS mean_cos, round(avg(2 - 2 * cos) FILTER (ya = yb) / avg(2 - 2 * cos), 6) AS alignment, (SELECT round(avg(CASE WHEN z.y = nn.yb THEN 1.0::DOUBLE ELSE 0 END), 6) FROM nn JOIN z ON z.id = nn.q) AS knn_purity FROM c""",
+SELECT round(avg(cos), 6) AS mean_cos, round(avg(2 - 2 * cos) FILTER (ya = yb) / avg(2 - 2 * cos), 6) AS alignment, (SELECT round(avg(CASE WHEN z.y = nn.yb THEN 1.0::DOUBLE ELSE 0 END), 6) FROM nn JOIN z ON z.id = nn.q) AS knn_purity, round(ln(avg(exp(-2 * greatest(2 - 2 * cos, 0)))), 6) AS uniformity,
+(SELECT round(pow(sum(cov) FILTER (i = j), 2) / sum(cov * cov), 4) FROM (SELECT i, j, covar_samp(e[i], e[j]) AS cov FROM z, range(1, 65) p(i), range(1, 65) q(j) GROUP BY i, j)) AS participation FROM c""",
     "category_purity": f"WITH {_Z}, {_NN.format(10)} SELECT (SELECT round(avg(CASE WHEN z.label = nn.bl THEN 1.0::DOUBLE ELSE 0 END), 6) FROM nn JOIN z ON z.id = nn.q) AS purity, (SELECT round(sum(p * p), 6) FROM (SELECT count(*)::DOUBLE / (SELECT count(*) FROM z) AS p FROM z GROUP BY label)) AS chance",
     "embedding_covariance": "WITH e AS (SELECT embedding::DOUBLE[] AS e FROM embeddings) SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_samp(e[i], e[j]), 6) AS cov FROM e, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j",
     "half_split_distance": f"WITH {_Z}, {_HALF}, p AS (SELECT a.round, list_dot_product(a.z, b.z) AS cos FROM hv a JOIN hv b ON a.round = b.round AND a.place = b.place AND a.half = 0 AND b.half = 1) SELECT CAST(round AS INTEGER) AS round, round(avg(1 - cos), 6) AS cos_distance, round(avg(sqrt(greatest(2 - 2 * cos, 0))), 6) AS l2_distance FROM p GROUP BY p.round",
@@ -329,4 +415,4 @@ q AS (SELECT batch, i, w, l - ln(sum(exp(l)) OVER (PARTITION BY batch, i)) AS lp
 SELECT batch, round(avg(loss), 6) AS loss, count(*) AS anchors FROM r GROUP BY batch""",
 }
 
-QUERIES = {f.__name__: f for f in (tfidf_weights, tfidf_paraphrase, paraphrase_allocated, neardup_anti, hard_negatives, length_matched_wraps, length_match_range, l2_normalize, describe_embeddings, class_centroids, centroid_scores, knn_topk, knn_classify, knn_diff, geometry_metrics, category_purity, embedding_covariance, pca_components, pca_overlap, half_split_distance, distance_ratio, ari_contingency, twin_hit_at_k, collapse_rules, supcon_loss)}
+QUERIES = {f.__name__: f for f in (tfidf_weights, tfidf_paraphrase, paraphrase_allocated, neardup_anti, hard_negatives, length_matched_wraps, length_match_range, l2_normalize, describe_embeddings, class_centroids, centroid_scores, knn_topk, knn_classify, knn_diff, geometry_metrics, category_purity, embedding_covariance, pca_components, pca_overlap, half_split_distance, distance_ratio, ari_contingency, kmeans_ari, twin_hit_at_k, collapse_rules, supcon_loss)}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import pairs as P
 from ..operators import pool as pl
+from ..sources import stores
 from ..sources.tables import PROMPTS, hashed, hashed_sql, load, prompts
 
 LEAST_CATEGORY = 12
@@ -63,10 +65,17 @@ def jailbreak_family(s, d):
     return c.select("doc_id", X.is_jailbreak_like(F.col("text")).alias("jailbreak_like"), X.jailbreak_family(F.col("text")).alias("family"))
 
 
+#: Lead-ins that give the invented texts of conversations a domain, by conv_id.
+LEADS = ("", "Write a Python script: ", "About ransomware. ", "A movie script on malware. ", "[PROMPT] ", "Tell a story. ", "Fix this code for me: ")
+
+
 def slice_tags(s, d):
-    c = load(s, d, "conversations").where("text IS NOT NULL AND char_length(text) <= 15000")
+    """Short texts without templates, each once (the first), with their slice; other slices are dropped."""
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), (F.pmod("conv_id", F.lit(len(LEADS))) + 1).cast("int"))
+    c = load(s, d, "conversations").withColumn("text", F.concat(lead, "text")).where("text IS NOT NULL AND char_length(text) <= 15000")
     c = c.where(~F.col("text").rlike(X.TEMPLATE_PROMPT))
-    return c.select("conv_id", "turn", X.slice_tag(F.col("text")).alias("slice"))
+    first = c.groupBy("text").agg(F.min(F.struct("conv_id", "turn", "role")).alias("f"))
+    return first.select("f.conv_id", "f.turn", X.slice_tag(F.col("text")).alias("slice")).where("slice <> 'other'")
 
 
 def category_lists(s, d):
@@ -109,17 +118,27 @@ def head_tail_truncate(s, d):
 
 
 def fingerprint(s, d):
-    """SHA-1 of the texts of each source in id order, with separators."""
-    x = load(s, d, "documents").select("source", "doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda r: r["h"])
-    return x.groupBy("source").agg(F.sha1(F.array_join(rows, "\x1f").cast("binary")).alias("fingerprint"), F.count("*").alias("n"))
+    """SHA-1 of the texts of each source in id order, with separators: of runs of 4096 ids, of runs of those, and of all runs."""
+    x = load(s, d, "documents").select("source", F.col("doc_id").alias("k"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.lit(1).alias("n"))
+    for _ in range(2):
+        x = _hashed_runs(x.withColumn("run", F.floor(F.col("k") / 4096)), ["source", "run"]).withColumnRenamed("run", "k")
+    return _hashed_runs(x, ["source"]).select("source", F.col("h").alias("fingerprint"), "n")
+
+
+def _hashed_runs(x, by: list[str]):
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda r: r["h"])
+    return x.groupBy(*by).agg(F.sha1(F.array_join(rows, "\x1f").cast("binary")).alias("h"), F.sum("n").alias("n"))
 
 
 def jsonl_roundtrip(s, d):
-    x = load(s, d, "conversations")
-    j = x.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role"), F.col("text"), F.col("turn"))).alias("line"))
-    y = j.select(F.from_json("line", "id string, role string, text string, turn long").alias("r"))
-    return y.select("r.id", "r.turn", "r.role", F.md5(F.coalesce("r.text", F.lit(""))).alias("text_md5"))
+    """Conversations written as JSON lines in two folders and read together, ids as strings."""
+    folder = stores.scratch(s, "lines")
+    x = load(s, d, "conversations").select(F.col("conv_id").alias("id"), "role", "text", "turn")
+    for k in (0, 1):
+        stores.write_lines(x.where(F.pmod("turn", F.lit(2)) == k), f"{folder}/{k}", "gzip" if k else "none")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("turn", T.LongType())])
+    y = stores.read_lines(s, [f"{folder}/{k}" for k in (0, 1)], schema)
+    return y.select("id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def dedup_first(s, d):
@@ -226,19 +245,32 @@ def pairs_union(s, d):
     return _all_pairs(s, d).groupBy("pair_type", "anchor_label", "pair_label").agg(F.count("*").alias("n"))
 
 
+def _stored_pairs(s, d, version: int) -> str:
+    """The folder of all pairs, written as JSON lines with a manifest; ids are ranks at random."""
+    folder = stores.scratch(s, f"pairs-v{version}")
+    keyed = _all_pairs(s, d).withColumn("key", F.concat_ws("\x1f", "pair_type", "anchor_text", "pair_text"))
+    stores.write_pairs(pl.shuffled(keyed, [], "key", name="id"), folder, version)
+    return folder
+
+
 def unique_texts_by_label(s, d):
-    u = P.unpivoted(_all_pairs(s, d))
-    return u.groupBy("text").agg(F.min_by("label", F.struct("side", "label")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    """Read back from the stored pairs."""
+    x = stores.read_pairs(s, [_stored_pairs(s, d, 2)], 2).withColumn("id", F.lit("0"))
+    return stores.first_labels(x).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def pairs_v1_manifest(s, d):
-    return P.side_counts(_all_pairs(s, d), F.col("anchor_category"), "(none)")
+    """Counts by type and category as the manifest of the stored pairs has them, where the stored rows agree."""
+    folder = _stored_pairs(s, d, 1)
+    rows = P.side_counts(stores.read_pairs(s, [folder], 1), F.col("anchor_category"), "(none)")
+    return stores.manifest_rows(s, folder, 1).join(rows, ["pair_type", "category", "n"])
 
 
 def pairs_v2_manifest(s, d):
-    x = _all_pairs(s, d)
-    cat = F.when(F.col("anchor_label") == "harm", F.coalesce("anchor_category", F.lit("Other"))).when(F.col("pair_label") == "harm", F.coalesce("pair_category", F.lit("Other")))
-    return P.side_counts(x, cat, "(safe only)")
+    """The same by the category of the harmful side."""
+    folder = _stored_pairs(s, d, 2)
+    rows = P.side_counts(stores.read_pairs(s, [folder], 2), stores.harm_category(), "(safe only)")
+    return stores.manifest_rows(s, folder, 2).join(rows, ["pair_type", "category", "n"])
 
 
 def dataset_profile(s, d):
@@ -252,7 +284,7 @@ def style_cells(s, d):
 
 
 def balanced_take(s, d):
-    x = pl.ranked(prompts(s, d).select("id", "toxic"), ["toxic"], [hashed(F.col("id")), F.col("id")])
+    x = pl.shuffled(prompts(s, d).select("id", "toxic"), ["toxic"], "id")
     size = x.groupBy("toxic").agg(F.count("*").alias("n")).agg(F.least(F.min("n"), F.lit(1000)).alias("m"))
     return x.crossJoin(F.broadcast(size)).where("rank <= m").select("id", "toxic")
 
@@ -294,13 +326,13 @@ def code_wrapped(s, d):
 
 
 def sqrt_allocation(s, d):
-    counts = {r[0]: r[1] for r in the_pool(s, d).where("label = 'harm'").groupBy("primary_category").count().collect()}
-    return s.createDataFrame(sorted((c, counts[c], n) for c, n in pl.allocate(counts, sum(counts.values()) // 2).items()), "category string, available long, taken long")
+    """Half of the harm prompts, split over their categories by square roots."""
+    harm = the_pool(s, d).where("label = 'harm'")
+    return pl.allocated(harm.groupBy(F.col("primary_category").alias("category")).agg(F.count("*").alias("available")), share=0.5)
 
 
 def sqrt_sample(s, d):
-    p = the_pool(s, d).where("label = 'harm'")
-    return pl.sampled_by_category(p, p.count() // 2).select("id", "primary_category")
+    return pl.sampled_by_category(the_pool(s, d).where("label = 'harm'"), share=0.5).select("id", "primary_category")
 
 
 def category_batches(s, d, batches: int = 20, per_batch: int = 3, rows: int = 2):
@@ -326,6 +358,7 @@ def positive_weights(s, d, alpha: float = 0.5, beta: float = 0.1):
     return j.select(F.col("a.step").alias("step"), F.col("a.id").alias("a"), F.col("c.id").alias("b"), w.alias("weight"))
 
 
+_HALF = "hc AS (SELECT primary_category AS category, count(*) AS available FROM pool WHERE label = 'harm' GROUP BY 1), " + pl.allocated_sql("hc", wanted="floor(sum(available) OVER () * 0.5::DOUBLE)")
 _RAW = "(['yes', ' Unharmful ', 'nan', '1', 'FALSE', 'other'])[doc_id % 6 + 1]"
 _BANK = "bank(category, malicious, benign_twin) AS (VALUES " + ", ".join(f"('{c}', {list(m)!r}, {list(b)!r})" for c, m, b in P.BANK) + ")"
 
@@ -334,8 +367,8 @@ ORACLE_SQL = {
     "pool_filters": f"WITH {REASONS} SELECT id, drop_reason FROM reasons",
     "pool_filter_counts": f"WITH {REASONS} SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n FROM reasons GROUP BY 1",
     "jailbreak_family": f"SELECT doc_id, regexp_matches(text, '(?i){_JB}') AS jailbreak_like, {_FAMILY.format('text')} AS family FROM documents",
-    "slice_tags": f"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '{X.CREATIVE}', ' ', 'g') AS t FROM conversations WHERE text IS NOT NULL AND length(text) <= 15000 AND NOT regexp_matches(text, '{X.TEMPLATE_PROMPT}'))
-SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{X.CODE}') THEN 'code' WHEN regexp_matches(t, '{_esc(X.CYBER)}') THEN 'cyber' ELSE 'other' END AS slice FROM c""",
+    "slice_tags": f"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '{X.CREATIVE}', ' ', 'g') AS t FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn, role) AS rn FROM (SELECT * REPLACE ({list(LEADS)!r}[conv_id % {len(LEADS)} + 1] || text AS text) FROM conversations) WHERE text IS NOT NULL AND length(text) <= 15000 AND NOT regexp_matches(text, '{X.TEMPLATE_PROMPT}')) WHERE rn = 1),
+g AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{X.CODE}') THEN 'code' WHEN regexp_matches(t, '{_esc(X.CYBER)}') THEN 'cyber' ELSE 'other' END AS slice FROM c) SELECT * FROM g WHERE slice <> 'other'""",
     "category_lists": f"WITH {PROMPTS} SELECT id, array_to_string({CATS}, '|') AS categories, list_filter({CATS}, lambda c: c <> 'Needs Caution')[1] AS primary_category FROM prompts",
     "label_normalize": f"WITH r AS (SELECT doc_id, lower(trim({_RAW})) AS v FROM labels) SELECT doc_id, CASE WHEN v IN {X.YES} THEN 'unsafe' WHEN v IN {X.NO} THEN 'safe' END AS label, v IN {X.MISSING} AS missing, v IN ('true', '1', 'yes') AS truthy FROM r",
     "any_label": "SELECT doc_id, CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 0) = 1 THEN 1 ELSE 0 END AS label, CASE WHEN coalesce(toxic, 0) = 1 AND coalesce(quality, 0) = 1 THEN 'toxicity+jailbreaking' WHEN coalesce(quality, 0) = 1 THEN 'jailbreaking' WHEN coalesce(toxic, 0) = 1 THEN 'toxicity' ELSE 'safe' END AS category FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL",
@@ -344,7 +377,10 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{X.CODE}') THEN 'code' WHEN r
 p AS (SELECT conv_id, list_transform(string_split(t, chr(10) || chr(10) || 'Human:')[2:], lambda x: {STRIP.format("string_split(x, chr(10) || chr(10) || 'Assistant:')[1]")}) AS turns FROM t)
 SELECT conv_id, CAST(len(turns) AS INTEGER) AS n_turns, md5(array_to_string(turns, '|')) AS turns_md5 FROM p""",
     "head_tail_truncate": "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, CASE WHEN len(w) <= 64 THEN w ELSE list_concat(w[1:16], w[-48:]) END AS k FROM w) SELECT doc_id, CAST(len(k) AS INTEGER) AS n, md5(array_to_string(k, ' ')) AS kept_md5 FROM k",
-    "fingerprint": "SELECT source, sha1(string_agg(sha1(coalesce(text, '')), chr(31) ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source",
+    "fingerprint": """WITH f0 AS (SELECT source, doc_id AS k, sha1(coalesce(text, '')) AS h, 1 AS n FROM documents),
+f1 AS (SELECT source, k // 4096 AS r, sha1(string_agg(h, chr(31) ORDER BY k, h)) AS h, sum(n) AS n FROM f0 GROUP BY ALL),
+f2 AS (SELECT source, r // 4096 AS r2, sha1(string_agg(h, chr(31) ORDER BY r, h)) AS h, sum(n) AS n FROM f1 GROUP BY ALL)
+SELECT source, sha1(string_agg(h, chr(31) ORDER BY r2, h)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM f2 GROUP BY source""",
     "jsonl_roundtrip": "SELECT CAST(conv_id AS VARCHAR) AS id, turn, role, md5(coalesce(text, '')) AS text_md5 FROM conversations",
     "dedup_first": "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text",
     "label_conflicts": f"WITH {PROMPTS} SELECT id, min(prompt_label) OVER (PARTITION BY prompt) <> max(prompt_label) OVER (PARTITION BY prompt) AS conflict FROM prompts WHERE prompt IS NOT NULL",
@@ -373,6 +409,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY side, pair_id) AS
     "stratified_folds": f"WITH {PROMPTS} SELECT id, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {hashed_sql('id')}, id) - 1) % 5 AS INTEGER) AS fold FROM prompts",
     "pair_kfold": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {hashed_sql('doc_id')}, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CAST(CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS fold FROM r",
     "group_split": f"WITH {PROMPTS}, z AS (SELECT source, count(*) AS size FROM prompts GROUP BY source), c AS (SELECT source, coalesce(sum(size) OVER (ORDER BY {hashed_sql('source')}, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(size) OVER () AS start FROM z) SELECT id, CASE WHEN start < 0.2 THEN 'test' WHEN start < 0.2::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'train' END AS part FROM prompts JOIN c USING (source)",
+    "sqrt_allocation": f"WITH {POOL}, {_HALF} SELECT category, available, taken FROM al",
+    "sqrt_sample": f"WITH {POOL}, {_HALF} SELECT id, primary_category FROM (SELECT *, row_number() OVER (PARTITION BY primary_category ORDER BY {hashed_sql('id')}, id) AS rn FROM pool WHERE label = 'harm') JOIN al ON primary_category = category WHERE rn <= taken",
+    "group_kfold": f"""WITH RECURSIVE {PROMPTS}, g AS (SELECT source, count(*) AS n FROM prompts GROUP BY source), o AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, {hashed_sql('source')}, source) AS k FROM g),
+m AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS source, 0::BIGINT AS fold, [0, 0, 0, 0]::BIGINT[] AS load
+UNION ALL SELECT k, source, slot - 1, list_transform(load, lambda x, i: x + CASE WHEN i = slot THEN n ELSE 0 END) FROM (SELECT o.k, o.source, o.n, m.load, list_position(m.load, list_min(m.load)) AS slot FROM m JOIN o ON o.k = m.k + 1))
+SELECT id, CAST(fold AS INTEGER) AS fold FROM prompts JOIN m USING (source)""",
     "template_bank": f"WITH {TEMPLATE_ROWS} SELECT CAST(template_id AS INTEGER) AS template_id, template, instr(template, '{{0}}') > 0 AS has_placeholder FROM tmpl",
     "code_contrast": f"WITH {_BANK} SELECT category, i - 1 AS harm_index, j - 1 AS safe_index, malicious[i] AS harm_text, benign_twin[j] AS safe_text FROM bank, range(1, 3) a(i), range(1, 3) b(j)",
     "code_paraphrase": f"WITH {_BANK}, u AS (SELECT category, 'malicious' AS kind, malicious AS t FROM bank UNION ALL SELECT category, 'benign_twin', benign_twin FROM bank) SELECT category, kind, 0 AS first, 1 AS second, t[1] AS first_text, t[2] AS second_text FROM u",

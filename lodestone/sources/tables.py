@@ -80,12 +80,19 @@ SCORED = f"""scored AS (SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS y, la
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """(variant, seed, step, loss): events as the log of training runs."""
+    """(variant, seed, step, loss): events as the log of training runs.
+
+    Steps count a run's events in time order. Events are counted by the hour first, so a task orders an hour of a run.
+    """
     from pyspark.sql import Window
 
     e = load(spark, folder, "events").select(F.col("event_type").alias("variant"), (F.col("user_id") % 3).alias("seed"), "ts", "event_id", F.col("value").alias("loss"))
-    order = Window.partitionBy("variant", "seed").orderBy("ts", "event_id")
-    return e.select("variant", "seed", F.row_number().over(order).alias("step"), "loss")
+    e = e.withColumn("hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
+    by = ["variant", "seed"]
+    before = Window.partitionBy(*by).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = e.groupBy(*by, "hour").agg(F.count("*").alias("n")).select(*by, "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy(*by, "hour").orderBy("ts", "event_id"))
+    return e.join(hours, [*by, "hour"]).select(*by, (F.col("earlier") + within).cast("int").alias("step"), "loss")
 
 
 RUNS = """runs AS (SELECT event_type AS variant, user_id % 3 AS seed, CAST(row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY ts, event_id) AS INTEGER) AS step, value AS loss FROM events)"""
