@@ -71,7 +71,9 @@ def is_jailbreak_like(x: Column) -> Column:
 
 def jailbreak_family(x: Column) -> Column:
     """null for other prompts; the persona family goes before the injection family."""
-    return F.when(~is_jailbreak_like(x), F.lit(None).cast("string")).when(x.rlike(f"(?i){PERSONA}"), "persona_jailbreak").otherwise("prompt_injection_template")
+    return F.when(
+        ~is_jailbreak_like(x), F.lit(None).cast("string")
+    ).when(x.rlike(f"(?i){PERSONA}"), "persona_jailbreak").otherwise("prompt_injection_template")
 
 
 def slice_tag(x: Column) -> Column:
@@ -82,7 +84,9 @@ def slice_tag(x: Column) -> Column:
 
 def wrapped(template: Column, request: Column) -> Column:
     """Every {0} of the template replaced by the request; without one, the request after a blank line."""
-    return F.when(F.instr(template, "{0}") > 0, F.replace(template, F.lit("{0}"), request)).otherwise(F.concat(template, F.lit("\n\n"), request))
+    return F.when(
+        F.instr(template, "{0}") > 0, F.replace(template, F.lit("{0}"), request)
+    ).otherwise(F.concat(template, F.lit("\n\n"), request))
 
 
 def categories(x: Column) -> Column:
@@ -118,7 +122,10 @@ def truthy(x: Column) -> Column:
 def human_turns(transcript: Column) -> Column:
     """The human's turns of a transcript of "Human:" and "Assistant:" paragraphs."""
     parts = F.split(transcript, "\n\nHuman:")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: strip(F.split_part(p, F.lit("\n\nAssistant:"), F.lit(1))))
+    return F.transform(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda p: strip(F.split_part(p, F.lit("\n\nAssistant:"), F.lit(1)))
+    )
 
 
 def head_tail(tokens: Column, limit: int, head_share: float = 0.25) -> Column:

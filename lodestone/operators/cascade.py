@@ -39,13 +39,20 @@ def threshold_grid(df: DataFrame, score: str, label: str, judge: str, grid: int,
     cell = F.size(F.filter("cs ", lambda v: v < F.col("s ")))
     equal = F.exists("cs ", lambda v: v == F.col("s ")).cast("int")
     ind = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    cells = x.groupBy(*by, (cell * 2 + equal).alias("k")).agg(F.count("*").alias("n"), ind(F.col(label) == 0).alias("neg"), ind(F.col(label) == 1).alias("pos"), ind((F.col(label) == 0) & (F.col(judge) == 1)).alias("jneg"), ind((F.col(label) == 1) & (F.col(judge) == 0)).alias("jpos"))
+    cells = x.groupBy(*by, (cell * 2 + equal).alias("k")).agg(
+        F.count("*").alias("n"), ind(F.col(label) == 0).alias("neg"), ind(F.col(label) == 1).alias("pos"),
+        ind((F.col(label) == 0) & (F.col(judge) == 1)).alias("jneg"), ind((F.col(label) == 1) & (F.col(judge) == 0)).alias("jpos")
+    )
     # a cut with i cuts below it sits between k = 2 i (scores below it) and k = 2 i + 1 (scores equal to it)
     places = c.join(F.broadcast(arr), by) if by else c.crossJoin(F.broadcast(arr))
     places = places.select(*by, "cut", (F.size(F.filter("cs ", lambda v: v < F.col("cut"))) * 2).alias("place"))
     sums = ("n", "neg", "pos", "jneg", "jpos")
     up = places.join(cells, by) if by else places.crossJoin(F.broadcast(cells))
-    pre = up.groupBy(*by, "cut", "place").agg(*[F.sum(F.when(F.col("k") <= F.col("place"), F.col(m)).otherwise(0)).alias(f"lt_{m}") for m in sums], *[F.sum(F.when(F.col("k") <= F.col("place") + 1, F.col(m)).otherwise(0)).alias(f"le_{m}") for m in sums], *[F.sum(m).alias(f"all_{m}") for m in sums])
+    pre = up.groupBy(*by, "cut", "place").agg(
+        *[F.sum(F.when(F.col("k") <= F.col("place"), F.col(m)).otherwise(0)).alias(f"lt_{m}") for m in sums],
+        *[F.sum(F.when(F.col("k") <= F.col("place") + 1, F.col(m)).otherwise(0)).alias(f"le_{m}") for m in sums],
+        *[F.sum(m).alias(f"all_{m}") for m in sums]
+    )
     a, b = pre.alias("a"), pre.alias("b")
     cond = F.col("a.cut") <= F.col("b.cut")
     for g in by:
@@ -55,7 +62,10 @@ def threshold_grid(df: DataFrame, score: str, label: str, judge: str, grid: int,
     share = mid("n") / F.col("a.all_n")
     fpr = (mid("jneg") + F.col("a.all_neg") - F.col("b.lt_neg")) / F.col("a.all_neg")
     fnr = (mid("jpos") + F.col("b.lt_pos") - mid("pos")) / F.col("a.all_pos")
-    return p.select(*[F.col(f"a.{g}").alias(g) for g in by], F.col("a.cut").alias("t_low"), F.col("b.cut").alias("t_high"), share.alias("share"), fpr.alias("fpr"), fnr.alias("fnr"), (fpr + fnr).alias("errors"))
+    return p.select(
+        *[F.col(f"a.{g}").alias(g) for g in by], F.col("a.cut").alias("t_low"), F.col("b.cut").alias("t_high"), share.alias("share"),
+        fpr.alias("fpr"), fnr.alias("fnr"), (fpr + fnr).alias("errors")
+    )
 
 
 def operating_point(grid: DataFrame, judge: DataFrame, delta: float, cap: float, by: list[str] | None = None) -> DataFrame:
@@ -72,4 +82,7 @@ def zone_shares(df: DataFrame, score: str, low: Column, high: Column, flag: Colu
     core = gray(F.col(score), low, high)
     harm = (F.col(score) >= high) & ~flag
     share = lambda c: F.avg(c.cast("double"))
-    return df.agg(share(~core & ~flag & ~harm).alias("auto_safe"), share(harm).alias("auto_harm"), share(core).alias("judge_gray"), share(flag & ~core).alias("judge_ood"))
+    return df.agg(
+        share(~core & ~flag & ~harm).alias("auto_safe"), share(harm).alias("auto_harm"), share(core).alias("judge_gray"),
+        share(flag & ~core).alias("judge_ood")
+    )

@@ -21,12 +21,16 @@ def _stacked(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     lies below within the run: no task sorts a group.
     """
     keys = [f"{c} " for c in by]
-    values = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(x).alias("v ")).agg(F.count("*").alias("m ")).where("`v ` IS NOT NULL")
+    values = df.groupBy(
+        *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(x).alias("v ")
+    ).agg(F.count("*").alias("m ")).where("`v ` IS NOT NULL")
     shares = F.array(*[F.lit(i / RANK_CUTS) for i in range(1, RANK_CUTS)])
     cuts = values.groupBy(*keys).agg(F.percentile_approx("v ", shares, F.lit(4096)).alias("cuts "))  # one row a group
     joined = _joined(values, cuts, keys).withColumn("run ", F.size(F.filter("cuts ", lambda q: q < F.col("v "))))
     before = Window.partitionBy(*keys).orderBy("run ").rowsBetween(Window.unboundedPreceding, -1)  # at most RANK_CUTS rows a group
-    runs = joined.groupBy(*keys, "run ").agg(F.sum("m ").alias("all ")).select(*keys, "run ", F.coalesce(F.sum("all ").over(before), F.lit(0)).alias("o "))
+    runs = joined.groupBy(*keys, "run ").agg(F.sum("m ").alias("all ")).select(
+        *keys, "run ", F.coalesce(F.sum("all ").over(before), F.lit(0)).alias("o ")
+    )
     within = Window.partitionBy(*keys, "run ").orderBy("v ").rowsBetween(Window.unboundedPreceding, -1)
     out = _joined(joined, runs, [*keys, "run "])
     return out.select(*keys, "v ", "m ", (F.col("o ") + F.coalesce(F.sum("m ").over(within), F.lit(0))).alias("start "))
@@ -60,9 +64,13 @@ def quantiles(df: DataFrame, x: str, shares: list[float], by: list[str] | None =
     n = stacked.groupBy(*keys).agg(F.sum("m ").alias("n "))  # one row a group
     wanted = n.select(*keys, F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("i ", "share "), "n ")
     at = wanted.withColumn("p ", F.col("share ") * (F.col("n ") - 1)).withColumn("lo ", F.floor("p ")).withColumn("hi ", F.ceil("p "))
-    found = _joined(stacked, at, keys).where("(`lo ` >= `start ` AND `lo ` < `start ` + `m `) OR (`hi ` >= `start ` AND `hi ` < `start ` + `m `)")
+    found = _joined(stacked, at, keys).where(
+        "(`lo ` >= `start ` AND `lo ` < `start ` + `m `) OR (`hi ` >= `start ` AND `hi ` < `start ` + `m `)"
+    )
     inside = lambda c: F.max(F.when((F.col(c) >= F.col("start ")) & (F.col(c) < F.col("start ") + F.col("m ")), F.col("v ").cast("double")))
-    ends = found.groupBy(*keys, "i ").agg(inside("lo ").alias("a "), inside("hi ").alias("b "), F.max(F.col("p ") - F.col("lo ")).alias("f "))
+    ends = found.groupBy(*keys, "i ").agg(
+        inside("lo ").alias("a "), inside("hi ").alias("b "), F.max(F.col("p ") - F.col("lo ")).alias("f ")
+    )
     value = F.col("a ") + F.col("f ") * (F.col("b ") - F.col("a "))
     rows = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("i ").alias("i"), value.alias("v")))).alias("r "))
     return rows.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], F.transform("r ", lambda r: r["v"]).alias("q"))
@@ -71,7 +79,9 @@ def quantiles(df: DataFrame, x: str, shares: list[float], by: list[str] | None =
 def by_value(df: DataFrame, score: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
     """Positives and negatives at each distinct score: the only shuffle that curves and areas need of the rows."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("n"))
+    return df.groupBy(*by, F.col(score).alias("s")).agg(
+        F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("n")
+    )
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -102,7 +112,9 @@ def tpr_at(points: DataFrame, target: float, by: list[str] | None = None) -> Dat
     by = by or []
     ok = F.col("fpr") <= target
     best = F.max(F.when(ok, F.struct("tpr", (F.col("threshold")).alias("threshold"))))
-    return points.groupBy(*by).agg(best.alias("b")).select(*by, F.coalesce("b.tpr", F.lit(0.0)).alias("tpr"), F.col("b.threshold").alias("threshold"))
+    return points.groupBy(*by).agg(best.alias("b")).select(
+        *by, F.coalesce("b.tpr", F.lit(0.0)).alias("tpr"), F.col("b.threshold").alias("threshold")
+    )
 
 
 def partial_auroc(points: DataFrame, most: float, by: list[str] | None = None) -> DataFrame:
@@ -112,7 +124,9 @@ def partial_auroc(points: DataFrame, most: float, by: list[str] | None = None) -
     before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0.0))
     x = points.select(*by, "fpr", "tpr", before("fpr").alias("f0"), before("tpr").alias("t0")).where(F.col("f0") < most)
     cut = F.least("fpr", F.lit(most))
-    at_cut = F.when(F.col("fpr") <= most, F.col("tpr")).otherwise(F.col("t0") + (F.col("tpr") - F.col("t0")) * (most - F.col("f0")) / (F.col("fpr") - F.col("f0")))
+    at_cut = F.when(F.col("fpr") <= most, F.col("tpr")).otherwise(
+        F.col("t0") + (F.col("tpr") - F.col("t0")) * (most - F.col("f0")) / (F.col("fpr") - F.col("f0"))
+    )
     area = F.sum((cut - F.col("f0")) * (F.col("t0") + at_cut) / 2)
     low, high = most * most / 2, most
     return x.groupBy(*by).agg(area.alias("area")).select(*by, (0.5 * (1 + (F.col("area") - low) / (high - low))).alias("pauc"))
@@ -121,7 +135,9 @@ def partial_auroc(points: DataFrame, most: float, by: list[str] | None = None) -
 def rates(df: DataFrame, label: str, decision: str, by: list[str] | None = None) -> DataFrame:
     """(by, fpr, fnr) of 0/1 decisions."""
     d = F.col(decision).cast("double")
-    return df.groupBy(*(by or [])).agg(F.avg(F.when(F.col(label) == 0, d)).alias("fpr"), F.avg(F.when(F.col(label) == 1, 1 - d)).alias("fnr"))
+    return df.groupBy(*(by or [])).agg(
+        F.avg(F.when(F.col(label) == 0, d)).alias("fpr"), F.avg(F.when(F.col(label) == 1, 1 - d)).alias("fnr")
+    )
 
 
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:

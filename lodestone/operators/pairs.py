@@ -49,10 +49,16 @@ def bank(spark, entries=BANK) -> DataFrame:
 def random_pairs(df: DataFrame, n: int, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
     """(position, harm_id, safe_id): the i-th of either label in random order; n pairs at most."""
     x = shuffled(df.select(key, label), [label], key, seed, "position").where(F.col("position") <= n)
-    return x.groupBy("position").agg(F.max(F.when(F.col(label) == "harm", F.col(key))).alias("harm_id"), F.max(F.when(F.col(label) == "safe", F.col(key))).alias("safe_id")).where("harm_id IS NOT NULL AND safe_id IS NOT NULL")
+    return x.groupBy("position").agg(
+        F.max(F.when(F.col(label) == "harm", F.col(key))).alias("harm_id"),
+        F.max(F.when(F.col(label) == "safe", F.col(key))).alias("safe_id")
+    ).where("harm_id IS NOT NULL AND safe_id IS NOT NULL")
 
 
-def wraps(df: DataFrame, tmpl: DataFrame, k: int, text: str = "prompt", key: str = "id", seed: int = 42, context: str | None = None, substitute: bool = True) -> DataFrame:
+def wraps(
+    df: DataFrame, tmpl: DataFrame, k: int, text: str = "prompt", key: str = "id", seed: int = 42, context: str | None = None,
+    substitute: bool = True
+) -> DataFrame:
     """Each text in k templates at random: adds template_id and wrapped.
 
     The templates are few, so their product with the texts is taken in place and cut to k per
@@ -64,7 +70,13 @@ def wraps(df: DataFrame, tmpl: DataFrame, k: int, text: str = "prompt", key: str
         c = F.col(context)
         request = F.when(F.coalesce(c, F.lit("")) != "", F.concat(c, F.lit("\n\n---\n\n"), request)).otherwise(request)
     bank_of = F.broadcast(tmpl.agg(F.collect_list(F.struct("template_id", "template")).alias("all ")))
-    order = F.transform("all ", lambda t: F.struct(hashed(F.concat_ws(":", F.col(key).cast("string"), t["template_id"].cast("string")), seed).alias("h"), t["template_id"].alias("template_id"), t["template"].alias("template")))
+    order = F.transform(
+        "all ",
+        lambda t: F.struct(
+            hashed(F.concat_ws(":", F.col(key).cast("string"), t["template_id"].cast("string")), seed).alias("h"),
+            t["template_id"].alias("template_id"), t["template"].alias("template")
+        )
+    )
     x = df.crossJoin(bank_of).withColumn("t ", F.explode(F.slice(F.array_sort(order), 1, k)))
     t = F.col("t ").getField("template")
     body = X.wrapped(t, request) if substitute else F.concat(t, F.lit("\n\n"), request)
@@ -79,7 +91,12 @@ def code_contrast(b: DataFrame) -> DataFrame:
 
 def code_paraphrase(b: DataFrame) -> DataFrame:
     """Pairs i < j of the texts of one side of a topic."""
-    sides = F.explode(F.array(F.struct(F.lit("malicious").alias("kind"), F.col("malicious").alias("texts")), F.struct(F.lit("benign_twin").alias("kind"), F.col("benign_twin").alias("texts")))).alias("s")
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit("malicious").alias("kind"), F.col("malicious").alias("texts")),
+            F.struct(F.lit("benign_twin").alias("kind"), F.col("benign_twin").alias("texts"))
+        )
+    ).alias("s")
     x = b.select("category", sides).select("category", "s.kind", "s.texts", F.posexplode("s.texts").alias("first", "first_text"))
     return x.select("category", "kind", "first", "first_text", F.posexplode("texts").alias("second", "second_text")).where("first < second")
 
@@ -87,21 +104,32 @@ def code_paraphrase(b: DataFrame) -> DataFrame:
 def code_wrapped(b: DataFrame, tmpl: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Parallel texts of a topic in the same templates: one row per (topic, index, template)."""
     z = b.select("category", F.posexplode(F.arrays_zip("malicious", "benign_twin")).alias("index", "z"))
-    z = z.select("category", "index", F.col("z.malicious").alias("malicious"), F.col("z.benign_twin").alias("benign")).where("malicious IS NOT NULL AND benign IS NOT NULL")
+    z = z.select(
+        "category", "index", F.col("z.malicious").alias("malicious"), F.col("z.benign_twin").alias("benign")
+    ).where("malicious IS NOT NULL AND benign IS NOT NULL")
     z = z.withColumn("key", F.concat_ws(":", "category", F.col("index").cast("string")))
     x = wraps(z, tmpl, k, "malicious", "key", seed).withColumnRenamed("wrapped", "harm_wrapped").join(F.broadcast(tmpl), "template_id")
-    return x.withColumn("safe_wrapped", X.wrapped(F.col("template"), F.col("benign"))).select("category", "index", "template_id", F.concat_ws(":", F.lit("code_bank"), "category", F.lit("malicious"), F.col("index").cast("string")).alias("source_id"), "harm_wrapped", "safe_wrapped")
+    return x.withColumn("safe_wrapped", X.wrapped(F.col("template"), F.col("benign"))).select(
+        "category", "index", "template_id",
+        F.concat_ws(":", F.lit("code_bank"), "category", F.lit("malicious"), F.col("index").cast("string")).alias("source_id"),
+        "harm_wrapped", "safe_wrapped"
+    )
 
 
 def side_counts(pairs: DataFrame, category: Column, empty: str) -> DataFrame:
     """Pairs by type and category; null and empty categories under ``empty``."""
-    return pairs.groupBy("pair_type", F.coalesce(F.nullif(category, F.lit("")), F.lit(empty)).alias("category")).agg(F.count("*").alias("n"))
+    return pairs.groupBy(
+        "pair_type", F.coalesce(F.nullif(category, F.lit("")), F.lit(empty)).alias("category")
+    ).agg(F.count("*").alias("n"))
 
 
 def unpivoted(pairs: DataFrame) -> DataFrame:
     """One row per side: (pair_id, side, text, label, category); anchors come before partners."""
     def side(name: str, order: int) -> DataFrame:
-        return pairs.select("pair_id", F.lit(order).alias("side"), F.col(f"{name}_text").alias("text"), F.col(f"{name}_label").alias("label"), F.col(f"{name}_category").alias("category"))
+        return pairs.select(
+            "pair_id", F.lit(order).alias("side"), F.col(f"{name}_text").alias("text"), F.col(f"{name}_label").alias("label"),
+            F.col(f"{name}_category").alias("category")
+        )
 
     return side("anchor", 0).unionByName(side("pair", 1))
 
@@ -132,10 +160,14 @@ def matched_by_length(left: DataFrame, right: DataFrame, choose, seed: int | str
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["left_id", "left_chars", "chars", "number"])
 
-    turns = left.select("id", F.col("chars").cast("long"), hashed(F.col("id"), seed).alias("turn")).repartition(1).sortWithinPartitions("turn", "id").select("id", "chars")
+    turns = left.select(
+        "id", F.col("chars").cast("long"), hashed(F.col("id"), seed).alias("turn")
+    ).repartition(1).sortWithinPartitions("turn", "id").select("id", "chars")
     found = turns.mapInArrow(run, "left_id long, left_chars long, chars long, number long")
     numbered = shuffled(right.select("id", F.col("chars").cast("long")), ["chars"], "id", seed, "number")
-    return found.join(numbered, ["chars", "number"]).select("left_id", F.col("id").alias("right_id"), "left_chars", F.col("chars").alias("right_chars"))
+    return found.join(numbered, ["chars", "number"]).select(
+        "left_id", F.col("id").alias("right_id"), "left_chars", F.col("chars").alias("right_chars")
+    )
 
 
 def nearest(live: list[int], n: int) -> int | None:
@@ -164,13 +196,22 @@ def matched_by_score(left: DataFrame, right: DataFrame, scores: DataFrame, n: in
     A partner keeps the earliest row that asks for it and a row that loses its partner asks the next of its list:
     the outcome is the one of choosing in turn, in whatever order the asking happens.
     """
-    turns = left.select("id").orderBy(hashed(F.col("id"), seed), "id").limit(n).withColumn("turn", F.row_number().over(Window.orderBy(hashed(F.col("id"), seed), "id")))  # n rows
-    mine = scores.join(F.broadcast(turns), F.col("a") == F.col("id")).select("turn", "a", "b", F.when(F.col("score") >= most, -1.0).otherwise(F.col("score")).alias("score"))
+    # n rows
+    turns = left.select("id").orderBy(hashed(F.col("id"), seed), "id").limit(n).withColumn(
+        "turn", F.row_number().over(Window.orderBy(hashed(F.col("id"), seed), "id"))
+    )
+    mine = scores.join(F.broadcast(turns), F.col("a") == F.col("id")).select(
+        "turn", "a", "b", F.when(F.col("score") >= most, -1.0).otherwise(F.col("score")).alias("score")
+    )
     best = ranked(mine.where("score > 0"), ["turn"], [F.col("score").desc(), F.col("b")], "place").where(F.col("place") <= n)
     refused = mine.where("score < 0")
-    spare = n + (best.unionByName(refused, allowMissingColumns=True).groupBy("turn").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    spare = n + (
+        best.unionByName(refused, allowMissingColumns=True).groupBy("turn").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    )
     first = right.select(F.col("id").alias("b")).orderBy("b").limit(spare)
-    rows = best.drop("place").unionByName(refused).unionByName(first, allowMissingColumns=True).unionByName(turns.withColumnRenamed("id", "a"), allowMissingColumns=True)
+    rows = best.drop("place").unionByName(refused).unionByName(first, allowMissingColumns=True).unionByName(
+        turns.withColumnRenamed("id", "a"), allowMissingColumns=True
+    )
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         names = dict(rows[rows.b.isna()][["turn", "a"]].astype("int64").itertuples(index=False))

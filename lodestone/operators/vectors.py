@@ -54,7 +54,9 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
     parts = df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(gram, "n long, s array<double>, g array<double>")
-    cells = parts.select("n", F.posexplode(F.concat("s", "g")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    cells = parts.select(
+        "n", F.posexplode(F.concat("s", "g")).alias("i", "v")
+    ).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     v = np.zeros(width + width * width)
     n = 0
     for r in cells:
@@ -76,7 +78,10 @@ def neighbours(queries: DataFrame, bank: DataFrame, k: int, key: str = "id", vec
     blocks, parts = max(1, -(-rows // 8192)), max(1, -(-queries.count() // 8192))
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     b = bank.select(at.alias("block"), F.lit(1).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("side"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    q = queries.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(0).alias("side"),
+        F.col(key).cast("long").alias("i"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
+    )
     both = q.unionByName(b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))))
 
     def best(table: pa.Table) -> pa.Table:
@@ -94,7 +99,9 @@ def neighbours(queries: DataFrame, bank: DataFrame, k: int, key: str = "id", vec
             c = cos[r, top.ravel()]
             ok = np.isfinite(c)
             out.append((ids[p][r][ok], ids[bi][top.ravel()][ok], c[ok]))
-        cols = [np.concatenate(o) if out else np.empty(0) for o in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        cols = [
+            np.concatenate(o) if out else np.empty(0) for o in zip(*out, strict=True)
+        ] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"q": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "cos": pa.array(cols[2], pa.float64())})
 
     found = both.groupBy("block", "part").applyInArrow(best, "q long, b long, cos double")
@@ -125,7 +132,9 @@ def half_splits(df: DataFrame, rounds: int, key: str, seed: str = "half") -> Dat
     x = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     x = x.withColumn("k ", F.concat_ws(":", F.col("round").cast("string"), F.col(key).cast("string")))
     x = shuffled(x, ["round"], "k ", seed, "r ").withColumn("r ", F.col("r ") - 1).crossJoin(F.broadcast(n)).where("`r ` < 2 * `m `")
-    return x.withColumn("half", F.floor(F.col("r ") / F.col("m ")).cast("int")).withColumn("place", F.pmod(F.col("r "), F.col("m "))).drop("r ", "m ", "k ")
+    return x.withColumn(
+        "half", F.floor(F.col("r ") / F.col("m ")).cast("int")
+    ).withColumn("place", F.pmod(F.col("r "), F.col("m "))).drop("r ", "m ", "k ")
 
 
 def pair_mean(df: DataFrame, value, key: str = "id", vector: str = "z", block: int = 2048) -> DataFrame:
@@ -152,7 +161,9 @@ def pair_mean(df: DataFrame, value, key: str = "id", vector: str = "z", block: i
             n, total = 2 * m.size, 2 * m.sum()
         return pa.table({"pairs": pa.array([n], pa.int64()), "total": pa.array([float(total)])})
 
-    return tiles.groupBy("i", "j").applyInArrow(tile, "pairs long, total double").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
+    return tiles.groupBy("i", "j").applyInArrow(tile, "pairs long, total double").agg(
+        F.sum("pairs").alias("pairs"), F.sum("total").alias("total")
+    )
 
 
 def shrunk(n: int, cov: np.ndarray, fourth: float) -> tuple[np.ndarray, float]:

@@ -15,7 +15,12 @@ RED = "dialog_id % 2 = 1"
 
 
 def _frame(s, d) -> DataFrame:
-    return dialogs(s, d).select("dialog_id", "turns", F.size("turns").alias("n_turns"), F.element_at("turns", 1).alias("first_turn"), F.element_at("turns", -1).alias("last_turn"), F.array_join("turns", "\n").alias("human_side"), (F.col("dialog_id") % 5).cast("int").alias("rating"), F.concat(F.lit("author-"), (F.col("dialog_id") % 13).cast("string")).alias("author"))
+    return dialogs(s, d).select(
+        "dialog_id", "turns", F.size("turns").alias("n_turns"), F.element_at("turns", 1).alias("first_turn"),
+        F.element_at("turns", -1).alias("last_turn"), F.array_join("turns", "\n").alias("human_side"),
+        (F.col("dialog_id") % 5).cast("int").alias("rating"),
+        F.concat(F.lit("author-"), (F.col("dialog_id") % 13).cast("string")).alias("author")
+    )
 
 
 _F = f"""{DIALOGS}, fr AS (SELECT dialog_id, turns, CAST(len(turns) AS INTEGER) AS n_turns, turns[1] AS first_turn, turns[-1] AS last_turn, array_to_string(turns, chr(10)) AS human_side, CAST(dialog_id % 5 AS INTEGER) AS rating, 'author-' || (dialog_id % 13) AS author FROM dialogs)"""
@@ -25,8 +30,15 @@ def _variants(s, d) -> DataFrame:
     """Turns 1 to 3, contexts of 2 and 3 turns, the last turn and the whole human side."""
     f = _frame(s, d)
     v = [F.struct(F.lit(f"turn {k}").alias("variant"), F.get("turns", F.lit(k - 1)).alias("text")) for k in (1, 2, 3)]
-    v += [F.struct(F.lit(f"context {k}").alias("variant"), F.when(F.col("n_turns") >= k, F.array_join(F.slice("turns", 1, k), "\n")).alias("text")) for k in (2, 3)]
-    v += [F.struct(F.lit("last turn").alias("variant"), F.col("last_turn").alias("text")), F.struct(F.lit("human side").alias("variant"), F.col("human_side").alias("text"))]
+    v += [
+        F.struct(
+            F.lit(f"context {k}").alias("variant"), F.when(F.col("n_turns") >= k, F.array_join(F.slice("turns", 1, k), "\n")).alias("text")
+        ) for k in (2, 3)
+    ]
+    v += [
+        F.struct(F.lit("last turn").alias("variant"), F.col("last_turn").alias("text")),
+        F.struct(F.lit("human side").alias("variant"), F.col("human_side").alias("text"))
+    ]
     return f.select("dialog_id", F.explode(F.array(*v)).alias("v")).select("dialog_id", "v.variant", "v.text").where("text IS NOT NULL")
 
 
@@ -65,7 +77,10 @@ def dialog_escalation(s, d):
     """AUROC of red against help by variant, and the share of dialogs whose last turn outscores the first."""
     x = _scored(s, d).withColumn("y", F.when(F.expr(RED), 1).otherwise(0))
     a = M.auroc(x, "score", "y", ["variant"]).select("variant", F.round("auroc", 6).alias("auroc"))
-    two = x.where("variant IN ('turn 1', 'last turn')").groupBy("dialog_id").agg(F.max(F.when(F.col("variant") == "turn 1", F.col("score"))).alias("f"), F.max(F.when(F.col("variant") == "last turn", F.col("score"))).alias("l"))
+    two = x.where("variant IN ('turn 1', 'last turn')").groupBy("dialog_id").agg(
+        F.max(F.when(F.col("variant") == "turn 1", F.col("score"))).alias("f"),
+        F.max(F.when(F.col("variant") == "last turn", F.col("score"))).alias("l")
+    )
     up = two.agg(F.round(F.avg((F.col("l") > F.col("f")).cast("double")), 6).alias("last_over_first"))
     return a.crossJoin(F.broadcast(up))
 
@@ -75,14 +90,18 @@ def position_zscore(s, d):
     x = _scored(s, d)
     ref = x.where(f"variant = 'turn 1' AND NOT ({RED})").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"))
     z = x.crossJoin(F.broadcast(ref)).withColumn("z", (F.col("score") - F.col("m")) / F.col("sd"))
-    return z.groupBy("variant").agg(F.round(F.avg("z"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("z") / F.sqrt(F.count("*").cast("double")), 6).alias("half"))
+    return z.groupBy("variant").agg(
+        F.round(F.avg("z"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("z") / F.sqrt(F.count("*").cast("double")), 6).alias("half")
+    )
 
 
 def _out_of_fold(x: DataFrame, feature: str, folds: int = 3) -> DataFrame:
     """Adds wrong_<feature>: whether the class whose mean is nearer, both taken from the other folds, is not the row's."""
     of = lambda y: [F.sum(F.when(F.col("y") == y, F.col(feature))).alias(f"s{y}"), F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}")]
     sums = x.groupBy("fold").agg(*of(0), *of(1))  # one row a fold
-    others = sums.crossJoin(F.broadcast(sums.select(F.col("fold").alias("out")))).where("fold <> out").groupBy("out").agg(*[(F.sum(f"s{y}") / F.sum(f"n{y}")).alias(f"m{y}") for y in (0, 1)])
+    others = sums.crossJoin(F.broadcast(sums.select(F.col("fold").alias("out")))).where("fold <> out").groupBy("out").agg(
+        *[(F.sum(f"s{y}") / F.sum(f"n{y}")).alias(f"m{y}") for y in (0, 1)]
+    )
     j = x.join(F.broadcast(others), F.col("fold") == F.col("out"))
     near = (F.abs(F.col(feature) - F.col("m1")) < F.abs(F.col(feature) - F.col("m0"))).cast("int")
     return j.withColumn(f"wrong_{feature}", (near != F.col("y")).cast("int")).drop("out", "m0", "m1")
@@ -95,19 +114,27 @@ def review_verdicts(s, d):
     """
     f = _frame(s, d).withColumn("whole", F.char_length("human_side"))
     red = f.where(RED).select(F.lit("red").alias("source"), "dialog_id", "n_turns", "first_turn", "whole", "rating", "author")
-    both = red.unionByName(f.where(f"NOT ({RED})").select(F.lit("help").alias("source"), "dialog_id", "n_turns", "first_turn", "whole"), allowMissingColumns=True)
+    both = red.unionByName(
+        f.where(f"NOT ({RED})").select(F.lit("help").alias("source"), "dialog_id", "n_turns", "first_turn", "whole"),
+        allowMissingColumns=True
+    )
     x = both.withColumn("y", (F.col("source") == "red").cast("int")).withColumn("chars", F.char_length("first_turn"))
     x = _out_of_fold(_out_of_fold(pl.folds_by_label(x, 3, "y", "dialog_id"), "chars"), "whole")
     wrong = F.col("wrong_chars") + F.col("wrong_whole")
     x = x.withColumn("verdict", F.when(wrong >= 2, "missed").when(wrong == 0, "clear").otherwise("disputed")).where("source = 'red'")
-    return x.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"), F.median("n_turns").alias("median_turns"), F.round(F.avg((F.col("rating") == 0).cast("double")), 6).alias("share_rating_0"), F.median("chars").alias("median_chars"))
+    return x.groupBy("verdict").agg(
+        F.count("*").alias("n"), F.count_distinct("author").alias("authors"), F.median("n_turns").alias("median_turns"),
+        F.round(F.avg((F.col("rating") == 0).cast("double")), 6).alias("share_rating_0"), F.median("chars").alias("median_chars")
+    )
 
 
 def author_concentration(s, d):
     c = _frame(s, d).groupBy("author").agg(F.count("*").alias("n"))
     top = c.orderBy(F.col("n").desc(), "author").limit(5).agg(F.sum("n").alias("top5"), F.max("n").alias("top"))
     every = c.agg(F.sum("n").alias("n"), F.count("*").alias("authors"))
-    return every.crossJoin(F.broadcast(top)).select("n", "authors", F.round(F.col("top") / F.col("n"), 6).alias("top_share"), F.round(F.col("top5") / F.col("n"), 6).alias("top5_share"))
+    return every.crossJoin(F.broadcast(top)).select(
+        "n", "authors", F.round(F.col("top") / F.col("n"), 6).alias("top_share"), F.round(F.col("top5") / F.col("n"), 6).alias("top5_share")
+    )
 
 
 def runlog_outer_join(s, d):
@@ -122,7 +149,9 @@ def runlog_outer_join(s, d):
 def runlog_curve(s, d):
     r = runs(s, d)
     n = r.agg(F.count_distinct("variant", "seed").alias("runs"))
-    x = r.groupBy("step").agg(F.round(F.avg("loss"), 6).alias("mean"), F.round(F.min("loss"), 6).alias("low"), F.round(F.max("loss"), 6).alias("high"))
+    x = r.groupBy("step").agg(
+        F.round(F.avg("loss"), 6).alias("mean"), F.round(F.min("loss"), 6).alias("low"), F.round(F.max("loss"), 6).alias("high")
+    )
     return x.crossJoin(F.broadcast(n))
 
 
@@ -150,7 +179,10 @@ def early_stop(s, d, every: int = 10, patience: int = 5, delta: float = 0.001):
             if waits >= patience:
                 end = row.step
                 break
-        return pd.DataFrame([(pdf["variant"].iloc[0], pdf["seed"].iloc[0], at, end, round(best, 6))], columns=["variant", "seed", "best_step", "stop_step", "best_loss"])
+        return pd.DataFrame(
+            [(pdf["variant"].iloc[0], pdf["seed"].iloc[0], at, end, round(best, 6))],
+            columns=["variant", "seed", "best_step", "stop_step", "best_loss"]
+        )
 
     return r.groupBy("variant", "seed").applyInPandas(stop, "variant string, seed long, best_step int, stop_step int, best_loss double")
 
@@ -184,4 +216,9 @@ SELECT variant, seed, CAST(arg_max(kept, k) AS INTEGER) AS best_step, CAST(arg_m
     "rolling_loss": f"WITH {RUNS} SELECT variant, seed, step, round(avg(loss) OVER (PARTITION BY variant, seed ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling FROM runs",
 }
 
-QUERIES = {f.__name__: f for f in (dialog_frame, dialog_first_turns, dialog_rating_cells, dialog_escalation, position_zscore, review_verdicts, author_concentration, runlog_outer_join, runlog_curve, rolling_loss, early_stop)}
+QUERIES = {
+    f.__name__: f for f in (
+        dialog_frame, dialog_first_turns, dialog_rating_cells, dialog_escalation, position_zscore, review_verdicts, author_concentration,
+        runlog_outer_join, runlog_curve, rolling_loss, early_stop
+    )
+}

@@ -26,7 +26,10 @@ def _r(c, n: int = 6):
 def _long(s, d) -> DataFrame:
     """(scorer, id, y, category, value): one row per scorer and item."""
     x = scored(s, d)
-    return x.select("id", "y", "category", "judge", F.explode(F.create_map(*[v for c in SCORERS for v in (F.lit(c), F.col(c))])).alias("scorer", "value"))
+    return x.select(
+        "id", "y", "category", "judge",
+        F.explode(F.create_map(*[v for c in SCORERS for v in (F.lit(c), F.col(c))])).alias("scorer", "value")
+    )
 
 
 _LONG = f"{SCORED}, lg AS (SELECT 'score' AS scorer, id, y, category, judge, score AS value FROM scored UNION ALL SELECT 'other_score', id, y, category, judge, other_score FROM scored)"
@@ -93,7 +96,9 @@ def category_fnr(s, d):
     """Misses by category at one shared threshold (the median score), categories of 20 rows or more."""
     x = scored(s, d)
     t = M.quantiles(x, "score", [0.5]).select(F.col("q")[0].alias("t"))
-    y = x.where("y = 1").crossJoin(F.broadcast(t)).groupBy("category").agg(F.count("*").alias("n"), _r(F.avg((F.col("score") < F.col("t")).cast("double"))).alias("fnr"))
+    y = x.where("y = 1").crossJoin(F.broadcast(t)).groupBy("category").agg(
+        F.count("*").alias("n"), _r(F.avg((F.col("score") < F.col("t")).cast("double"))).alias("fnr")
+    )
     return y.where("n >= 20")
 
 
@@ -121,7 +126,10 @@ def style_gap(s, d):
     x = _long(s, d).withColumn("style", F.when(F.col("category") < 5, "vanilla").otherwise("adversarial"))
     a = M.auroc(x, "value", "y", ["scorer", "style"])
     v = a.groupBy("scorer").pivot("style", ["vanilla", "adversarial"]).agg(F.max("auroc"))
-    return v.select("scorer", _r("vanilla").alias("vanilla"), _r("adversarial").alias("adversarial"), _r(F.col("vanilla") - F.col("adversarial")).alias("gap"))
+    return v.select(
+        "scorer", _r("vanilla").alias("vanilla"), _r("adversarial").alias("adversarial"),
+        _r(F.col("vanilla") - F.col("adversarial")).alias("gap")
+    )
 
 
 def fisher_ratio(s, d):
@@ -133,14 +141,21 @@ def fisher_ratio(s, d):
 def slice_metrics(s, d):
     """Metrics of each named slice and scorer; slices with one class are left out."""
     x = _long(s, d)
-    slices = F.array_compact(F.array(F.lit("all"), F.when(F.col("category") < 4, F.lit("low")), F.when(F.col("category") == 3, F.lit("one_class")), F.when(F.col("id") % 2 == 1, F.lit("odd"))))
+    slices = F.array_compact(
+        F.array(
+            F.lit("all"), F.when(F.col("category") < 4, F.lit("low")), F.when(F.col("category") == 3, F.lit("one_class")),
+            F.when(F.col("id") % 2 == 1, F.lit("odd"))
+        )
+    )
     y = x.withColumn("slice", F.explode(slices))
     a = M.auroc(y, "value", "y", ["slice", "scorer"]).where("positives > 0 AND negatives > 0")
     return a.select("slice", "scorer", "positives", "negatives", _r("auroc").alias("auroc"))
 
 
 def metric_mean_std(s, d):
-    return runs(s, d).groupBy("variant").agg(F.count("*").alias("n"), _r(F.avg("loss")).alias("mean"), _r(F.stddev_samp("loss")).alias("std_samp"))
+    return runs(s, d).groupBy("variant").agg(
+        F.count("*").alias("n"), _r(F.avg("loss")).alias("mean"), _r(F.stddev_samp("loss")).alias("std_samp")
+    )
 
 
 def metric_pivot(s, d):
@@ -151,7 +166,9 @@ def metric_pivot(s, d):
 def lodo_gap(s, d):
     """Mean of seed 0 minus the mean of the others, with the level's name."""
     x = runs(s, d)
-    g = lambda key, name: x.groupBy(F.col(key).cast("string").alias("key")).agg(_r(F.avg(F.when(F.col("seed") == 0, F.col("loss"))) - F.avg(F.when(F.col("seed") != 0, F.col("loss")))).alias("gap")).select(F.lit(name).alias("level"), "key", "gap")
+    g = lambda key, name: x.groupBy(F.col(key).cast("string").alias("key")).agg(
+        _r(F.avg(F.when(F.col("seed") == 0, F.col("loss"))) - F.avg(F.when(F.col("seed") != 0, F.col("loss")))).alias("gap")
+    ).select(F.lit(name).alias("level"), "key", "gap")
     return g("variant", "variant").unionByName(g("step", "step").where(F.col("key") == "1"))
 
 
@@ -162,7 +179,10 @@ def quantile_bins(s, d):
 
 
 def length_auroc(s, d):
-    x = prompts(s, d).select("lang", "toxic", F.char_length("prompt").cast("double").alias("chars"), F.size(F.split("prompt", r"\s+")).cast("double").alias("tokens"))
+    x = prompts(s, d).select(
+        "lang", "toxic", F.char_length("prompt").cast("double").alias("chars"),
+        F.size(F.split("prompt", r"\s+")).cast("double").alias("tokens")
+    )
     y = x.select("lang", "toxic", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("tokens"), "tokens")).alias("feature", "value"))
     return M.auroc(y, "value", "toxic", ["lang", "feature"]).select("lang", "feature", _r("auroc").alias("auroc"))
 
@@ -219,7 +239,9 @@ def operating_point(s, d):
 
 def min_share_curve(s, d):
     deltas = s.createDataFrame([(i, i / 100) for i in range(0, 11, 2)], "i int, delta double")
-    g = _grid(s, d).crossJoin(F.broadcast(_judge(s, d).select(F.col("fpr").alias("jf"), F.col("fnr").alias("jn")))).crossJoin(F.broadcast(deltas))
+    g = _grid(s, d).crossJoin(
+        F.broadcast(_judge(s, d).select(F.col("fpr").alias("jf"), F.col("fnr").alias("jn")))
+    ).crossJoin(F.broadcast(deltas))
     ok = (F.col("fpr") <= F.col("jf") + F.col("delta") + 1e-12) & (F.col("fnr") <= F.col("jn") + F.col("delta") + 1e-12)
     return g.where(ok).groupBy("i").agg(_r(F.min("share")).alias("share"))
 
@@ -227,7 +249,9 @@ def min_share_curve(s, d):
 def _flagged(s, d):
     """Scores with an out-of-distribution flag at a 5 % budget of the other score."""
     x = scored(s, d)
-    return x.crossJoin(F.broadcast(M.quantiles(x, "other_score", [0.95]).select(F.col("q")[0].alias("tau")))).withColumn("flag", F.col("other_score") > F.col("tau"))
+    return x.crossJoin(
+        F.broadcast(M.quantiles(x, "other_score", [0.95]).select(F.col("q")[0].alias("tau")))
+    ).withColumn("flag", F.col("other_score") > F.col("tau"))
 
 
 def ood_budget(s, d):
@@ -240,7 +264,9 @@ LOW, HIGH = -0.1, 0.2
 def cascade_route(s, d):
     x = _flagged(s, d)
     g = C.gray(F.col("score"), F.lit(LOW), F.lit(HIGH), F.col("flag"))
-    return x.select("id", g.alias("to_judge"), F.when(g, F.col("judge")).otherwise((F.col("score") >= HIGH).cast("int")).cast("int").alias("pred"))
+    return x.select(
+        "id", g.alias("to_judge"), F.when(g, F.col("judge")).otherwise((F.col("score") >= HIGH).cast("int")).cast("int").alias("pred")
+    )
 
 
 def zone_shares(s, d):
@@ -251,15 +277,21 @@ def zone_shares(s, d):
 def _applied(test: DataFrame, by: list[str]) -> DataFrame:
     """(by, share, fpr, fnr) of rows that carry their thresholds."""
     g = C.gray(F.col("score"), F.col("t_low"), F.col("t_high"))
-    t = test.withColumn("pred", F.when(g, F.col("judge")).otherwise((F.col("score") >= F.col("t_high")).cast("int"))).withColumn("g", g.cast("double"))
-    return M.rates(t, "y", "pred", by).join(t.groupBy(*by).agg(F.avg("g").alias("share")), by).select(*by, *[_r(c).alias(c) for c in ("share", "fpr", "fnr")])
+    t = test.withColumn(
+        "pred", F.when(g, F.col("judge")).otherwise((F.col("score") >= F.col("t_high")).cast("int"))
+    ).withColumn("g", g.cast("double"))
+    return M.rates(t, "y", "pred", by).join(t.groupBy(*by).agg(F.avg("g").alias("share")), by).select(
+        *by, *[_r(c).alias(c) for c in ("share", "fpr", "fnr")]
+    )
 
 
 def cv_operating_points(s, d, folds: int = 3):
     """Points chosen on all folds but one, and their rates on the fold left out."""
     x = pl.folds_by_label(scored(s, d), folds, "y", "id").withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     fit, test = x.where("fold <> out"), x.where("fold = out")
-    p = C.operating_point(C.threshold_grid(fit, "score", "y", "judge", 11, ["out"]), M.rates(fit, "y", "judge", ["out"]), 0.01, 0.5, ["out"])
+    p = C.operating_point(
+        C.threshold_grid(fit, "score", "y", "judge", 11, ["out"]), M.rates(fit, "y", "judge", ["out"]), 0.01, 0.5, ["out"]
+    )
     return _applied(test.join(F.broadcast(p.select("out", "t_low", "t_high")), "out"), ["out"]).withColumnRenamed("out", "fold")
 
 
@@ -275,7 +307,9 @@ def regime_table(s, d):
     points = None
     for part in sorted({fit for _, fit, _ in _REGIMES}):
         own = x.where(F.col("part") == part)
-        p = C.operating_point(C.threshold_grid(own, "score", "y", "judge", 11), M.rates(own, "y", "judge"), 0.01, 0.5).select(F.lit(part).alias("fit"), "t_low", "t_high")
+        p = C.operating_point(
+            C.threshold_grid(own, "score", "y", "judge", 11), M.rates(own, "y", "judge"), 0.01, 0.5
+        ).select(F.lit(part).alias("fit"), "t_low", "t_high")
         points = p if points is None else points.unionByName(p)
     regimes = s.createDataFrame(_REGIMES, "regime string, fit int, part int")  # one row a regime
     return _applied(x.join(F.broadcast(regimes.join(points, "fit")), "part"), ["regime"])
@@ -283,14 +317,18 @@ def regime_table(s, d):
 
 def latency_compose(s, d):
     """Cost of each text: encoder parts plus the judge where it is asked; times from the run log's means."""
-    t = runs(s, d).agg(F.avg(F.when(F.col("seed") == 0, F.col("loss"))).alias("enc"), F.avg(F.when(F.col("seed") == 1, F.col("loss"))).alias("jud"))
+    t = runs(s, d).agg(
+        F.avg(F.when(F.col("seed") == 0, F.col("loss"))).alias("enc"), F.avg(F.when(F.col("seed") == 1, F.col("loss"))).alias("jud")
+    )
     x = cascade_route(s, d).crossJoin(F.broadcast(t)).withColumn("cost", F.col("enc") + F.col("to_judge").cast("int") * F.col("jud"))
     return x.agg(_r(F.avg("cost")).alias("mean_cost"), _r(F.avg("jud") / F.avg("cost")).alias("speed_up"))
 
 
 def sweep_best(s, d):
     """The step with the least loss of each run; ties to the earlier step."""
-    return runs(s, d).groupBy("variant", "seed").agg(F.min_by("step", F.struct("loss", "step")).alias("best_step"), _r(F.min("loss")).alias("best_loss"))
+    return runs(s, d).groupBy("variant", "seed").agg(
+        F.min_by("step", F.struct("loss", "step")).alias("best_step"), _r(F.min("loss")).alias("best_loss")
+    )
 
 
 def _gauss(s, d):
@@ -360,8 +398,13 @@ def ood_scores(s, d):
 
 def bootstrap_ci(s, d):
     """Paired difference of error shares of two scorers, 95 % interval over resamples by weights."""
-    x = scored(s, d).select("id", ((F.col("score") > 0).cast("int") != F.col("y")).cast("double").alias("a"), ((F.col("other_score") > 0).cast("int") != F.col("y")).cast("double").alias("b"))
-    r = M.resampled(x, ROUNDS, "id").groupBy("round").agg((F.sum((F.col("a") - F.col("b")) * F.col("times")) / F.sum("times")).alias("diff"))
+    x = scored(s, d).select(
+        "id", ((F.col("score") > 0).cast("int") != F.col("y")).cast("double").alias("a"),
+        ((F.col("other_score") > 0).cast("int") != F.col("y")).cast("double").alias("b")
+    )
+    r = M.resampled(x, ROUNDS, "id").groupBy("round").agg(
+        (F.sum((F.col("a") - F.col("b")) * F.col("times")) / F.sum("times")).alias("diff")
+    )
     return _interval(r, "diff")
 
 
@@ -389,7 +432,10 @@ def cluster_bootstrap(s, d):
     times = draws.select("round", F.floor(u * n).alias("pos")).groupBy("round", "pos").agg(F.count("*").alias("times"))
     y = x.join(g, "category").join(F.broadcast(times), "pos")
     a = M.auroc(y, "score", "y", ["round"], weight="times").where("positives > 0 AND negatives > 0")
-    return a.agg(F.count("*").alias("rounds"), _r(F.percentile("auroc", F.lit(0.025))).alias("low"), _r(F.percentile("auroc", F.lit(0.975))).alias("high"))
+    return a.agg(
+        F.count("*").alias("rounds"), _r(F.percentile("auroc", F.lit(0.025))).alias("low"),
+        _r(F.percentile("auroc", F.lit(0.975))).alias("high")
+    )
 
 
 # --- model fits ------------------------------------------------------------------
@@ -399,7 +445,9 @@ def _features(s, d):
     from pyspark.ml.functions import array_to_vector
 
     z = V.unit(load(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("y"), "label", "embedding"))
-    return z.select("id", F.col("y").cast("double").alias("label"), F.col("label").alias("category"), array_to_vector("z").alias("features"))
+    return z.select(
+        "id", F.col("y").cast("double").alias("label"), F.col("label").alias("category"), array_to_vector("z").alias("features")
+    )
 
 
 def _fit(df, reg: float):
@@ -418,7 +466,9 @@ def probe_cv(s, d, folds: int = 3):
     x = pl.folds_by_label(_features(s, d), folds, "label", "id")
     out = None
     for f in range(folds):
-        a = M.auroc(_score(_fit(x.where(F.col("fold") != f), 0.01), x.where(F.col("fold") == f)), "s", "label").select(F.lit(f).alias("fold"), "auroc")
+        a = M.auroc(
+            _score(_fit(x.where(F.col("fold") != f), 0.01), x.where(F.col("fold") == f)), "s", "label"
+        ).select(F.lit(f).alias("fold"), "auroc")
         out = a if out is None else out.unionByName(a)
     return out
 
@@ -429,7 +479,9 @@ def probe_cgrid(s, d):
     n = train.count()
     out = None
     for c in (0.1, 1.0, 10.0):
-        p = M.partial_auroc(M.roc(_score(_fit(train, 1 / (c * n)), x.where("part = 1")), "s", "label"), 0.05).select(F.lit(c).alias("c"), "pauc")
+        p = M.partial_auroc(
+            M.roc(_score(_fit(train, 1 / (c * n)), x.where("part = 1")), "s", "label"), 0.05
+        ).select(F.lit(c).alias("c"), "pauc")
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -440,7 +492,9 @@ def transfer_matrix(s, d):
     out = None
     for a in (0, 1):
         m = _fit(x.where(F.col("src") == a), 0.01)
-        r = M.auroc(_score(m, x), "s", "label", ["src"]).select(F.lit(a).alias("trained_on"), F.col("src").alias("tested_on"), "auroc", (F.col("src") != a).alias("independent"))
+        r = M.auroc(_score(m, x), "s", "label", ["src"]).select(
+            F.lit(a).alias("trained_on"), F.col("src").alias("tested_on"), "auroc", (F.col("src") != a).alias("independent")
+        )
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -449,14 +503,19 @@ def bow_probe(s, d, folds: int = 3):
     """Bag of words with the whole vocabulary of the training folds, role as label: AUROC of every fold left out."""
     from pyspark.ml.feature import CountVectorizer
 
-    c = load(s, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("role") == "user").cast("double").alias("label"), F.regexp_extract_all("text", F.lit(r"((?U)\w(?:\S*\w)?|[^\w\s])"), F.lit(1)).alias("words"))
+    c = load(s, d, "conversations").where("text IS NOT NULL").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("role") == "user").cast("double").alias("label"),
+        F.regexp_extract_all("text", F.lit(r"((?U)\w(?:\S*\w)?|[^\w\s])"), F.lit(1)).alias("words")
+    )
     c = pl.folds_by_label(c, folds, "label", "id")
     terms = c.select(F.explode("words").alias("w")).agg(F.count_distinct("w")).first()[0]
     out = None
     for f in range(folds):
         train, test = c.where(F.col("fold") != f), c.where(F.col("fold") == f)
         m = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(1, terms)).fit(train)
-        a = M.auroc(_score(_fit(m.transform(train), 0.01), m.transform(test)), "s", "label").select(F.lit(f).alias("fold"), "positives", "negatives", "auroc")
+        a = M.auroc(
+            _score(_fit(m.transform(train), 0.01), m.transform(test)), "s", "label"
+        ).select(F.lit(f).alias("fold"), "positives", "negatives", "auroc")
         out = a if out is None else out.unionByName(a)
     return out
 
@@ -473,7 +532,10 @@ def platt_logloss(s, d):
 
 _FLAG = f"{SCORED}, ta AS (SELECT quantile_cont(other_score, 0.95) AS tau FROM scored), fl AS (SELECT scored.*, tau, other_score > tau AS flag FROM scored, ta)"
 _ROUTE = f"{_FLAG}, rt AS (SELECT id, (score > {LOW} AND score < {HIGH}) OR flag AS to_judge, CASE WHEN (score > {LOW} AND score < {HIGH}) OR flag THEN judge WHEN score >= {HIGH} THEN 1 ELSE 0 END AS pred FROM fl)"
-_RANKS = f"{SCORED}, rr AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {n}" for c, n in (("score", "a"), ("other_score", "b"), ("category", "c"))) + " FROM scored), cr AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM rr)"
+_RANKS = f"{SCORED}, rr AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {n}" for c,
+    n in (("score", "a"), ("other_score", "b"), ("category", "c"))
+) + " FROM scored), cr AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM rr)"
 _PRED = "CASE WHEN score > t_low AND score < t_high THEN judge WHEN score >= t_high THEN 1 ELSE 0 END::DOUBLE"
 _RATES = f"round(avg(CASE WHEN score > t_low AND score < t_high THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, round(avg({_PRED}) FILTER (y = 0), 6) AS fpr, round(avg(1 - {_PRED}) FILTER (y = 1), 6) AS fnr"
 _QUANTILES = "round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high"
@@ -527,4 +589,12 @@ dr AS (SELECT t.round AS rd, CAST(floor({uniform_sql("concat_ws(':', CAST(t.roun
 y AS (SELECT dr.rd, scored.score AS value, scored.y FROM dr JOIN g ON g.pos = dr.pos JOIN scored ON scored.category = g.category) SELECT count(*) AS rounds, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM {_auc_sql('y', 'rd')} WHERE positives > 0 AND negatives > 0""",
 }
 
-QUERIES = {f.__name__: f for f in (auroc_rank, roc_curve, tpr_at_fpr, partial_auroc, threshold_transfer, error_rates, category_fnr, stratified_auroc, spearman, partial_spearman, style_gap, fisher_ratio, slice_metrics, metric_mean_std, metric_pivot, lodo_gap, quantile_bins, length_auroc, shuffled_auroc, threshold_grid, operating_point, min_share_curve, ood_budget, cascade_route, zone_shares, cv_operating_points, regime_table, latency_compose, sweep_best, lda_scores, ood_scores, bootstrap_ci, gap_bootstrap, cluster_bootstrap, probe_cv, probe_cgrid, transfer_matrix, bow_probe, platt_logloss)}
+QUERIES = {
+    f.__name__: f for f in (
+        auroc_rank, roc_curve, tpr_at_fpr, partial_auroc, threshold_transfer, error_rates, category_fnr, stratified_auroc, spearman,
+        partial_spearman, style_gap, fisher_ratio, slice_metrics, metric_mean_std, metric_pivot, lodo_gap, quantile_bins, length_auroc,
+        shuffled_auroc, threshold_grid, operating_point, min_share_curve, ood_budget, cascade_route, zone_shares, cv_operating_points,
+        regime_table, latency_compose, sweep_best, lda_scores, ood_scores, bootstrap_ci, gap_bootstrap, cluster_bootstrap, probe_cv,
+        probe_cgrid, transfer_matrix, bow_probe, platt_logloss
+    )
+}

@@ -24,7 +24,9 @@ def _r(c, n: int = 6):
 
 def _turns(s, d) -> DataFrame:
     """Short labelled texts: conversation turns, grouped by role."""
-    return load(s, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "text")
+    return load(s, d, "conversations").where("text IS NOT NULL").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "text"
+    )
 
 
 def tfidf_weights(s, d):
@@ -51,7 +53,9 @@ def _similar(p: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
     """Pairs of one group's prompts whose cosine lies in a band, the groups' terms weighed apart."""
     counts = S.terms(p, "prompt", "id").join(p.select("id", *by), "id")
     w = stores.stored(S.tfidf(counts, "id", sublinear=True, by=by), "weights")
-    return S.cosine_pairs(w, w, "id", by, ordered=True, least=low - 1e-6).withColumn("score", _r("score")).where(F.col("score").between(low, high))
+    return S.cosine_pairs(
+        w, w, "id", by, ordered=True, least=low - 1e-6
+    ).withColumn("score", _r("score")).where(F.col("score").between(low, high))
 
 
 def tfidf_paraphrase(s, d, low: float = 0.35, high: float = 0.95):
@@ -64,8 +68,16 @@ def paraphrase_allocated(s, d, n: int = 400, low: float = 0.2, high: float = 0.9
     """n pairs of similar prompts: half within a harm category, allocated by square roots, the rest among safe prompts, both at random."""
     p = stores.stored(the_pool(s, d).select("id", "prompt", "label", "primary_category"), "pool")
     pair = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))
-    harm = stores.stored(_similar(p.where("label = 'harm'").select("id", "prompt", "primary_category"), ["primary_category"], low, high).withColumn("pair", pair), "harm-pairs")
-    safe = stores.stored(_similar(p.where("label = 'safe'").select("id", "prompt", F.lit("").alias("all")), ["all"], low, high).withColumn("pair", pair), "safe-pairs")
+    harm = stores.stored(
+        _similar(
+            p.where("label = 'harm'").select("id", "prompt", "primary_category"), ["primary_category"], low, high
+        ).withColumn("pair", pair),
+        "harm-pairs"
+    )
+    safe = stores.stored(
+        _similar(p.where("label = 'safe'").select("id", "prompt", F.lit("").alias("all")), ["all"], low, high).withColumn("pair", pair),
+        "safe-pairs"
+    )
     chosen = stores.stored(pl.sampled_by_category(harm, n // 2, key="pair").select("primary_category", "a", "b", "score"), "harm-chosen")
     taken = chosen.agg(F.count("*").alias("taken"))  # one row
     rest = pl.shuffled(safe, [], "pair").crossJoin(F.broadcast(taken)).where(F.col("rank") <= n - F.col("taken"))
@@ -74,10 +86,14 @@ def paraphrase_allocated(s, d, n: int = 400, low: float = 0.2, high: float = 0.9
 
 def neardup_anti(s, d, most: float = 0.9):
     """Documents that are no copy of a benchmark text: neither the same words, nor a 1-2-gram cosine of ``most`` or more."""
-    held = load(s, d, "benchmark").where("text IS NOT NULL").select((-1 - F.col("item_id")).alias("id"), X.collapsed(F.col("text")).alias("text"))
+    held = load(s, d, "benchmark").where("text IS NOT NULL").select(
+        (-1 - F.col("item_id")).alias("id"), X.collapsed(F.col("text")).alias("text")
+    )
     docs = load(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), X.collapsed(F.col("text")).alias("text"))
     w = stores.stored(S.tfidf(S.terms(held.union(docs), "text", "id", 2), "id", sublinear=True), "weights")
-    near = S.cosine_pairs(w.where("id >= 0"), w.where("id < 0"), "id", least=most - 1e-6).where(F.round("score", 6) >= most).select(F.col("a").alias("id"))
+    near = S.cosine_pairs(
+        w.where("id >= 0"), w.where("id < 0"), "id", least=most - 1e-6
+    ).where(F.round("score", 6) >= most).select(F.col("a").alias("id"))
     same = docs.join(held.select("text").distinct(), "text", "left_semi").select("id")
     return docs.select("id").join(near.union(same).distinct(), "id", "left_anti")
 
@@ -88,7 +104,9 @@ def hard_negatives(s, d, n: int = 100):
     harm, safe = stores.stored(pl.sampled_by_category(p.where("label = 'harm'"), n), "harm"), p.where("label = 'safe'")
     stop = s.createDataFrame([(w,) for w in STOP], "term string")
     chosen = harm.select("id", "prompt", "label").union(safe.select("id", "prompt", "label"))
-    w = stores.stored(S.tfidf(S.terms(chosen, "prompt", "id"), "id", sublinear=True, stop=stop).join(chosen.select("id", "label"), "id"), "weights")
+    w = stores.stored(
+        S.tfidf(S.terms(chosen, "prompt", "id"), "id", sublinear=True, stop=stop).join(chosen.select("id", "label"), "id"), "weights"
+    )
     sim = S.cosine_pairs(w.where("label = 'harm'"), w.where("label = 'safe'"), "id").withColumn("score", _r("score"))
     out = P.matched_by_score(harm, safe, stores.stored(sim, "similar"), n)
     return out.select(F.col("left_id").alias("harm_id"), F.col("right_id").alias("safe_id"), "score")
@@ -100,7 +118,10 @@ def _by_length(s, d, choose, most: int | None = None):
         p = p.where(F.col("chars") <= most).where(~X.is_jailbreak_like(F.col("prompt")))
     p = stores.stored(p.select("id", "label", "chars"), "lengths")
     out = P.matched_by_length(p.where("label = 'harm'"), p.where("label = 'safe'"), choose)
-    return out.select(F.col("left_id").alias("harm_id"), F.col("right_id").alias("safe_id"), F.col("left_chars").alias("harm_chars"), F.col("right_chars").alias("safe_chars"))
+    return out.select(
+        F.col("left_id").alias("harm_id"), F.col("right_id").alias("safe_id"), F.col("left_chars").alias("harm_chars"),
+        F.col("right_chars").alias("safe_chars")
+    )
 
 
 def length_matched_wraps(s, d):
@@ -129,8 +150,13 @@ def l2_normalize(s, d):
 def describe_embeddings(s, d):
     e = load(s, d, "embeddings").withColumn("nrm", V.norm(F.col("embedding")))
     q = F.percentile("nrm", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    r = e.groupBy("label").agg(F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n"), _r(F.avg("nrm")).alias("mean_norm"), _r(F.stddev_samp("nrm")).alias("std_norm_samp"), q.alias("q"))
-    return r.select("label", "dim", "n", "mean_norm", "std_norm_samp", *[_r(F.col("q")[i]).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    r = e.groupBy("label").agg(
+        F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n"), _r(F.avg("nrm")).alias("mean_norm"),
+        _r(F.stddev_samp("nrm")).alias("std_norm_samp"), q.alias("q")
+    )
+    return r.select(
+        "label", "dim", "n", "mean_norm", "std_norm_samp", *[_r(F.col("q")[i]).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
+    )
 
 
 def class_centroids(s, d):
@@ -141,9 +167,14 @@ def centroid_scores(s, d):
     """cos to the harm center minus cos to the safe center; centers are two broadcast rows."""
     z = _z(s, d)
     c = V.centroid_vectors(z, ["y"]).select("y", F.transform("center", lambda x: x).alias("center"))
-    c = c.select("y", "center", V.norm(F.col("center")).alias("nc")).groupBy().agg(F.max(F.when(F.col("y") == 1, F.struct("nc", "center"))).alias("h"), F.max(F.when(F.col("y") == 0, F.struct("nc", "center"))).alias("s"))
+    c = c.select("y", "center", V.norm(F.col("center")).alias("nc")).groupBy().agg(
+        F.max(F.when(F.col("y") == 1, F.struct("nc", "center"))).alias("h"),
+        F.max(F.when(F.col("y") == 0, F.struct("nc", "center"))).alias("s")
+    )
     x = z.crossJoin(F.broadcast(c))
-    return x.select("id", _r(V.dot(F.col("z"), F.col("h.center")) / F.col("h.nc") - V.dot(F.col("z"), F.col("s.center")) / F.col("s.nc")).alias("score"))
+    return x.select(
+        "id", _r(V.dot(F.col("z"), F.col("h.center")) / F.col("h.nc") - V.dot(F.col("z"), F.col("s.center")) / F.col("s.nc")).alias("score")
+    )
 
 
 _CENTERS = """cd AS (SELECT y, i, avg(z[i]) AS m FROM z, range(1, 65) r(i) GROUP BY y, i), cv AS (SELECT y, list(m ORDER BY i) AS c, sqrt(sum(m * m)) AS nc FROM cd GROUP BY y)"""
@@ -177,7 +208,10 @@ def knn_diff(s, d, k: int = 5):
     sides = [V.neighbours(z, z.where(F.col("y") == y), k).withColumn("side", F.lit(y)) for y in (0, 1)]
     both = sides[0].unionByName(sides[1])
     over = pl.ranked(both, ["q"], [F.col("cos").desc(), F.col("b")], "of_all")
-    return over.groupBy("q").agg(_r(F.avg(F.when(F.col("side") == 1, F.col("cos"))) - F.avg(F.when(F.col("side") == 0, F.col("cos")))).alias("knn_diff"), _r(1 - F.max(F.when(F.col("of_all") == k, F.col("cos")))).alias("ood_knn"))
+    return over.groupBy("q").agg(
+        _r(F.avg(F.when(F.col("side") == 1, F.col("cos"))) - F.avg(F.when(F.col("side") == 0, F.col("cos")))).alias("knn_diff"),
+        _r(1 - F.max(F.when(F.col("of_all") == k, F.col("cos")))).alias("ood_knn")
+    )
 
 
 def _sums(z: DataFrame, by: list[str]) -> DataFrame:
@@ -193,25 +227,38 @@ def geometry_metrics(s, d):
     a = _sums(z, []).select(((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cos"))
     within = _sums(z, ["y"]).agg((F.sum(F.col("ss") - F.col("n")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("own_cos"))
     y = z.select("id", "y")
-    pure = n.join(y.withColumnRenamed("id", "q").withColumnRenamed("y", "qy"), "q").join(y.withColumnRenamed("id", "b").withColumnRenamed("y", "by"), "b").agg(F.avg((F.col("qy") == F.col("by")).cast("double")).alias("purity"))
-    spread = V.pair_mean(z, lambda cos: np.exp(-2 * np.clip(2 - 2 * cos, 0, None))).select(F.log(F.col("total") / F.col("pairs")).alias("uniformity"))
+    pure = n.join(y.withColumnRenamed("id", "q").withColumnRenamed("y", "qy"), "q").join(y.withColumnRenamed("id", "b").withColumnRenamed("y", "by"), "b").agg(
+        F.avg((F.col("qy") == F.col("by")).cast("double")).alias("purity")
+    )
+    spread = V.pair_mean(z, lambda cos: np.exp(-2 * np.clip(2 - 2 * cos, 0, None))).select(
+        F.log(F.col("total") / F.col("pairs")).alias("uniformity")
+    )
     cov = V.moments(load(s, d, "embeddings"), "embedding")[2]
     ratio = float(np.trace(cov) ** 2 / (cov**2).sum()) if cov.any() else None
     out = a.crossJoin(within).crossJoin(pure).crossJoin(spread)  # one row each
-    return out.select(_r("mean_cos").alias("mean_cos"), _r((2 - 2 * F.col("own_cos")) / (2 - 2 * F.col("mean_cos"))).alias("alignment"), _r("purity").alias("knn_purity"), _r("uniformity").alias("uniformity"), _r(F.lit(ratio), 4).alias("participation"))
+    return out.select(
+        _r("mean_cos").alias("mean_cos"), _r((2 - 2 * F.col("own_cos")) / (2 - 2 * F.col("mean_cos"))).alias("alignment"),
+        _r("purity").alias("knn_purity"), _r("uniformity").alias("uniformity"), _r(F.lit(ratio), 4).alias("participation")
+    )
 
 
 def category_purity(s, d):
     z, n = _near(s, d)
     y = z.select("id", "label")
-    p = n.join(y.withColumnRenamed("id", "q").withColumnRenamed("label", "ql"), "q").join(y.withColumnRenamed("id", "b").withColumnRenamed("label", "bl"), "b").agg(F.avg((F.col("ql") == F.col("bl")).cast("double")).alias("purity"))
-    shares = z.groupBy("label").count().withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1)))).agg(F.sum(F.col("p") * F.col("p")).alias("chance"))
+    p = n.join(
+        y.withColumnRenamed("id", "q").withColumnRenamed("label", "ql"), "q"
+    ).join(y.withColumnRenamed("id", "b").withColumnRenamed("label", "bl"), "b").agg(F.avg((F.col("ql") == F.col("bl")).cast("double")).alias("purity"))
+    shares = z.groupBy("label").count().withColumn(
+        "p", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1)))
+    ).agg(F.sum(F.col("p") * F.col("p")).alias("chance"))
     return p.crossJoin(shares).select(_r("purity").alias("purity"), _r("chance").alias("chance"))
 
 
 def embedding_covariance(s, d):
     _, _, cov = V.moments(load(s, d, "embeddings"), "embedding")
-    return s.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(len(cov)) for j in range(len(cov))], "i int, j int, cov double")
+    return s.createDataFrame(
+        [(i, j, round(float(cov[i, j]), 6)) for i in range(len(cov)) for j in range(len(cov))], "i int, j int, cov double"
+    )
 
 
 def pca_components(s, d):
@@ -220,7 +267,10 @@ def pca_components(s, d):
     if not np.isfinite(v).all() or not v.sum() > 0:
         raise ValueError("the vectors have no finite variance")
     share, k = np.cumsum(v) / v.sum(), V.components_for(v, 0.9)
-    return s.createDataFrame([(i + 1, float(round(x, 6)), float(round(c, 6)), i + 1 <= k) for i, (x, c) in enumerate(zip(v, share, strict=True))], "rank int, eigenvalue double, cumulative double, needed boolean")
+    return s.createDataFrame(
+        [(i + 1, float(round(x, 6)), float(round(c, 6)), i + 1 <= k) for i, (x, c) in enumerate(zip(v, share, strict=True))],
+        "rank int, eigenvalue double, cumulative double, needed boolean"
+    )
 
 
 def _bases(s, d):
@@ -236,7 +286,10 @@ def _bases(s, d):
 def pca_overlap(s, d):
     a, b = _bases(s, d)
     dims = (a.shape[1], b.shape[1])
-    return s.createDataFrame([(dims[0], dims[1], round(V.overlap(a, b), 6), round(max(dims) / a.shape[0], 6), round(V.overlap(a, a), 6))], "dim_safe int, dim_harm int, overlap double, chance double, self_overlap double")
+    return s.createDataFrame(
+        [(dims[0], dims[1], round(V.overlap(a, b), 6), round(max(dims) / a.shape[0], 6), round(V.overlap(a, a), 6))],
+        "dim_safe int, dim_harm int, overlap double, chance double, self_overlap double"
+    )
 
 
 def _halves(s, d, rounds: int = 10):
@@ -252,7 +305,10 @@ def half_split_distance(s, d):
     h = _halves(s, d)
     a, b = (h.where(F.col("half") == k).select("round", "place", F.col("z").alias(f"z{k}")) for k in (0, 1))
     x = a.join(b, ["round", "place"]).withColumn("cos", V.dot(F.col("z0"), F.col("z1")))
-    return x.groupBy("round").agg(_r(F.avg(1 - F.col("cos"))).alias("cos_distance"), _r(F.avg(F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0))))).alias("l2_distance"))
+    return x.groupBy("round").agg(
+        _r(F.avg(1 - F.col("cos"))).alias("cos_distance"),
+        _r(F.avg(F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0))))).alias("l2_distance")
+    )
 
 
 def distance_ratio(s, d):
@@ -261,7 +317,9 @@ def distance_ratio(s, d):
     a, b = (c.where(F.col("y") == k).select(F.col("center").alias(f"c{k}")) for k in (0, 1))
     between = a.crossJoin(b).select((1 - V.dot(F.col("c0"), F.col("c1")) / (V.norm(F.col("c0")) * V.norm(F.col("c1")))).alias("between"))
     within = half_split_distance(s, d).agg(F.avg("cos_distance").alias("within"))
-    return between.crossJoin(within).select(_r("between").alias("between"), _r("within").alias("within"), _r(F.col("between") / F.col("within"), 4).alias("ratio"))
+    return between.crossJoin(within).select(
+        _r("between").alias("between"), _r("within").alias("within"), _r(F.col("between") / F.col("within"), 4).alias("ratio")
+    )
 
 
 def ari(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -302,7 +360,10 @@ def twin_hit_at_k(s, d):
     nxt = F.lead("id").over(Window.partitionBy("label").orderBy("id"))
     twins = z.select(F.col("id").alias("q"), nxt.alias("twin")).where("twin IS NOT NULL")
     hit = twins.join(n, ["q"]).groupBy("q").agg(F.min(F.when(F.col("b") == F.col("twin"), F.col("rank"))).alias("at"))
-    return hit.agg(F.count("*").alias("queries"), *[_r(F.avg(F.coalesce((F.col("at") <= k), F.lit(False)).cast("double"))).alias(f"hit_{k}") for k in (1, 5, 10)])
+    return hit.agg(
+        F.count("*").alias("queries"),
+        *[_r(F.avg(F.coalesce((F.col("at") <= k), F.lit(False)).cast("double"))).alias(f"hit_{k}") for k in (1, 5, 10)]
+    )
 
 
 def collapse_rules(s, d):
@@ -310,7 +371,9 @@ def collapse_rules(s, d):
     g = _sums(_z(s, d), ["label"]).select("label", ((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cos"))
     ref = g.where("label = 0").select(F.col("mean_cos").alias("ref"))
     x = g.crossJoin(F.broadcast(ref)).withColumn("limit", F.greatest(F.lit(0.05), (1 + F.col("ref")) / 2))
-    reason = F.array_compact(F.array(F.when(F.col("mean_cos") > F.col("limit"), F.lit("mean_cos")), F.when(F.isnan("mean_cos"), F.lit("not_finite"))))
+    reason = F.array_compact(
+        F.array(F.when(F.col("mean_cos") > F.col("limit"), F.lit("mean_cos")), F.when(F.isnan("mean_cos"), F.lit("not_finite")))
+    )
     return x.select("label", _r("mean_cos").alias("mean_cos"), _r("limit").alias("limit"), F.array_join(reason, ",").alias("reasons"))
 
 
@@ -319,10 +382,15 @@ def supcon_loss(s, d, tau: float = 0.1):
     z = _z(s, d).select("id", "label", "z").withColumn("batch", F.floor(uniform(F.col("id"), "b") * 1000000).cast("long"))
     z = z.withColumn("batch", F.pmod(F.col("batch"), F.lit(max(1, -(-z.count() // 32)))))
     a, b = z.alias("a"), z.alias("b")
-    p = a.join(b, (F.col("a.batch") == F.col("b.batch")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.batch").alias("batch"), F.col("a.id").alias("i"), (F.col("a.label") == F.col("b.label")).cast("double").alias("w"), (V.dot(F.col("a.z"), F.col("b.z")) / tau).alias("l"))
+    p = a.join(b, (F.col("a.batch") == F.col("b.batch")) & (F.col("a.id") != F.col("b.id"))).select(
+        F.col("a.batch").alias("batch"), F.col("a.id").alias("i"), (F.col("a.label") == F.col("b.label")).cast("double").alias("w"),
+        (V.dot(F.col("a.z"), F.col("b.z")) / tau).alias("l")
+    )
     w = Window.partitionBy("batch", "i")
     p = p.withColumn("lp", F.col("l") - F.log(F.sum(F.exp("l")).over(w)))
-    rows = p.groupBy("batch", "i").agg((-F.sum(F.col("w") * F.col("lp")) / F.sum("w")).alias("loss"), F.sum("w").alias("tw")).where("tw > 0")
+    rows = p.groupBy("batch", "i").agg(
+        (-F.sum(F.col("w") * F.col("lp")) / F.sum("w")).alias("loss"), F.sum("w").alias("tw")
+    ).where("tw > 0")
     return rows.groupBy("batch").agg(_r(F.avg("loss")).alias("loss"), F.count("*").alias("anchors"))
 
 
@@ -415,4 +483,11 @@ q AS (SELECT batch, i, w, l - ln(sum(exp(l)) OVER (PARTITION BY batch, i)) AS lp
 SELECT batch, round(avg(loss), 6) AS loss, count(*) AS anchors FROM r GROUP BY batch""",
 }
 
-QUERIES = {f.__name__: f for f in (tfidf_weights, tfidf_paraphrase, paraphrase_allocated, neardup_anti, hard_negatives, length_matched_wraps, length_match_range, l2_normalize, describe_embeddings, class_centroids, centroid_scores, knn_topk, knn_classify, knn_diff, geometry_metrics, category_purity, embedding_covariance, pca_components, pca_overlap, half_split_distance, distance_ratio, ari_contingency, kmeans_ari, twin_hit_at_k, collapse_rules, supcon_loss)}
+QUERIES = {
+    f.__name__: f for f in (
+        tfidf_weights, tfidf_paraphrase, paraphrase_allocated, neardup_anti, hard_negatives, length_matched_wraps, length_match_range,
+        l2_normalize, describe_embeddings, class_centroids, centroid_scores, knn_topk, knn_classify, knn_diff, geometry_metrics,
+        category_purity, embedding_covariance, pca_components, pca_overlap, half_split_distance, distance_ratio, ari_contingency,
+        kmeans_ari, twin_hit_at_k, collapse_rules, supcon_loss
+    )
+}

@@ -66,7 +66,10 @@ def jailbreak_family(s, d):
 
 
 #: Lead-ins that give the invented texts of conversations a domain, by conv_id.
-LEADS = ("", "Write a Python script: ", "About ransomware. ", "A movie script on malware. ", "[PROMPT] ", "Tell a story. ", "Fix this code for me: ")
+LEADS = (
+    "", "Write a Python script: ", "About ransomware. ", "A movie script on malware. ", "[PROMPT] ", "Tell a story. ",
+    "Fix this code for me: "
+)
 
 
 def slice_tags(s, d):
@@ -80,19 +83,26 @@ def slice_tags(s, d):
 
 def category_lists(s, d):
     c = F.col("violated_categories")
-    return prompts(s, d).select("id", F.array_join(X.categories(c), "|").alias("categories"), X.primary_category(c).alias("primary_category"))
+    return prompts(s, d).select(
+        "id", F.array_join(X.categories(c), "|").alias("categories"), X.primary_category(c).alias("primary_category")
+    )
 
 
 def label_normalize(s, d):
     raw = F.element_at(F.array(*map(F.lit, ("yes", " Unharmful ", "nan", "1", "FALSE", "other"))), (F.col("doc_id") % 6 + 1).cast("int"))
     x = load(s, d, "labels").select("doc_id", raw.alias("raw"))
-    return x.select("doc_id", X.binary_label(F.col("raw")).alias("label"), X.is_missing(F.col("raw")).alias("missing"), X.truthy(F.col("raw")).alias("truthy"))
+    return x.select(
+        "doc_id", X.binary_label(F.col("raw")).alias("label"), X.is_missing(F.col("raw")).alias("missing"),
+        X.truthy(F.col("raw")).alias("truthy")
+    )
 
 
 def any_label(s, d):
     t, j = F.coalesce("toxic", F.lit(0)) == 1, F.coalesce("quality", F.lit(0)) == 1
     cat = F.when(t & j, "toxicity+jailbreaking").when(j, "jailbreaking").when(t, "toxicity").otherwise("safe")
-    return load(s, d, "labels").where("toxic IS NOT NULL OR quality IS NOT NULL").select("doc_id", (t | j).cast("int").alias("label"), cat.alias("category"))
+    return load(s, d, "labels").where("toxic IS NOT NULL OR quality IS NOT NULL").select(
+        "doc_id", (t | j).cast("int").alias("label"), cat.alias("category")
+    )
 
 
 def text_length_profile(s, d):
@@ -100,7 +110,10 @@ def text_length_profile(s, d):
     q = F.percentile("chars", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
     ends = F.endswith(X.strip(F.col("prompt")), F.lit("?")).cast("double")
     r = x.groupBy("lang").agg(F.count("*").alias("n"), q.alias("q"), F.avg(ends).alias("question_share"))
-    return r.select("lang", "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "p90", "p95"))], F.round("question_share", 6).alias("question_share"))
+    return r.select(
+        "lang", "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "p90", "p95"))],
+        F.round("question_share", 6).alias("question_share")
+    )
 
 
 def transcript_parse(s, d):
@@ -114,12 +127,16 @@ def transcript_parse(s, d):
 
 def head_tail_truncate(s, d):
     w = F.split(F.col("text"), " ")
-    return load(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(X.head_tail(w, 64)).alias("n"), F.md5(F.array_join(X.head_tail(w, 64), " ")).alias("kept_md5"))
+    return load(s, d, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.size(X.head_tail(w, 64)).alias("n"), F.md5(F.array_join(X.head_tail(w, 64), " ")).alias("kept_md5")
+    )
 
 
 def fingerprint(s, d):
     """SHA-1 of the texts of each source in id order, with separators: of runs of 4096 ids, of runs of those, and of all runs."""
-    x = load(s, d, "documents").select("source", F.col("doc_id").alias("k"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.lit(1).alias("n"))
+    x = load(s, d, "documents").select(
+        "source", F.col("doc_id").alias("k"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.lit(1).alias("n")
+    )
     for _ in range(2):
         x = _hashed_runs(x.withColumn("run", F.floor(F.col("k") / 4096)), ["source", "run"]).withColumnRenamed("run", "k")
     return _hashed_runs(x, ["source"]).select("source", F.col("h").alias("fingerprint"), "n")
@@ -136,7 +153,12 @@ def jsonl_roundtrip(s, d):
     x = load(s, d, "conversations").select(F.col("conv_id").alias("id"), "role", "text", "turn")
     for k in (0, 1):
         stores.write_lines(x.where(F.pmod("turn", F.lit(2)) == k), f"{folder}/{k}", "gzip" if k else "none")
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("turn", T.LongType())])
+    schema = T.StructType(
+        [
+            T.StructField("id", T.StringType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
+            T.StructField("turn", T.LongType())
+        ]
+    )
     y = stores.read_lines(s, [f"{folder}/{k}" for k in (0, 1)], schema)
     return y.select("id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
@@ -154,19 +176,27 @@ def label_conflicts(s, d):
 
 def heldout_anti(s, d):
     b = load(s, d, "benchmark").select(X.strip(F.col("text")).alias("t")).distinct()
-    return load(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.strip(F.col("text")).alias("t")).join(b, "t", "left_anti").select("doc_id")
+    return load(s, d, "documents").where("text IS NOT NULL").select(
+        "doc_id", X.strip(F.col("text")).alias("t")
+    ).join(b, "t", "left_anti").select("doc_id")
 
 
 def eval_clean(s, d):
-    train = load(s, d, "documents").join(load(s, d, "labels"), "doc_id").where("quality = 1").select(X.strip(F.col("text")).alias("t")).distinct()
-    x = prompts(s, d).where("quality = 0 AND prompt IS NOT NULL").withColumn("t", X.strip(F.col("prompt"))).where("t <> '' AND t <> 'REDACTED'")
+    train = load(s, d, "documents").join(load(s, d, "labels"), "doc_id").where("quality = 1").select(
+        X.strip(F.col("text")).alias("t")
+    ).distinct()
+    x = prompts(s, d).where(
+        "quality = 0 AND prompt IS NOT NULL"
+    ).withColumn("t", X.strip(F.col("prompt"))).where("t <> '' AND t <> 'REDACTED'")
     x = pl.one_label(x.join(train, "t", "left_anti"), "t", "prompt_label")
     return pl.first_of(x, "t", "id").select("id", "prompt_label")
 
 
 def eval_normalize(s, d):
     raw = F.when(F.col("doc_id") % 11 == 0, F.lit("none")).when(F.col("toxic") == 1, " Harmful").otherwise("unharmful")
-    x = load(s, d, "documents").join(load(s, d, "labels"), "doc_id").select("doc_id", X.strip(F.coalesce("text", F.lit(""))).alias("text"), X.harm_label(raw).alias("label"))
+    x = load(s, d, "documents").join(load(s, d, "labels"), "doc_id").select(
+        "doc_id", X.strip(F.coalesce("text", F.lit(""))).alias("text"), X.harm_label(raw).alias("label")
+    )
     x = x.where("char_length(text) BETWEEN 3 AND 8000 AND label IS NOT NULL")
     return pl.first_of(pl.one_label(x, "text", "label"), "text", "doc_id").select("doc_id", "label")
 
@@ -178,10 +208,14 @@ def category_merge(s, d):
 
 def contrast_pairs(s, d):
     """User turn and reply at each (conversation, turn): a 1:1 join, unique keys enforced."""
-    c = load(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "role", F.char_length("text").alias("chars"))
+    c = load(s, d, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("k"), "role", F.char_length("text").alias("chars")
+    )
     side = lambda r, shift, n: c.where(F.col("role") == r).select((F.col("k") + shift).alias("k"), F.col("chars").alias(n))
     a, b = side("user", 0, "user_chars"), side("assistant", -1, "reply_chars")
-    once = lambda x: x.groupBy("k").agg(F.count("*").alias("n"), F.first(x.columns[1]).alias(x.columns[1])).where(F.when(F.col("n") > 1, F.raise_error(F.lit("key is not unique")).cast("boolean")).otherwise(True)).drop("n")
+    once = lambda x: x.groupBy("k").agg(F.count("*").alias("n"), F.first(x.columns[1]).alias(x.columns[1])).where(
+        F.when(F.col("n") > 1, F.raise_error(F.lit("key is not unique")).cast("boolean")).otherwise(True)
+    ).drop("n")
     j = once(a).join(once(b), "k").where("user_chars <= 15000 AND reply_chars <= 15000")
     return j.select("k", "user_chars", "reply_chars", F.lit("conversations").alias("source_id"))
 
@@ -190,8 +224,17 @@ def _pairs(s, d):
     """Random contrast pairs of the pool with both sides."""
     p = the_pool(s, d).select("id", "prompt", "label", "primary_category")
     r = P.random_pairs(p, 1 << 30)
-    a = r.join(p.select(F.col("id").alias("harm_id"), F.col("prompt").alias("anchor_text"), F.col("label").alias("anchor_label"), F.col("primary_category").alias("anchor_category")), "harm_id")
-    return a.join(p.select(F.col("id").alias("safe_id"), F.col("prompt").alias("pair_text"), F.col("label").alias("pair_label"), F.col("primary_category").alias("pair_category")), "safe_id").select(F.col("position").alias("pair_id"), F.lit("safe_harm_contrast").alias("pair_type"), "anchor_text", "anchor_label", "anchor_category", "pair_text", "pair_label", "pair_category", "harm_id", "safe_id")
+    a = r.join(
+        p.select(
+            F.col("id").alias("harm_id"), F.col("prompt").alias("anchor_text"), F.col("label").alias("anchor_label"),
+            F.col("primary_category").alias("anchor_category")
+        ),
+        "harm_id"
+    )
+    return a.join(p.select(F.col("id").alias("safe_id"), F.col("prompt").alias("pair_text"), F.col("label").alias("pair_label"), F.col("primary_category").alias("pair_category")), "safe_id").select(
+        F.col("position").alias("pair_id"), F.lit("safe_harm_contrast").alias("pair_type"), "anchor_text", "anchor_label",
+        "anchor_category", "pair_text", "pair_label", "pair_category", "harm_id", "safe_id"
+    )
 
 
 PAIRS = f"""{POOL}, rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hashed_sql("id")}, id) AS position FROM pool),
@@ -207,7 +250,11 @@ def _wrapped_pairs(s, d):
     p = the_pool(s, d).where("chars <= 1000").where(~X.is_jailbreak_like(F.col("prompt")))
     w = P.wraps(p, P.templates(s), 2)
     kind = F.when(F.col("label") == "harm", "jailbreak_variant").otherwise("benign_twin")
-    return w.select(F.lit(None).cast("int").alias("pair_id"), kind.alias("pair_type"), F.col("prompt").alias("anchor_text"), F.col("label").alias("anchor_label"), F.col("primary_category").alias("anchor_category"), F.col("wrapped").alias("pair_text"), F.col("label").alias("pair_label"), F.col("primary_category").alias("pair_category"))
+    return w.select(
+        F.lit(None).cast("int").alias("pair_id"), kind.alias("pair_type"), F.col("prompt").alias("anchor_text"),
+        F.col("label").alias("anchor_label"), F.col("primary_category").alias("anchor_category"), F.col("wrapped").alias("pair_text"),
+        F.col("label").alias("pair_label"), F.col("primary_category").alias("pair_category")
+    )
 
 
 _T = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(P.TEMPLATES))
@@ -231,7 +278,9 @@ def wrap_variants(s, d):
 
 def wrap_variants_v1(s, d):
     p = the_pool(s, d).withColumn("context", F.when(F.col("id") % 2 == 0, F.col("source")).otherwise(""))
-    return P.wraps(p, P.templates(s), 2, context="context", substitute=False).select("id", "template_id", F.md5("wrapped").alias("wrapped_md5"))
+    return P.wraps(p, P.templates(s), 2, context="context", substitute=False).select(
+        "id", "template_id", F.md5("wrapped").alias("wrapped_md5")
+    )
 
 
 def pair_unpivot(s, d):
@@ -275,12 +324,18 @@ def pairs_v2_manifest(s, d):
 
 def dataset_profile(s, d):
     x = prompts(s, d).withColumn("chars", F.char_length("prompt"))
-    return x.groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").alias("harm"), F.sum(1 - F.col("toxic")).alias("safe"), F.round(F.avg("toxic"), 6).alias("harm_rate"), F.round(F.avg((F.col("lang") != "en").cast("double")), 6).alias("adversarial_share"), F.median("chars").alias("median_chars"))
+    return x.groupBy("source").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("harm"), F.sum(1 - F.col("toxic")).alias("safe"),
+        F.round(F.avg("toxic"), 6).alias("harm_rate"), F.round(F.avg((F.col("lang") != "en").cast("double")), 6).alias("adversarial_share"),
+        F.median("chars").alias("median_chars")
+    )
 
 
 def style_cells(s, d):
     x = prompts(s, d).where("toxic IS NOT NULL").withColumn("style", F.when(F.col("lang") == "en", "vanilla").otherwise("adversarial"))
-    return x.groupBy("style").pivot("prompt_label", ["safe", "unsafe"]).count().select("style", F.coalesce("safe", F.lit(0)).alias("safe"), F.coalesce("unsafe", F.lit(0)).alias("unsafe"))
+    return x.groupBy("style").pivot("prompt_label", ["safe", "unsafe"]).count().select(
+        "style", F.coalesce("safe", F.lit(0)).alias("safe"), F.coalesce("unsafe", F.lit(0)).alias("unsafe")
+    )
 
 
 def balanced_take(s, d):
@@ -343,10 +398,15 @@ def category_batches(s, d, batches: int = 20, per_batch: int = 3, rows: int = 2)
     cats = p.groupBy("primary_category").agg(F.count("*").alias("n")).where(F.col("n") >= rows)
     steps = cats.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
     u = uniform(F.concat_ws(":", F.col("step").cast("string"), "primary_category"), "batch")
-    chosen = pl.ranked(steps.withColumn("k", F.round(-F.log(u + 1e-12) / F.sqrt(F.col("n").cast("double")), 9)), ["step"], [F.col("k"), F.col("primary_category")]).where(F.col("rank") <= per_batch).drop("rank", "k", "n")
+    chosen = pl.ranked(
+        steps.withColumn("k", F.round(-F.log(u + 1e-12) / F.sqrt(F.col("n").cast("double")), 9)), ["step"],
+        [F.col("k"), F.col("primary_category")]
+    ).where(F.col("rank") <= per_batch).drop("rank", "k", "n")
     x = chosen.join(p, "primary_category")
     order = hashed(F.concat_ws(":", F.col("step").cast("string"), F.col("id").cast("string")), "row")
-    return pl.ranked(x, ["step", "primary_category"], [order, F.col("id")]).where(F.col("rank") <= rows).select("step", "primary_category", "id")
+    return pl.ranked(
+        x, ["step", "primary_category"], [order, F.col("id")]
+    ).where(F.col("rank") <= rows).select("step", "primary_category", "id")
 
 
 def positive_weights(s, d, alpha: float = 0.5, beta: float = 0.1):
@@ -354,11 +414,15 @@ def positive_weights(s, d, alpha: float = 0.5, beta: float = 0.1):
     b = category_batches(s, d).join(the_pool(s, d).select("id", "source", "lang"), "id")
     a, c = b.alias("a"), b.alias("c")
     j = a.join(c, (F.col("a.step") == F.col("c.step")) & (F.col("a.id") != F.col("c.id")))
-    w = F.when((F.col("a.source") == F.col("c.source")) & (F.col("a.lang") == F.col("c.lang")), 1.0).when(F.col("a.primary_category") == F.col("c.primary_category"), alpha).otherwise(beta)
+    w = F.when(
+        (F.col("a.source") == F.col("c.source")) & (F.col("a.lang") == F.col("c.lang")), 1.0
+    ).when(F.col("a.primary_category") == F.col("c.primary_category"), alpha).otherwise(beta)
     return j.select(F.col("a.step").alias("step"), F.col("a.id").alias("a"), F.col("c.id").alias("b"), w.alias("weight"))
 
 
-_HALF = "hc AS (SELECT primary_category AS category, count(*) AS available FROM pool WHERE label = 'harm' GROUP BY 1), " + pl.allocated_sql("hc", wanted="floor(sum(available) OVER () * 0.5::DOUBLE)")
+_HALF = "hc AS (SELECT primary_category AS category, count(*) AS available FROM pool WHERE label = 'harm' GROUP BY 1), " + pl.allocated_sql(
+    "hc", wanted="floor(sum(available) OVER () * 0.5::DOUBLE)"
+)
 _RAW = "(['yes', ' Unharmful ', 'nan', '1', 'FALSE', 'other'])[doc_id % 6 + 1]"
 _BANK = "bank(category, malicious, benign_twin) AS (VALUES " + ", ".join(f"('{c}', {list(m)!r}, {list(b)!r})" for c, m, b in P.BANK) + ")"
 
@@ -432,4 +496,13 @@ ORACLE_SQL |= {
     "positive_weights": f"WITH {_BATCH} SELECT CAST(a.step AS INTEGER) AS step, a.id AS a, b.id AS b, CASE WHEN a.source = b.source AND a.lang = b.lang THEN 1.0::DOUBLE WHEN a.primary_category = b.primary_category THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS weight FROM bt a JOIN bt b ON a.step = b.step AND a.id <> b.id",
 }
 
-QUERIES = {f.__name__: f for f in (pool_scan, pool_filters, pool_filter_counts, jailbreak_family, slice_tags, category_lists, label_normalize, any_label, text_length_profile, transcript_parse, head_tail_truncate, fingerprint, jsonl_roundtrip, dedup_first, label_conflicts, heldout_anti, eval_clean, eval_normalize, category_merge, contrast_pairs, safe_harm_random, wrap_variants, wrap_variants_v1, pair_unpivot, pairs_union, unique_texts_by_label, pairs_v1_manifest, pairs_v2_manifest, dataset_profile, style_cells, balanced_take, stratified_split, stratified_folds, pair_kfold, group_split, group_kfold, template_bank, code_contrast, code_paraphrase, code_wrapped, sqrt_allocation, sqrt_sample, category_batches, positive_weights)}
+QUERIES = {
+    f.__name__: f for f in (
+        pool_scan, pool_filters, pool_filter_counts, jailbreak_family, slice_tags, category_lists, label_normalize, any_label,
+        text_length_profile, transcript_parse, head_tail_truncate, fingerprint, jsonl_roundtrip, dedup_first, label_conflicts, heldout_anti,
+        eval_clean, eval_normalize, category_merge, contrast_pairs, safe_harm_random, wrap_variants, wrap_variants_v1, pair_unpivot,
+        pairs_union, unique_texts_by_label, pairs_v1_manifest, pairs_v2_manifest, dataset_profile, style_cells, balanced_take,
+        stratified_split, stratified_folds, pair_kfold, group_split, group_kfold, template_bank, code_contrast, code_paraphrase,
+        code_wrapped, sqrt_allocation, sqrt_sample, category_batches, positive_weights
+    )
+}

@@ -39,7 +39,10 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
     caution = F.when(F.col("doc_id") % 3 == 0, F.lit("Needs Caution, ")).otherwise(F.lit(""))
     names = F.when(F.col("toxic") == 1, F.concat(caution, "source", F.lit(", "), "lang")).otherwise(F.lit(""))
     label = F.when(F.col("toxic") == 1, "unsafe").otherwise("safe")
-    return joined.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"), label.alias("prompt_label"), names.alias("violated_categories"), "lang", "source", "quality", "toxic")
+    return joined.select(
+        F.col("doc_id").alias("id"), F.col("text").alias("prompt"), label.alias("prompt_label"), names.alias("violated_categories"), "lang",
+        "source", "quality", "toxic"
+    )
 
 
 PROMPTS = """prompts AS (SELECT d.doc_id AS id, d.text AS prompt, CASE WHEN toxic = 1 THEN 'unsafe' ELSE 'safe' END AS prompt_label,
@@ -71,7 +74,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     x = lambda i: F.element_at("embedding", i).cast("double")
     y = (F.col("label") % 2).cast("int")
     wrong = uniform(F.col("vec_id"), "judge") < 0.1
-    return e.select(F.col("vec_id").alias("id"), y.alias("y"), F.col("label").alias("category"), (F.round(x(1) + x(2) * 0.5 + y * 0.1, 3) + 0.0).alias("score"), (F.round(x(3) + y * 0.05, 3) + 0.0).alias("other_score"), F.when(wrong, 1 - y).otherwise(y).alias("judge"))
+    return e.select(
+        F.col("vec_id").alias("id"), y.alias("y"), F.col("label").alias("category"),
+        (F.round(x(1) + x(2) * 0.5 + y * 0.1, 3) + 0.0).alias("score"), (F.round(x(3) + y * 0.05, 3) + 0.0).alias("other_score"),
+        F.when(wrong, 1 - y).otherwise(y).alias("judge")
+    )
 
 
 SCORED = f"""scored AS (SELECT vec_id AS id, CAST(label % 2 AS INTEGER) AS y, label AS category,
@@ -86,11 +93,15 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    e = load(spark, folder, "events").select(F.col("event_type").alias("variant"), (F.col("user_id") % 3).alias("seed"), "ts", "event_id", F.col("value").alias("loss"))
+    e = load(spark, folder, "events").select(
+        F.col("event_type").alias("variant"), (F.col("user_id") % 3).alias("seed"), "ts", "event_id", F.col("value").alias("loss")
+    )
     e = e.withColumn("hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
     by = ["variant", "seed"]
     before = Window.partitionBy(*by).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = e.groupBy(*by, "hour").agg(F.count("*").alias("n")).select(*by, "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    hours = e.groupBy(*by, "hour").agg(F.count("*").alias("n")).select(
+        *by, "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
+    )
     within = F.row_number().over(Window.partitionBy(*by, "hour").orderBy("ts", "event_id"))
     return e.join(hours, [*by, "hour"]).select(*by, (F.col("earlier") + within).cast("int").alias("step"), "loss")
 
