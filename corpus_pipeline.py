@@ -7,11 +7,14 @@ them, so texts are not shuffled; beyond that the joins shuffle.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from lodestone.llm.shared import written
+from lodestone.llm.shared import freed, written
 
 BROADCAST_IDS = 2_000_000
 SHARDS = 16
@@ -23,11 +26,23 @@ def _sized(small: DataFrame, name: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+def _stage(f: Callable) -> Callable:
+    """A stage that first lets the driver forget the plans and tables of the stages before."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        freed(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 def _ids_tell_rows_apart(docs: DataFrame) -> bool:
     rows, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     return rows == known == distinct
 
 
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose score reaches the threshold of their language.
 
@@ -38,6 +53,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.rate(docs, net, ("score ", "threshold ", "toxic ")).where("NOT `toxic `").select(*docs.columns)
 
 
+@_stage
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near duplicates.
 
@@ -54,10 +70,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.select(F.col("doc_id").alias("id"), key.alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
     nodes = written(named.select("*", F.monotonically_increasing_id().alias("node")), "pipeline-nodes")
     few = _sized(nodes.select("id", "key", "node"), "pipeline-nodes")
-    keyed = docs.withColumn("key ", key).alias("d").join(few.alias("n"), F.expr("d.doc_id <=> n.id AND d.`key ` <=> n.key")).select("d.*", F.col("n.node").alias("node "))
+    keyed = docs.withColumn("key ", key).alias("d").join(
+        few.alias("n"), F.expr("d.doc_id <=> n.id AND d.`key ` <=> n.key")
+    ).select("d.*", F.col("n.node").alias("node "))
     keyed = written(keyed.drop("key "), "pipeline-keyed")
-    groups = written(jaccard.join_groups(keyed.select(F.col("node ").alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0").distinct(), "pipeline-groups")
-    members = groups.join(nodes, F.col("doc_id") == F.col("node")).select("component_id", "node", "rows", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("order"))
+    groups = written(
+        jaccard.join_groups(keyed.select(F.col("node ").alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0").distinct(),
+        "pipeline-groups"
+    )
+    members = groups.join(nodes, F.col("doc_id") == F.col("node")).select(
+        "component_id", "node", "rows", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("order")
+    )
     first = members.groupBy("component_id").agg(F.min_by("node", "order").alias("first"))
     marked = written(members.join(first, "component_id"), "pipeline-members")
     kept = keyed.join(_sized(marked.where("node <> first").select(F.col("node").alias("node ")), "pipeline-copies"), "node ", "left_anti")
@@ -67,6 +90,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.join(repeated, "node ", "left_anti").unionByName(once).select(*docs.columns)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark, told by their texts, so rows without a doc_id are dropped too."""
     leaks = decontaminate.leaking_texts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -74,6 +98,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.withColumn("text_key ", decontaminate.text_key(F.col("text"))).join(gone, "text_key ", "left_anti").select(*docs.columns)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources' words meet their targets.
 
@@ -89,9 +114,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     chosen = taken.select(F.col("doc_id").alias(row), copies.alias("copies ")).where("`copies ` > 0")
     joined = docs.join(_sized(chosen, "pipeline-mix"), row)
-    return joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies "))).alias("copy ")).select(*[c for c in docs.columns if c != "row "])
+    return joined.select(
+        "*", F.explode(F.sequence(F.lit(1), F.col("copies "))).alias("copy ")
+    ).select(*[c for c in docs.columns if c != "row "])
 
 
+@_stage
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of the mix."""
     return sharding.kd_shards(docs, shards=SHARDS)
