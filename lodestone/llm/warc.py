@@ -8,6 +8,7 @@ the frame, length), so that one record costs one ranged read and one frame.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import struct
 import uuid
@@ -26,6 +27,8 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+# Fixed value of WARC/1.1 for records whose payload is that of another.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = "record_id long, bundle string, frame int, frame_offset long, frame_bytes long, offset long, length long"
 RECORDS = "record_id long, record_type string, uri string, payload binary, payload_digest string, refers_to long, bundle string, frame int, offset long"
@@ -38,17 +41,22 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
-def record(record_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(
+    record_id: str, page_id: int | None, date: str, uri: str | None, payload: bytes, digest: str, refers_to: int | None = None,
+    target: str | None = None
+) -> bytes:
     """One WARC/1.1 record. A revisit has no payload of its own, only its digest and what it refers to."""
-    name = "" if record_id is None else str(record_id)
+    line = lambda x: (x or "").replace("\r", " ").replace("\n", " ")
     kind, body = ("response", payload) if refers_to is None else ("revisit", b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
-        f"WARC-Target-URI: {(uri or '').replace(chr(13), ' ').replace(chr(10), ' ')}",
+        f"WARC-Record-ID: <urn:uuid:{record_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {line(uri)}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>"] if refers_to is not None else []),
+        *([f"WARC-Page-ID: {page_id}"] if page_id is not None else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Target-URI: {line(target)}"] if refers_to is not None else []),
         "Content-Type: text/html",
         f"Content-Length: {len(body)}",
     ]
@@ -130,17 +138,22 @@ class Bundle:
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in INDEX.split(", ")]
+    )
 
 
-def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
+def _writer(folder: str, frame_bytes: int, bundle_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = None
+        bundle, count = None, 0
         for batch in batches:
             for step in range(0, batch.num_rows, 256):
-                for page, uri, html, digest, refers in zip(*(c.to_pylist() for c in batch.slice(step, 256).columns), strict=True):
-                    bundle = bundle or Bundle(folder, frame_bytes)
-                    bundle.add(page, record(page, uri, (html or "").encode(), digest, refers))
+                for page, uri, html, digest, refers, target in zip(*(c.to_pylist() for c in batch.slice(step, 256).columns), strict=True):
+                    if bundle is None:
+                        bundle, count = Bundle(folder, frame_bytes), 0
+                    name = uuid.uuid5(uuid.UUID(bundle.name[:32]), str(count))  # of its own, whatever ids repeat
+                    bundle.add(page, record(str(name), page, date, uri, (html or "").encode(), digest, refers, target))
+                    count += 1
                     if bundle.at >= bundle_bytes:
                         bundle.close()
                         yield _index_batch(bundle.index)
@@ -152,7 +165,7 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, date: str | None = None) -> DataFrame:
     """Write a WARC record for every row of (page_id, url, html) and return the index.
 
     The payload is the html in UTF-8 (null: empty). Among records with equal payloads of
@@ -161,15 +174,23 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     page_id are all responses; rows with a null page_id are revisits unless no equal payload
     has an id. Digests are summed before they are shuffled, and only digests that occur again take part in
     the join that finds the response, which adaptive execution splits where one payload is frequent.
-    Only files named in the index belong to the archive: a task that ran twice leaves an unnamed file.
+    Only files named in the index belong to the archive: a task that ran twice leaves an unnamed file. Every
+    record has an id of its own; the page's id, which may repeat, stands in a field beside it. ``date`` is the
+    records' date, by default that of the call.
     """
     spark = pages.sparkSession
     ship(spark)
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     text = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(text.cast("binary"), 256).alias("digest"))
-    again = base.where(F.octet_length(text) >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = base.join(again, "digest", "left").select("page_id", "url", "html", "digest", F.expr("CASE WHEN first IS NOT NULL AND NOT (first <=> page_id) THEN first END").alias("refers_to"))
-    return written(joined.mapInArrow(_writer(folder, FRAME_BYTES, BUNDLE_BYTES), INDEX), "warc-index")
+    again = base.where(F.octet_length(text) >= REVISIT_BYTES).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("target"), F.count("*").alias("n")
+    ).where("n > 1").select("digest", "first", "target")
+    joined = base.join(again, "digest", "left").select(
+        "page_id", "url", "html", "digest",
+        F.expr("CASE WHEN first IS NOT NULL AND NOT (first <=> page_id) THEN first END").alias("refers_to"), "target"
+    )
+    return written(joined.mapInArrow(_writer(folder, FRAME_BYTES, BUNDLE_BYTES, date), INDEX), "warc-index")
 
 
 def _reader(folder: str):
@@ -186,14 +207,23 @@ def _reader(folder: str):
                         data = unpack.decompress(f.read(packed), max_output_size=plain)
                         rows = []
                         for offset, head, body in parse(data):
-                            ident = head["WARC-Record-ID"][len("<urn:page:") : -1]
-                            refers = head.get("WARC-Refers-To", "<urn:page:>")[len("<urn:page:") : -1]
+                            ident, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
                             digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                             if head["WARC-Type"] == "response" and hashlib.sha256(body).hexdigest() != digest:
                                 raise ValueError(f"payload of record {ident} in {name} does not match its digest")
-                            rows.append((int(ident) if ident else None, head["WARC-Type"], head["WARC-Target-URI"], body, digest, int(refers) if refers else None, name, k, offset))
-                        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
+                            rows.append(
+                                (
+                                    int(ident) if ident else None, head["WARC-Type"], head["WARC-Target-URI"], body, digest,
+                                    int(refers) if refers else None, name, k, offset
+                                )
+                            )
+                        kinds = [
+                            pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()
+                        ]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
+                            names=[x.split()[0] for x in RECORDS.split(", ")]
+                        )
 
     return read
 
@@ -233,14 +263,29 @@ def round_trip(pages: DataFrame) -> DataFrame:
     files, root = store(folder)
     files.create_dir(root, recursive=True)
     index = write_archives(pages, folder)
-    records = written(read_archives(index, folder).select("record_id", "record_type", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"), "payload_digest", "refers_to"), "warc-records")
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("own_digest").alias("target_digest"), F.col("own_bytes").alias("target_bytes"))
+    records = written(
+        read_archives(index, folder).select(
+            "record_id", "record_type", F.octet_length("payload").cast("long").alias("own_bytes"),
+            F.sha2("payload", 256).alias("own_digest"), "payload_digest", "refers_to"
+        ),
+        "warc-records"
+    )
+    responses = records.where("record_type = 'response'").select(
+        F.col("record_id").alias("target"), F.col("own_digest").alias("target_digest"), F.col("own_bytes").alias("target_bytes")
+    )
     # only responses that a revisit names; a repeated page_id may stand for several payloads, hence the digest
-    named = records.where("record_type = 'revisit'").groupBy(F.col("refers_to").alias("target"), F.col("payload_digest").alias("target_digest")).agg(F.count("*").alias("n"))
-    sizes = responses.join(named, ["target", "target_digest"]).groupBy("target", "target_digest").agg(F.max("target_bytes").alias("target_bytes"))
+    named = records.where("record_type = 'revisit'").groupBy(
+        F.col("refers_to").alias("target"), F.col("payload_digest").alias("target_digest")
+    ).agg(F.count("*").alias("n"))
+    sizes = responses.join(named, ["target", "target_digest"]).groupBy("target", "target_digest").agg(
+        F.max("target_bytes").alias("target_bytes")
+    )
     revisit = F.col("record_type") == "revisit"
     x = records.join(sizes, (F.col("refers_to") == F.col("target")) & (F.col("payload_digest") == F.col("target_digest")), "left")
-    return x.select(F.col("record_id").alias("page_id"), F.when(revisit, F.col("target_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), F.when(revisit, F.col("target_digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to")
+    return x.select(
+        F.col("record_id").alias("page_id"), F.when(revisit, F.col("target_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("target_digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to"
+    )
 
 
 #: The contract's rows in DuckDB SQL over pages.
