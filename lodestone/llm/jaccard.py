@@ -158,7 +158,9 @@ def _unique_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _emit(names: str, rows: int, /, **columns) -> pa.RecordBatch:
     fields = [f.split() for f in names.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[t]) if c in columns else pa.nulls(rows, kinds[t]) for c, t in fields], names=[c for c, _ in fields])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[c], kinds[t]) if c in columns else pa.nulls(rows, kinds[t]) for c, t in fields], names=[c for c, _ in fields]
+    )
 
 
 def _sign(words: int, percent: int, parts: int):
@@ -294,7 +296,9 @@ def _sets(words: int):
             for step in range(0, batch.num_rows, 512):
                 part = batch.slice(step, 512)
                 found = [s.tobytes() for _, s in shingle_sets(*buffers(part.column(2)), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["cluster", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(found, pa.binary())], names=["cluster", "node", "tokens"]
+                )
 
     return sets
 
@@ -321,7 +325,9 @@ def join_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = partitions_for(total, MERGED_BYTES, 2)
-    found = written(source.mapInArrow(_sign(words, percent, parts), SENT).repartition(parts, "part").mapInArrow(_meet, FOUND), "jaccard")
+    found = written(
+        source.mapInArrow(_sign(words, percent, parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(_meet, FOUND), "jaccard"
+    )
     rows = found.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
@@ -333,9 +339,13 @@ def join_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
     involved = written(members.join(sized, "cluster").select("cluster", F.col("rep").alias("node"), "bytes"), "jaccard-clusters")
     count = involved.count()
     ids = involved.select("cluster", F.col("node").alias("doc_id"))
-    texts = source.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id").select("cluster", F.col("doc_id").alias("node"), "text")
+    texts = source.join(
+        F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id"
+    ).select("cluster", F.col("doc_id").alias("node"), "text")
     sets = texts.mapInArrow(_sets(words), "cluster long, node long, tokens binary")
-    volume = involved.select("cluster", "bytes").distinct().agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    volume = involved.select("cluster", "bytes").distinct().agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))
+    ).first()
     bins = partitions_for(volume[0], VERIFIED_BYTES, 2)
     small = involved.where(f"bytes <= {CLUSTER_BYTES}").select("cluster").distinct()
     dealt = sets if volume[1] <= CLUSTER_BYTES else written(sets, "jaccard-sets")
@@ -345,25 +355,35 @@ def join_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
     if volume[1] > CLUSTER_BYTES:
         links = _large(dealt, involved, links, percent)
     kept = components(links)
-    labelled = by_set.join(kept, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    labelled = by_set.join(kept, F.col("rep") == F.col("node"), "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    )
+    rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")
+    )
     return labelled.union(rest)
 
 
 def _large(sets: DataFrame, involved: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links of the clusters too large for one task: blocks with leaders first, then pairs of blocks."""
-    large = involved.where(f"bytes > {CLUSTER_BYTES}").select("cluster", "node", F.expr(f"CAST(ceil(bytes / {CLUSTER_BYTES / 2}) AS INT)").alias("blocks"))
+    large = involved.where(f"bytes > {CLUSTER_BYTES}").select(
+        "cluster", "node", F.expr(f"CAST(ceil(bytes / {CLUSTER_BYTES / 2}) AS INT)").alias("blocks")
+    )
     x = sets.join(large, ["cluster", "node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     x = written(x, "jaccard-blocks")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("node"))
     heads = large.select("cluster", "node", "blocks").withColumn("rank", rank).where(f"rank <= {LEADERS}")
-    leaders = x.join(heads.select("cluster", "node"), ["cluster", "node"], "left_semi").select("cluster", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    leaders = x.join(heads.select("cluster", "node"), ["cluster", "node"], "left_semi").select(
+        "cluster", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
     first = x.select("cluster", "node", "tokens", "block").union(leaders).withColumn("bin", F.xxhash64("cluster", "block"))
     links = written(links.union(first.groupBy("bin").applyInArrow(_verify(percent), "u long, v long")), "jaccard-links")
     now = components(links)
-    parts = large.join(now, "node", "left").select("cluster", F.coalesce("component", "node").alias("c")).distinct().groupBy("cluster").count().where("count > 1")
+    parts = large.join(now, "node", "left").select(
+        "cluster", F.coalesce("component", "node").alias("c")
+    ).distinct().groupBy("cluster").count().where("count > 1")
     open_sets = x.join(parts.select("cluster"), "cluster", "left_semi")
     pairs = open_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.where("block <> other").withColumn("bin", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
