@@ -48,7 +48,11 @@ def _any_shingle(words: str, at: str, k: str) -> str:
 
 def _counted(shingle: str) -> list[F.Column]:
     """The 64 bits of a shingle's hash, three to a long."""
-    terms = [[f"shiftleft(shiftrightunsigned({shingle}, {b}) & 1L, {FIELD * j})" for j, b in enumerate(range(i, min(i + 3, 64)))] for i in range(0, 64, 3)]
+    terms = [
+        [
+            f"shiftleft(shiftrightunsigned({shingle}, {b}) & 1L, {FIELD * j})" for j, b in enumerate(range(i, min(i + 3, 64)))
+        ] for i in range(0, 64, 3)
+    ]
     return [F.expr(" + ".join(t)).alias(f"v{i}") for i, t in enumerate(terms)]
 
 
@@ -57,7 +61,9 @@ _SUMS = [f"v{i}" for i in range(22)]
 
 def _fingerprint(total: str) -> F.Column:
     """SimHash: bit j is set if more shingles, counted with repeats, have it set than not."""
-    bits = [f"CASE WHEN 2 * (shiftrightunsigned(v{j // 3}, {FIELD * (j % 3)}) & {(1 << FIELD) - 1}L) > {total} THEN shiftleft(1L, {j}) ELSE 0L END" for j in range(64)]
+    bits = [
+        f"CASE WHEN 2 * (shiftrightunsigned(v{j // 3}, {FIELD * (j % 3)}) & {(1 << FIELD) - 1}L) > {total} THEN shiftleft(1L, {j}) ELSE 0L END" for j in range(64)
+    ]
     return F.expr(" | ".join(bits))
 
 
@@ -103,7 +109,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     named = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
     found = named.join(_sized(leaks, leaks.count()), "text_key")
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").alias("distance"), F.col("b.start").alias("start"))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+        "doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.distance").alias("distance"), F.col("b.start").alias("start")
+    )
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -113,7 +121,9 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def _shingled(items: DataFrame) -> DataFrame:
     """(item_id, item, size, k, place, shingle) of every shingle of every item; ``item`` tells repeated item_ids apart."""
     words = items.select("item_id", F.xxhash64("text").alias("item"), _words("text").alias("iw")).where("size(iw) > 0")
-    at = words.select("item_id", "item", "iw", F.expr("size(iw)").alias("size"), F.least(F.expr("size(iw)"), F.lit(WORDS)).alias("k")).distinct()
+    at = words.select(
+        "item_id", "item", "iw", F.expr("size(iw)").alias("size"), F.least(F.expr("size(iw)"), F.lit(WORDS)).alias("k")
+    ).distinct()
     at = at.select("*", F.explode(F.expr("sequence(0, size - k)")).alias("place"))
     return at.select("item_id", "item", "size", "k", "place", F.expr(_any_shingle("iw", "place", "k")).alias("shingle"))
 
@@ -133,7 +143,9 @@ def leaking_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     for k in short or [WORDS]:
         keys = places.where(f"k = {k}").select("shingle").distinct()
         at = words.where(f"size(w) >= {k}").select("text_key", "w", F.explode(F.expr(f"sequence(0, size(w) - {k})")).alias("at"))
-        hashed = at.select("text_key", F.lit(k).alias("k"), F.expr(f"size(w) - {k - 1}").alias("n"), "at", F.expr(_shingle("w", "at", k)).alias("shingle"))
+        hashed = at.select(
+            "text_key", F.lit(k).alias("k"), F.expr(f"size(w) - {k - 1}").alias("n"), "at", F.expr(_shingle("w", "at", k)).alias("shingle")
+        )
         met = hashed.join(hint(keys), "shingle")
         seeds = met if seeds is None else seeds.unionByName(met)
     seeds = written(seeds.groupBy("text_key", "k", "n", "at", "shingle").agg(F.lit(1).alias("one")).drop("one"), "leaks-seeds")
@@ -145,22 +157,37 @@ def leaking_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     events = sized.select("text_key", "size", "k", "n", "m", both).select("text_key", "size", "k", "n", "m", "e.*")
     runs = _running(events, ["text_key", "size", "k", "n", "m"], ["d"]).where(f"d >= {similarity} * m - 1e-6 AND d > 0")
     starts = runs.select("text_key", "size", "k", "n", "m", "d", F.explode(F.expr("sequence(s, following - 1)")).alias("start"))
-    starts = written(starts.select("*", w.alias("w")).where(f"d * {1 + similarity} >= {similarity} * (m + w) - 1e-6").drop("d"), "leaks-starts")
+    starts = written(
+        starts.select("*", w.alias("w")).where(f"d * {1 + similarity} >= {similarity} * (m + w) - 1e-6").drop("d"), "leaks-starts"
+    )
 
     # their texts again, and the shingles that lie in them
     order = Window.partitionBy("text_key", "size").orderBy("start")
     gap = F.coalesce((F.col("start") - F.lag("start").over(order) > F.col("m")).cast("int"), F.lit(0))
-    ranges = starts.select("*", gap.alias("gap")).select("*", F.sum("gap").over(order).alias("island")).groupBy("text_key", "size", "k", "n", "m", "island").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    wanted = written(ranges.groupBy("text_key").agg(F.collect_list(F.struct("size", "k", "n", "m", "island", "lo", "hi")).alias("ranges")), "leaks-texts")
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(_sized(wanted.select("text_key"), wanted.count()), "text_key")
+    ranges = starts.select("*", gap.alias("gap")).select("*", F.sum("gap").over(order).alias("island")).groupBy("text_key", "size", "k", "n", "m", "island").agg(
+        F.min("start").alias("lo"), F.max("start").alias("hi")
+    )
+    wanted = written(
+        ranges.groupBy("text_key").agg(F.collect_list(F.struct("size", "k", "n", "m", "island", "lo", "hi")).alias("ranges")), "leaks-texts"
+    )
+    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(
+        _sized(wanted.select("text_key"), wanted.count()), "text_key"
+    )
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key")
-    split = texts.select("text_key", "ranges", _words("text").alias("w")).select("text_key", "w", F.explode("ranges").alias("r")).select("text_key", "w", "r.*")
-    inside = split.select("text_key", "size", "island", "k", "m", "w", F.explode(F.expr("sequence(greatest(lo, 0), least(hi + m, n) - 1)")).alias("at"))
+    split = texts.select(
+        "text_key", "ranges", _words("text").alias("w")
+    ).select("text_key", "w", F.explode("ranges").alias("r")).select("text_key", "w", "r.*")
+    inside = split.select(
+        "text_key", "size", "island", "k", "m", "w", F.explode(F.expr("sequence(greatest(lo, 0), least(hi + m, n) - 1)")).alias("at")
+    )
     hashes = inside.select("text_key", "size", "island", "m", "at", F.expr(_any_shingle("w", "at", "k")).alias("shingle"))
 
     # fingerprints of the windows, and the items near them
     values = hashes.select("text_key", "size", "island", "m", "at", *_counted("shingle"))
-    signed = [values.select("text_key", "size", "island", F.expr(place).alias("s"), *[F.expr(f"{sign}{v}").alias(v) for v in _SUMS]) for place, sign in (("at - m + 1", ""), ("at + 1", "-"))]
+    signed = [
+        values.select("text_key", "size", "island", F.expr(place).alias("s"), *[F.expr(f"{sign}{v}").alias(v) for v in _SUMS]) for place,
+        sign in (("at - m + 1", ""), ("at + 1", "-"))
+    ]
     sums = _running(signed[0].union(signed[1]), ["text_key", "size", "island"], _SUMS).withColumnRenamed("s", "start")
     windows = sums.join(starts.select("text_key", "size", "m", "w", "start"), ["text_key", "size", "start"])
     windows = written(windows.select("text_key", "size", "m", "w", "start", _fingerprint("w").alias("fp")), "leaks-windows")
@@ -174,22 +201,34 @@ def leaking_texts(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     have = have.select(*of, "shingle", "at", "c", m.alias("m"))
     ranked = have.withColumn("r", F.row_number().over(Window.partitionBy(*of, "shingle").orderBy("at")))
     earlier = ranked.select(*of, "shingle", (F.col("r") + F.col("c")).alias("r"), F.col("at").alias("before"))
-    begins = ranked.join(earlier, [*of, "shingle", "r"], "left").select(*of, F.expr("greatest(coalesce(before + 1, at - m + 1), at - m + 1)").alias("s"), F.col("at").alias("at"))
-    gains = begins.select(*of, F.explode(F.expr("array(struct(s AS s, 1 AS shared), struct(at + 1 AS s, -1 AS shared))")).alias("e")).select(*of, "e.*")
+    begins = ranked.join(earlier, [*of, "shingle", "r"], "left").select(
+        *of, F.expr("greatest(coalesce(before + 1, at - m + 1), at - m + 1)").alias("s"), F.col("at").alias("at")
+    )
+    gains = begins.select(
+        *of, F.explode(F.expr("array(struct(s AS s, 1 AS shared), struct(at + 1 AS s, -1 AS shared))")).alias("e")
+    ).select(*of, "e.*")
     none = {"w": "int", "m": "int", "fp": "long"}
     tried = windows.join(pairs, ["text_key", "size"]).select(*of, F.col("start").alias("s"), F.lit(0).alias("shared"), "w", "m", "fp")
     events = gains.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).unionByName(tried)
     scored = _running(events, of, ["shared"], [F.max(c).alias(c) for c in none]).where("w IS NOT NULL")
-    scored = scored.withColumn("similarity", F.col("shared") / (F.col("w") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = scored.groupBy(*of).agg(F.min(F.struct((-F.col("similarity")).alias("x"), F.greatest("s", F.lit(0)).alias("start"), "s", "fp")).alias("b"))
+    scored = scored.withColumn(
+        "similarity", F.col("shared") / (F.col("w") + F.col("m") - F.col("shared"))
+    ).where(F.col("similarity") >= similarity)
+    best = scored.groupBy(*of).agg(
+        F.min(F.struct((-F.col("similarity")).alias("x"), F.greatest("s", F.lit(0)).alias("start"), "s", "fp")).alias("b")
+    )
     prints = item_prints(item)
     distance = F.bit_count(F.col("b.fp").bitwiseXOR(F.col("ifp"))).cast("int")
-    return best.join(F.broadcast(prints) if total <= BROADCAST_SHINGLES else prints, ["item_id", "item"]).select("text_key", "item_id", (-F.col("b.x")).alias("similarity"), distance.alias("distance"), F.col("b.start").cast("int").alias("start"))
+    return best.join(F.broadcast(prints) if total <= BROADCAST_SHINGLES else prints, ["item_id", "item"]).select(
+        "text_key", "item_id", (-F.col("b.x")).alias("similarity"), distance.alias("distance"), F.col("b.start").cast("int").alias("start")
+    )
 
 
 def item_prints(item: DataFrame) -> DataFrame:
     """(item_id, item, size, ifp): the fingerprint of every item."""
-    sums = item.select("item_id", "item", "size", *_counted("shingle")).groupBy("item_id", "item", "size").agg(*[F.sum(v).alias(v) for v in _SUMS], F.count("*").alias("m"))
+    sums = item.select("item_id", "item", "size", *_counted("shingle")).groupBy("item_id", "item", "size").agg(
+        *[F.sum(v).alias(v) for v in _SUMS], F.count("*").alias("m")
+    )
     return sums.select("item_id", "item", "size", _fingerprint("m").alias("ifp"))
 
 

@@ -19,7 +19,9 @@ BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 def word_count(text: str = "text") -> F.Column:
     """Number of runs of ``[^\\x20\\x09-\\x0D]``; 0 for null or blank texts."""
-    return F.expr(f"CASE WHEN {text} IS NULL OR btrim({text}, {BLANK}) = '' THEN 0L ELSE CAST(size(split(btrim({text}, {BLANK}), '[\\\\x20\\\\x09-\\\\x0D]+')) AS BIGINT) END")
+    return F.expr(
+        f"CASE WHEN {text} IS NULL OR btrim({text}, {BLANK}) = '' THEN 0L ELSE CAST(size(split(btrim({text}, {BLANK}), '[\\\\x20\\\\x09-\\\\x0D]+')) AS BIGINT) END"
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -33,18 +35,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     by_code = Window.orderBy(F.col("source").asc_nulls_last())
     rank = F.row_number().over(by_code) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    t = sizes.select("source", "source_size", rank.alias("rank"), weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    t = sizes.select(
+        "source", "source_size", rank.alias("rank"), weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")
+    )
     order = Window.orderBy((F.col("cap") / F.col("w")), "rank").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0.0))
-    t = t.select("*", F.sum("source_size").over(every).alias("all_size"), F.sum("w").over(every).alias("all_w"), before("cap").alias("cap_before"), before("w").alias("w_before"))
+    t = t.select(
+        "*", F.sum("source_size").over(every).alias("all_size"), F.sum("w").over(every).alias("all_w"), before("cap").alias("cap_before"),
+        before("w").alias("w_before")
+    )
     t = t.withColumn("level", (F.col("all_size") * F.lit(float(share)) - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")))
     at = F.col("cap") / F.col("w")
-    t = t.withColumn("water", F.min(F.when(F.col("level") <= at, F.struct(at.alias("at"), F.col("rank"), F.col("level")))).over(every).getField("level"))
+    t = t.withColumn(
+        "water", F.min(F.when(F.col("level") <= at, F.struct(at.alias("at"), F.col("rank"), F.col("level")))).over(every).getField("level")
+    )
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("water"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 42, size: F.Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+def mix(
+    docs: DataFrame, seed: int = 42, size: F.Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
+    most: float = MOST_EPOCHS
+) -> DataFrame:
     """Words that a mix takes of each document: (doc_id, source, size, source_size, target, taken).
 
     Each document gets the key md5(seed:doc_id). Within a source documents stand in key
@@ -59,7 +71,12 @@ def mix(docs: DataFrame, seed: int = 42, size: F.Column | None = None, weights:
     in the order of their sizes. An empty table gives an empty result. Further columns of the
     input are ignored.
     """
-    base = written(docs.select("doc_id", "source", (word_count() if size is None else size).alias("size")).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "mix")
+    base = written(
+        docs.select("doc_id", "source", (word_count() if size is None else size).alias("size")).withColumn(
+            "key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        ),
+        "mix"
+    )
     rows = base.count()
     width = 0
     while rows > BUCKET_ROWS * 16**width and width < 12:
@@ -69,15 +86,23 @@ def mix(docs: DataFrame, seed: int = 42, size: F.Column | None = None, weights:
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_source = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(order), F.lit(0)).alias("offset"))
-    cuts = sums.alias("b").join(per_source.alias("t"), F.expr("b.source <=> t.source")).select("b.source", "b.bucket", "offset", "source_size", "target")
-    x = base.alias("d").join(cuts.alias("c"), F.expr("d.source <=> c.source AND d.bucket = c.bucket")).select("d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "c.offset", "c.source_size", "c.target")
-    run = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = sums.alias("b").join(per_source.alias("t"), F.expr("b.source <=> t.source")).select(
+        "b.source", "b.bucket", "offset", "source_size", "target"
+    )
+    x = base.alias("d").join(cuts.alias("c"), F.expr("d.source <=> c.source AND d.bucket = c.bucket")).select(
+        "d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "c.offset", "c.source_size", "c.target"
+    )
+    run = Window.partitionBy("source", "bucket").orderBy(
+        "key", F.col("doc_id").asc_nulls_last(), "size"
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("start", F.col("offset") + F.sum("size").over(run) - F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     x = x.withColumn("epochs", epochs.cast("long"))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     extra = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest.cast("long") - F.col("start")))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return x.select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
+    )
 
 
 #: The contract's rows in DuckDB SQL over a table with doc_id, text and source.

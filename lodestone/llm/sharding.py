@@ -49,7 +49,9 @@ class _Node:
     def halves(self) -> tuple[_Node, _Node]:
         lo, hi = self.box[self.dim]
         left, n = self.box | {self.dim: (lo, max(lo, self.cut))}, self.leaves // 2
-        return _Node(self.first, n, self.below, left), _Node(self.first + n, self.leaves - n, self.weight - self.below, self.box | {self.dim: (min(hi, self.cut + 1), hi)})
+        return _Node(self.first, n, self.below, left), _Node(
+            self.first + n, self.leaves - n, self.weight - self.below, self.box | {self.dim: (min(hi, self.cut + 1), hi)}
+        )
 
 
 def _key() -> F.Column:
@@ -66,7 +68,10 @@ def _find_cuts(groups: DataFrame, nodes: list[_Node], tolerance: float) -> None:
     while open_nodes := {n.first: n for n in nodes if n.cut is None}:
         steps = {k: max(1, -(-(n.hi - n.lo + 1) // BINS)) for k, n in open_nodes.items()}
         # a row per node, at most as many as leaves; as a table, so that every pass runs the same compiled code
-        params = groups.sparkSession.createDataFrame([(k, DIMENSIONS.index(n.dim) + 1, n.lo, n.hi, steps[k], float(n.want - n.below)) for k, n in open_nodes.items()], "node long, dim int, lo long, hi long, step long, want double")
+        params = groups.sparkSession.createDataFrame(
+            [(k, DIMENSIONS.index(n.dim) + 1, n.lo, n.hi, steps[k], float(n.want - n.below)) for k, n in open_nodes.items()],
+            "node long, dim int, lo long, hi long, step long, want double"
+        )
         binned = groups.join(F.broadcast(params), "node").withColumn("k", _key()).where("k BETWEEN lo AND hi")
         sums = binned.groupBy("node", "want", F.expr("(k - lo) div step").alias("bin")).agg(F.sum("bytes").alias("w"))
         upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -83,9 +88,15 @@ def coordinates(rows: DataFrame) -> DataFrame:
     """(group, bytes, k_<dimension>...) of every group of rows with equal texts, from (group, size, doc_id, source, lang)."""
     lo_size, hi_size, lo_id, hi_id = rows.agg(F.min("size"), F.max("size"), F.min("doc_id"), F.max("doc_id")).first()
     code = lambda c: F.coalesce(F.crc32(F.min(c).cast("binary")).cast("double") / F.lit(2.0**32), F.lit(0.0))
-    grouped = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.log(F.max("size").cast("double")).alias("length"), F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("order"), code("source").alias("source"), code("lang").alias("lang"))
+    grouped = rows.groupBy("group").agg(
+        F.sum("size").alias("bytes"), F.log(F.max("size").cast("double")).alias("length"),
+        F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("order"), code("source").alias("source"), code("lang").alias("lang")
+    )
     scaled = lambda c, lo, hi: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.lit(lo)) / F.lit(max(hi - lo, 1e-12))))
-    unit = {"length": scaled("length", math.log(lo_size or 1), math.log(hi_size or 1)), "order": scaled("order", min(float(lo_id or 0), 0.0), float(hi_id or 0)), "source": F.col("source"), "lang": F.col("lang")}
+    unit = {
+        "length": scaled("length", math.log(lo_size or 1), math.log(hi_size or 1)),
+        "order": scaled("order", min(float(lo_id or 0), 0.0), float(hi_id or 0)), "source": F.col("source"), "lang": F.col("lang")
+    }
     tie = F.conv(F.substring("group", 1, TIE_BITS // 4), 16, 10).cast("long")
     keys = [(F.shiftleft((unit[d] * F.lit(2**CELL_BITS - 1)).cast("long"), TIE_BITS) + tie).alias(f"k_{d}") for d in DIMENSIONS]
     return grouped.select("group", "bytes", *keys)
@@ -94,7 +105,10 @@ def coordinates(rows: DataFrame) -> DataFrame:
 def base_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, size, text_crc32, group) of every row; ``group`` tells texts apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group"))
+    return docs.select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.md5(text).alias("group")
+    )
 
 
 def placed_groups(groups: DataFrame, leaves: int, tolerance: float = TOLERANCE) -> DataFrame:
@@ -106,9 +120,13 @@ def placed_groups(groups: DataFrame, leaves: int, tolerance: float = TOLERANCE)
     level = 0
     while cut := [n for n in nodes if n.leaves > 1]:
         _find_cuts(groups, cut, weight / leaves * tolerance)
-        split = groups.sparkSession.createDataFrame([(n.first, DIMENSIONS.index(n.dim) + 1, n.cut, n.leaves // 2) for n in cut], "node long, dim int, cut long, half long")
+        split = groups.sparkSession.createDataFrame(
+            [(n.first, DIMENSIONS.index(n.dim) + 1, n.cut, n.leaves // 2) for n in cut], "node long, dim int, cut long, half long"
+        )
         moved = F.col("node") + F.when(_key() > F.col("cut"), F.col("half")).otherwise(F.lit(0))
-        groups = groups.join(F.broadcast(split), "node", "left").select("group", "bytes", *[f"k_{d}" for d in DIMENSIONS], moved.alias("node"))
+        groups = groups.join(F.broadcast(split), "node", "left").select(
+            "group", "bytes", *[f"k_{d}" for d in DIMENSIONS], moved.alias("node")
+        )
         nodes = [x for n in nodes for x in (n.halves() if n.leaves > 1 else (n,))]
         level += 1
         if level % LEVELS == 0 and any(n.leaves > 1 for n in nodes):
@@ -137,14 +155,20 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     leaves = shards or max(1, partitions_for(total or 0, target_bytes or 1))
     placed = placed_groups(written(coordinates(base), "shard-groups"), leaves, tolerance)
     buckets = partitions_for(count, SLOT_ROWS * max(1, leaves), 4)
-    rows = base.join(placed, "group").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).alias("bucket"))
+    rows = base.join(placed, "group").select(
+        "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).alias("bucket")
+    )
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    return rows.join(offsets, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.row_number().over(place) - 1).cast("long").alias("slot"))
+    return rows.join(offsets, ["shard", "bucket"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.row_number().over(place) - 1).cast("long").alias("slot")
+    )
 
 
 def op7_kdtree(spark, sf_dir: str) -> DataFrame:
     x = kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=SHARDS)
-    return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return x.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

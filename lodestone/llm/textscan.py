@@ -73,7 +73,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return raw, off
 
@@ -134,7 +136,10 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.zeros(len(h), np.int64)
 
 
-_PLACE = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3]
+_PLACE = [
+    0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F,
+    0xEB44ACCAB455D165, 0x9C6E6877736C46E3
+]
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -1,5 +1,9 @@
 import pytest
 
+from lodestone.llm import shared
+
+shared.FREEING_SECONDS = 0.0  # small tables need no room
+
 EDGE = [
     (0, "", "en", "s1", 0),
     (1, None, "en", None, 0),
@@ -19,7 +23,10 @@ EDGE = [
 def edge(spark):
     """Nulls, empty and very long texts, ties, repeated ids, and columns whose names operators use inside."""
     df = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.selectExpr("*", "'x' AS key", "1 AS size", "2 AS bucket", "3 AS shard", "4 AS w", "5 AS block", "'y' AS tokens", "0.5 AS score", "6 AS part", "7 AS node")
+    return df.selectExpr(
+        "*", "'x' AS key", "1 AS size", "2 AS bucket", "3 AS shard", "4 AS w", "5 AS block", "'y' AS tokens", "0.5 AS score", "6 AS part",
+        "7 AS node"
+    )
 
 
 @pytest.fixture(scope="session")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, sharding, suffix_tree, textscan, token_files, tokens
+from lodestone.llm import mixing, shared, sharding, suffix_tree, textscan, token_files, tokens
 
 BLANK = b" \t\n\r\x0b\x0c"
 
@@ -109,7 +109,12 @@ def both(request):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.none(), ODD, st.sampled_from(["<|endoftext|>", "x<|startoftext|>y 's", "it's o'clock", "word%%% end..."])), max_size=8), st.sampled_from([4, 30, 1 << 20]))
+@given(
+    st.lists(
+        st.one_of(st.none(), ODD, st.sampled_from(["<|endoftext|>", "x<|startoftext|>y 's", "it's o'clock", "word%%% end..."])), max_size=8
+    ),
+    st.sampled_from([4, 30, 1 << 20])
+)
 def test_steps_and_cuts_do_not_change_ids(both, texts, step):
     e, plain = both
     column = pa.array(texts, pa.string())
@@ -183,7 +188,10 @@ def test_mix(edge, empty, spark):
 
 
 def test_mix_in_buckets(spark, monkeypatch):
-    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 17 AS INT)) AS text", "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('s', id % 5) END AS source")
+    df = spark.range(3000).selectExpr(
+        "id AS doc_id", "repeat('w ', CAST(id % 17 AS INT)) AS text",
+        "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('s', id % 5) END AS source"
+    )
     one = sorted(map(str, mixing.mix(df).collect()))
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
     assert sorted(map(str, mixing.mix(df).collect())) == one
@@ -207,13 +215,46 @@ def test_shards(edge, empty):
 
 
 def test_shards_are_even(spark, data):
-    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(md5(CAST(id AS STRING)), CAST(1 + id % 20 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 9) END AS source", "'en' AS lang")
+    docs = spark.range(4000).selectExpr(
+        "id AS doc_id", "repeat(md5(CAST(id AS STRING)), CAST(1 + id % 20 AS INT)) AS text",
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 9) END AS source", "'en' AS lang"
+    )
     load = [r[1] for r in sharding.kd_shards(docs, shards=16).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(load) == 16 and max(load) < 1.03 * min(load)
     few = sharding.kd_shards(docs, target_bytes=sum(load) // 5 + 1).select("shard").distinct().count()
     assert few == 5
 
 
+def plain_tree(groups, leaves, boxes=None):
+    """{group: shard} by sorting every node along its widest dimension; groups are (name, bytes, keys)."""
+    boxes = boxes or [(min(g[2][i] for g in groups), max(g[2][i] for g in groups)) for i in range(4)]
+    if leaves == 1 or not groups:
+        return {g[0]: 0 for g in groups}
+    dim = max(range(4), key=lambda i: (boxes[i][1] - boxes[i][0], -i))
+    left, want = leaves // 2, sum(g[1] for g in groups) * (leaves // 2) / leaves
+    ordered, below = sorted(groups, key=lambda g: g[2][dim]), 0
+    for at, g in enumerate(ordered):
+        if below + g[1] >= want:
+            break
+        below += g[1]
+    after = below + g[1] - want <= want - below
+    cut = g[2][dim] if after else g[2][dim] - 1
+    a, b = [g for g in groups if g[2][dim] <= cut], [g for g in groups if g[2][dim] > cut]
+    low, high = (boxes[dim][0], max(boxes[dim][0], cut)), (min(boxes[dim][1], cut + 1), boxes[dim][1])
+    out = plain_tree(a, left, [low if i == dim else x for i, x in enumerate(boxes)])
+    return out | {k: v + left for k, v in plain_tree(b, leaves - left, [high if i == dim else x for i, x in enumerate(boxes)]).items()}
+
+
+@pytest.mark.parametrize("leaves", [1, 5, 16, 40])
+def test_shards_against_a_plain_tree(spark, data, leaves, monkeypatch):
+    monkeypatch.setattr(sharding, "BINS", 64)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    groups = shared.written(sharding.coordinates(sharding.base_rows(docs)), "test")
+    rows = [(r["group"], r["bytes"], [r[f"k_{d}"] for d in sharding.DIMENSIONS]) for r in groups.collect()]
+    got = {r["group"]: r["shard"] for r in sharding.placed_groups(groups, leaves, 0.0).collect()}
+    assert got == plain_tree(rows, leaves)
+
+
 def held(df):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
 
@@ -226,12 +267,16 @@ def base_scores(rows):
             c["end"] += 1
     n, v = sum(c.values()), len(c)
     p = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    return {(d, t): (len(words_of(t)) + 1, sum(c[w] > 0 for w in words_of(t)) + (c["end"] > 0), n, sum(map(p, words_of(t))) + p("end")) for d, t, h in rows}
+    return {
+        (d, t): (len(words_of(t)) + 1, sum(c[w] > 0 for w in words_of(t)) + (c["end"] > 0), n, sum(map(p, words_of(t))) + p("end")) for d,
+        t, h in rows
+    }
 
 
 def test_language_model(spark, data, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 50_000)
-    monkeypatch.setattr(suffix_tree, "MERGED", 5_000)
+    monkeypatch.setattr(suffix_tree, "MERGED_BYTES", 100_000)
+    monkeypatch.setattr(suffix_tree, "MERGED_WORDS", 10_000)
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = suffix_tree.score(docs, held(docs)).collect()
     rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in docs.collect()]
@@ -252,28 +297,6 @@ def test_language_model_edges(edge, empty):
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
-def test_next_token_probabilities_sum_to_one():
-    """Over the training words, the unknown word and the end, in every state."""
-    texts = [b"a b a c", b"a b a b a b", b"c c d", b"a b"] * 40 + [b"e f", b"g a b"]
-    sent = collections.Counter(w for t in texts for w in t.split())
-    h = {w: i + 1 for i, w in enumerate(sorted(sent))}
-    sums = np.concatenate([[len(sent), sum(sent.values()), sum(c == 1 for c in sent.values()), sum(c == 2 for c in sent.values())], np.zeros(512, np.int64), [h[w] for w in sorted(sent) if sent[w] > 2], [sent[w] for w in sorted(sent) if sent[w] > 2]]).astype(np.int64)
-    v = suffix_tree.Vocabulary([sums], len(texts))
-    order = sorted(sent)
-    k, share = v.classed(np.array([h[w] for w in order], np.uint64), np.zeros(len(order), np.uint8), np.array([sent[w] for w in order]))
-    at = dict(zip(order, k, strict=True))
-    seqs = [suffix_tree._sequence(np.array([at[w] for w in t.split()], np.uint64), np.array([len(t.split())], np.int32)) for t in texts]
-    keys = np.concatenate([suffix_tree._keys(s, np.flatnonzero(d >= n), n) | s[np.flatnonzero(d >= n)] for s, d in seqs for n in (1, 2, 3) if (d >= n).any()])
-    tree = suffix_tree.Tree(v.classes, keys, np.ones(len(keys), np.int64))
-    assert len(tree.contexts)
-    for before in ([suffix_tree.START], [at[b"a"], at[b"b"]], [at[b"c"]], [suffix_tree.RARE]):
-        total = 0.0
-        for symbol, own in [*((int(x), y) for x, y in zip(k, share, strict=True)), (suffix_tree.RARE, np.log10(v.unknown) - np.log10(v.classes[suffix_tree.RARE])), (suffix_tree.END, 0.0)]:
-            s = np.array([*before, symbol], np.uint64)
-            total += 10 ** (tree.log10(s, np.array([len(before)]), np.arange(len(s)))[0] + own)
-        assert total == pytest.approx(1)
-
-
 def brute_tree(texts, train):
     """log10 scores of the suffix tree with dictionaries: every repeated word a symbol, every context seen LEAST_COUNT times a candidate."""
     c = collections.Counter(w for t, ok in zip(texts, train, strict=True) if ok for w in t)
@@ -286,7 +309,7 @@ def brute_tree(texts, train):
     seen = collections.defaultdict(collections.Counter)
     for s, ok in zip(seqs, train, strict=True):
         for i in range(1, len(s)):
-            for k in range(1, min(i, 3) + 1):
+            for k in range(1, min(i, suffix_tree.MOST_DEPTH) + 1):
                 seen[tuple(s[i - k : i])][s[i]] += ok
     states = {(): None}
 
@@ -298,7 +321,10 @@ def brute_tree(texts, train):
     for ctx in sorted(seen, key=len):
         total = sum(seen[ctx].values())
         if ctx[1:] in states and total >= 8:
-            told = sum(m * math.log(m / total / prob(ctx[1:], x)) for x, m in seen[ctx].items() if m)
+            told = sum(
+                m * (math.log(m / total) + round(-math.log(prob(ctx[1:], x)) * suffix_tree.NAT) / suffix_tree.NAT) for x,
+                m in seen[ctx].items() if m
+            )
             if told >= 30 and told >= 0.01 * total:
                 states[ctx] = total
     out = []
@@ -306,25 +332,37 @@ def brute_tree(texts, train):
         p = sum(math.log10(((1 - d) / n if c[w] else unknown) / rare) for w in t if c[w] <= 1)
         for i in range(1, len(s)):
             ctx = ()
-            for k in range(1, min(i, 3) + 1):
+            for k in range(1, min(i, suffix_tree.MOST_DEPTH) + 1):
                 if tuple(s[i - k : i]) not in states:
                     break
                 ctx = tuple(s[i - k : i])
             p += math.log10(prob(ctx, s[i]))
         out.append(p)
-    return out, states
+    return out, states, lambda ctx, w: prob(ctx, sym(w)) * (1 if w == ">" or c[w] > 1 else ((1 - d) / n if c[w] else unknown) / rare)
+
+
+def test_next_token_probabilities_sum_to_one():
+    """Over the training words, the unknown word and the end, in every state."""
+    texts = [t.split() for t in ["a b a c", "a b a b a b", "c c d", "a b"] * 40 + ["e f", "g a b"]]
+    _, states, prob = brute_tree(texts, [True] * len(texts))
+    assert len(states) > 3
+    for ctx in states:
+        assert sum(prob(ctx, w) for w in {*sum(texts, []), "never seen", ">"}) == pytest.approx(1)
 
 
-def test_states_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch):
+@pytest.mark.parametrize("key_bits", [64, 20])
+def test_states_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch, key_bits):
     """Rare words and contexts among many tokens are states, as a tree in dictionaries has them; blocks and parts are many."""
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(suffix_tree, "MERGED", 3_000)
+    monkeypatch.setattr(suffix_tree, "KEY_BITS", key_bits)
+    monkeypatch.setattr(suffix_tree, "MERGED_BYTES", 50_000)
+    monkeypatch.setattr(suffix_tree, "MERGED_WORDS", 6_000)
     r = np.random.default_rng(6)
     texts = [[f"w{int(x)}" for x in r.zipf(1.3, r.integers(0, 60)).clip(0, 3000)] for _ in range(1500)]
     for t in texts[:40]:
         t += ["seldom", "seen", "words", "follow"]
     train = [i % 10 != 0 for i in range(len(texts))]
-    want, states = brute_tree(texts, train)
+    want, states, _ = brute_tree(texts, train)
     assert ("seldom", "seen") in states or ("seen",) in states
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     got = {x["doc_id"]: x["score"] for x in suffix_tree.score(docs, F.col("doc_id") % 10 == 0).collect()}
