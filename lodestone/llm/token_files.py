@@ -30,7 +30,7 @@ from .textscan import pack, unpack
 from .tokens import default_path, encoder, load_file
 from .warc import store
 
-BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 22, 1 << 14, 32
+BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 21, 1 << 13, 32
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 END_ID = 2
@@ -90,7 +90,9 @@ class Model:
         stop = np.where(part == 0, high, np.where(part == 2, width, base))
         return start, stop - start
 
-    def learn(self, ids: np.ndarray, part: np.ndarray, last: np.ndarray, slot: np.ndarray, two: np.ndarray, one: np.ndarray, kind: np.ndarray) -> None:
+    def learn(
+        self, ids: np.ndarray, part: np.ndarray, last: np.ndarray, slot: np.ndarray, two: np.ndarray, one: np.ndarray, kind: np.ndarray
+    ) -> None:
         """A hit makes a prediction surer, a miss halves its confidence; from 1 or less a new one takes its place."""
         fresh = (ids << SURE_BITS) + np.int32(1)
         for table, at, was in ((self.one, last, one), (self.two, slot, two)):
@@ -174,7 +176,9 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     order = np.argsort(who, kind="stable")
     payload = pack(np.bincount(who, minlength=lanes).astype(np.uint32))
     payload = struct.pack("<I", len(payload)) + payload + words[order].astype("<u4").tobytes()
-    return _BLOCK.pack(n, lanes, len(words), vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload)) + struct.pack("<I", len(payload)) + payload
+    return _BLOCK.pack(
+        n, lanes, len(words), vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload)
+    ) + struct.pack("<I", len(payload)) + payload
 
 
 def decode_block(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
@@ -309,7 +313,10 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     kind, blob = load_file(path or default_path())
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keys = [F.col("doc_id").asc_nulls_last(), F.col("head").asc_nulls_first(), "tie", "row"]
-    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    tied = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("tie"),
+        F.monotonically_increasing_id().alias("row")
+    )
     placed = tied.repartitionByRange(partitions_for(total, FILE_BYTES), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +336,10 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
                 out.add(names[row], [*pieces, ending])
         if out:
             row = (TaskContext.get().partitionId(), *out.close())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in FILES.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                names=[f.split()[0] for f in FILES.split(", ")]
+            )
 
     return written(placed.mapInArrow(write, FILES), "token-files")
 
@@ -351,7 +361,10 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                         rows.append((ident, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
                 for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10_000]], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[k] for r in rows[i : i + 10_000]], pa.int64()) for k in range(4)],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    )
 
     return starts.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -19,7 +19,7 @@ from .textscan import _BLANK, buffers, slices
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of text that are cut into words and encoded in one step.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words that go to the library as one line, and lines of a call.
 WORDS_A_LINE, LINES = 200, 50
 #: Letters whose lower case and composed form are letters of this set again.
@@ -100,9 +100,15 @@ class Encoder:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
         named = tuple(n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", []))
-        if named == _NORMALIZER and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not last.get("use_regex", True):
+        if named == _NORMALIZER and [
+            x.get("type") for x in steps
+        ] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not last.get("use_regex", True):
             # lower-case words of letters pass these steps unchanged, so they go to the library's merges at once
-            self.stems = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
+            self.stems = Tokenizer.from_str(
+                json.dumps(
+                    rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}
+                )
+            )
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.kind == "json":
@@ -257,7 +263,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         for batch in batches:
             _, off = buffers(batch.column(1))
             tokens = e.lengths(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(off)), pa.array(tokens), pa.array(tokens > limit)],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
 
     kind_of = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind_of}, n_bytes long, n_tokens long, over_limit boolean")
