@@ -4,9 +4,11 @@ the package to Python workers, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -18,17 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: What the deletion of a job's shuffle files may take.
+FREEING_SECONDS = 2.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Where it is unset (local sessions, tests) a temporary folder is made once per
-    application and removed when the process ends.
+    Where it is unset, on a local master (tests), a temporary folder is made once per
+    application and removed when the process ends; on a cluster it must be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lodestone-")
@@ -37,7 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own scratch folder, which is deleted when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        _OWN[folder] = folder
+        atexit.register(_deleted, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,18 +72,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
+def bucketed(df: DataFrame, by: str, buckets: int, name: str, kind: str | None = None) -> DataFrame:
+    """The same as a table bucketed by a column, so that joins on it don't shuffle its rows; in a folder for each ``kind``.
+
+    The files lie in the shared folder; only their description is in the session's catalog, until the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"lodestone_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by)
+    (writer.partitionBy(kind) if kind else writer).saveAsTable(table)
+    atexit.register(_forgotten, spark, table)
+    out = spark.table(table)
+    out._lodestone_path = path
+    return out
+
+
+def _forgotten(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def dropped(df: DataFrame, inside: str = "") -> None:
+    """Delete the files of a table made here that nothing reads any more, or those of a folder inside."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{df._lodestone_path}/{inside}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage.
+
+    Spark holds on to the last job until another has run, so a small one comes first. Files are deleted in the
+    background once the driver has forgotten a job, hence the pause.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(FREEING_SECONDS)
 
 
 def ship(spark: SparkSession) -> None:
@@ -151,7 +195,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.join(down, "u").select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
+                    F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+                )
+            ).alias("e")
+        ).select("e.u", "e.v")
         after = written(small.where("u <> v").distinct(), "edges")
         dropped(edges)
         edges = after
