@@ -1,9 +1,5 @@
 import pytest
 
-from lodestone.llm import shared
-
-shared.FREEING_SECONDS = 0.0  # small tables need no room
-
 EDGE = [
     (0, "", "en", "s1", 0),
     (1, None, "en", None, 0),
