@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from lodestone.llm.shared import freed, written
+from lodestone.llm.shared import freed, trimmed, written
 
 BROADCAST_IDS = 2_000_000
 SHARDS = 16
@@ -50,6 +50,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Every row is judged by itself; no column of the input is replaced.
     """
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    trimmed()  # what the training took would stay with the driver
     return toxicity.rate(docs, net, ("score ", "threshold ", "toxic ")).where("NOT `toxic `").select(*docs.columns)
 
 

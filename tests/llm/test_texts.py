@@ -367,3 +367,14 @@ def test_states_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch, key_
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     got = {x["doc_id"]: x["score"] for x in suffix_tree.score(docs, F.col("doc_id") % 10 == 0).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_freed_memory_leaves_the_process(spark):
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    full = [bytes([i % 256]) * 50_000 for i in range(4000)]  # small enough for the C library to keep their pages
+    last, before = full[-1], resident()
+    del full
+    shared.freed(spark)
+    assert before - resident() > 150_000_000 and last
