@@ -399,6 +399,21 @@ def test_toxicity_on_held_out_rows(spark, marked):
     assert np.allclose(again.sort_values("doc_id").score, first.sort_values("doc_id").score)
 
 
+def test_training_in_a_task_gives_the_same_network(spark, data, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    here = toxicity.fit(docs, labels, F.lit(True))
+
+    def never(*_):
+        raise AssertionError("the driver trains")
+
+    monkeypatch.setattr(toxicity, "_trained", never)  # of this process only
+    there = toxicity.fit(docs, labels, F.lit(True), apart=True)
+    for name in ("emb", "conv", "bias", "out", "shift"):
+        assert np.array_equal(getattr(here, name), getattr(there, name))
+    assert here.scale == there.scale and here.cuts == there.cuts
+    assert toxicity.fit(docs.limit(0), labels, F.lit(True), apart=True).scale == (1.0, 0.0)
+
+
 def test_thresholds_by_language():
     """A language whose scores run lower has a lower threshold, also from few documents."""
     r = np.random.default_rng(1)
