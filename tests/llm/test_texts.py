@@ -378,3 +378,23 @@ def test_freed_memory_leaves_the_process(spark):
     del full
     shared.freed(spark)
     assert before - resident() > 150_000_000 and last
+
+
+def test_memory_freed_by_the_jvm_leaves_its_process(spark):
+    jvm = spark.sparkContext._jvm
+    pid, native = jvm.java.lang.ProcessHandle.current().pid(), jvm.org.apache.spark.unsafe.Platform
+
+    def resident():
+        return int(open(f"/proc/{pid}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    blocks = [native.allocateMemory(50_000) for _ in range(4000)]  # small enough for the C library to keep their pages
+    for b in blocks:
+        native.setMemory(b, 1, 50_000)
+    *rest, last = blocks
+    before = resident()
+    for b in rest:
+        native.freeMemory(b)
+    shared.freed(spark)
+    left = before - resident()
+    native.freeMemory(last)
+    assert left > 150_000_000
